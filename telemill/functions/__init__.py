@@ -229,6 +229,12 @@ def calendar_phases(ts: Column, segment: Column) -> dict[str, Column]:
     }
 
 
+def round_even(c: Column, digits: int) -> Column:
+    """Round half to even on the scaled binary value, as NumPy does."""
+    scale = float(10**digits)
+    return F.rint(c * scale) / scale
+
+
 def r6(c: Column | str, digits: int = 6) -> Column:
     """Rounding used when comparing results across engines: nudged off exact ties."""
     c = F.col(c) if isinstance(c, str) else c
