@@ -105,7 +105,7 @@ def metric_table(scores: DataFrame, series: Series) -> DataFrame:
 def leaderboard(metrics: DataFrame) -> DataFrame:
     """Rank models by steady-state false positives, then delay (none counts as 999)."""
     w = Window.orderBy("fpr_steady_state", F.coalesce("delay", F.lit(999.0)), MODEL)  # one row per model
-    return metrics.withColumn("rank", F.row_number().over(w))
+    return metrics.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 def visible_models(metrics: DataFrame, floor: float = 0.55) -> DataFrame:
