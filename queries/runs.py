@@ -391,7 +391,8 @@ def exact_quantile_rows(spark, folder):
 
 
 _SHORT = WIDE.replace("wide AS (", "raw_wide AS (", 1) + """,
-wide AS (SELECT * REPLACE (scenario_id || '_' || CAST(l_orderkey % 20 AS VARCHAR) AS scenario_id) FROM raw_wide)"""
+wide AS (SELECT * REPLACE (scenario_id || '_' || CAST(l_orderkey % 20 AS VARCHAR) AS scenario_id,
+  P_inlet / 4 AS P_inlet, P_mid / 4 AS P_mid, P_outlet / 4 AS P_outlet) FROM raw_wide)"""
 _ONSETS = "onsets AS (SELECT scenario_id, min(timestamp) AS onset, 3600.0 AS ramp FROM wide WHERE class > 0 GROUP BY scenario_id)"
 _Q = [f"({c} IS NULL OR isnan({c}) OR isinf({c}))" for c in ("P_inlet", "P_mid", "P_outlet", "Q_inlet", "Q_outlet")]
 _QUALITY = f"""
@@ -415,6 +416,7 @@ checks AS (
 def checked(spark, folder):
     w = views.wide(spark, folder)
     w = w.withColumn("scenario_id", F.concat("scenario_id", F.lit("_"), (F.col("l_orderkey") % 20).cast("string")))
+    w = w.withColumns({c: F.col(c) / 4 for c in qa.PRESSURES})
     onsets = w.where(F.col("class") > 0).groupBy("scenario_id").agg(F.min("timestamp").alias("onset"), F.lit(3600.0).alias("ramp_seconds"))
     return w, qa.scenario_checks(w, onsets, "scenario_id", "timestamp", views.SHIPMENT_ORDER)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,20 +17,21 @@ from ..operators.cleaning import WELL_COLUMNS, adopt_export, map_columns
 FORMATS = {".csv": "csv", ".txt": "csv", ".parquet": "parquet"}
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path or glob matches anything, on whichever file system it names."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    matches = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
-    return matches is not None and len(matches) > 0
+def is_missing(exc: AnalysisException) -> bool:
+    """Whether a read failed because its path does not exist."""
+    return exc.getCondition() == "PATH_NOT_FOUND"
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
     """A CSV file or folder with a header; a missing path raises ``FileNotFoundError``."""
-    if not path_exists(spark, path):
-        raise FileNotFoundError(path)
     reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
+    try:
+        return reader.csv(path)
+    except AnalysisException as exc:
+        if is_missing(exc):
+            raise FileNotFoundError(path) from exc
+        raise
 
 
 def read_table(spark: SparkSession, path: str, rows: int | None = None, schema: T.StructType | str | None = None) -> DataFrame:
@@ -150,9 +152,12 @@ class Registry:
     def load(self, spark: SparkSession, key: str) -> DataFrame | None:
         """Raw files of a dataset, mapped to canonical columns and tagged with its name."""
         meta = self.get(key)
-        if not path_exists(spark, meta["folder"]):
-            return None
-        df = read_matching(spark, meta["folder"], meta.get("file_globs") or ["*.csv"], bool(meta.get("recursive")))
+        try:
+            df = read_matching(spark, meta["folder"], meta.get("file_globs") or ["*.csv"], bool(meta.get("recursive")))
+        except AnalysisException as exc:
+            if is_missing(exc):
+                return None
+            raise
         if df is None:
             return None
         df = map_columns(df, meta.get("column_map") or {})
