@@ -1,7 +1,7 @@
 """Registered queries: each operator run over the shared tables, with its SQL check."""
 
 from . import registry
-from . import cleaning, evaluation, features, joins, models, runs, sampling, sources  # noqa: F401
+from . import cleaning, evaluation, features, joins, models, runs, sampling, sources, streams  # noqa: F401
 
 QUERIES = registry.QUERIES
 SQL = registry.SQL

@@ -37,13 +37,13 @@ def majority_baseline(spark, folder):
 WITH {TELEMETRY}, x AS (SELECT seq, pressure / 50.0 - 1.0 AS d, CASE WHEN seq % 5 = 0 THEN -1 ELSE 1 END AS lab, flow_rate AS s FROM telemetry)
 SELECT seq, {r('1.0 / (1.0 + exp(-d))', 'from_decision')}, {r('exp(d / 2) / (exp(-d) + exp(d / 2))', 'from_softmax')},
        {r('((-s) - (SELECT min(-s) FROM x)) / ((SELECT max(-s) FROM x) - (SELECT min(-s) FROM x))', 'from_samples')},
-       CAST(CASE WHEN lab = -1 THEN 1.0 ELSE 1.0 END AS DOUBLE) AS from_label, CASE WHEN lab = -1 THEN 1 ELSE 0 END AS outlier FROM x""")
+       CAST(greatest(least(s - 50.0, 1.0), 0.0) AS DOUBLE) AS from_label, CASE WHEN lab = -1 THEN 1 ELSE 0 END AS outlier FROM x""")
 def score_ladder(spark, folder):
     t = views.telemetry(spark, folder)
     d, lab = F.col("pressure") / 50.0 - 1.0, F.when(F.col("seq") % 5 == 0, -1).otherwise(1)
     t = en.from_samples(t, "flow_rate", "from_samples")
     return t.select("seq", r6(en.from_decision(d)).alias("from_decision"), r6(en.from_decisions(F.array(-d, d / 2))).alias("from_softmax"),
-                    r6("from_samples").alias("from_samples"), en.from_labels(lab).alias("from_label"), en.outlier_label(lab).alias("outlier"))
+                    r6("from_samples").alias("from_samples"), en.from_labels(F.col("flow_rate") - 50.0).alias("from_label"), en.outlier_label(lab).alias("outlier"))
 
 
 @query("anomaly_probability", "M6", f"""

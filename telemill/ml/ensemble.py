@@ -35,8 +35,8 @@ def from_samples(df: DataFrame, raw: str, out: str, keys: Sequence[str] = ()) ->
 
 
 def from_labels(value: Column) -> Column:
-    """Probability from a hard label; -1 / 1 outlier labels mean anomaly / normal."""
-    return F.when(value == -1, 1.0).otherwise(clip(value.cast("double"), 0.0, 1.0))
+    """Probability from a hard label."""
+    return clip(value.cast("double"), 0.0, 1.0)
 
 
 def outlier_label(value: Column) -> Column:
