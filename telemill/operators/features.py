@@ -44,9 +44,12 @@ def rows(w: WindowSpec, n: int) -> WindowSpec:
     return w.rowsBetween(-(n - 1), 0)
 
 
-def sample_std(col: Column | str, w: WindowSpec) -> Column:
-    """Sample deviation over a frame; 0 for one row or a constant window."""
-    s = F.stddev_samp(col).over(w)
+def flat_to_zero(std: Column | str) -> Column:
+    """A sample deviation, 0 for one row or a constant window.
+
+    Takes a computed column: a window expression written twice would be evaluated twice.
+    """
+    s = F.col(std) if isinstance(std, str) else std
     return F.when(s >= FLAT_STD, s).otherwise(0.0)
 
 
@@ -82,26 +85,45 @@ def ewm_mean(df: DataFrame, parts: list[str], place: str, cols: dict[str, str],
     return df.withColumns(means).drop("_eb", "_ek", *sums, *closing)
 
 
-def smooth(df: DataFrame, series: Series, cols: dict[str, str], dt: float, tau: float) -> DataFrame:
+def decay_stages(q: float, radix: int = 8, floor: float = 1e-18) -> list[int]:
+    """Step widths 1, 8, 64, ... until weights ``q**n`` fall below double resolution."""
+    steps, width = [], 1
+    while q ** width > floor:
+        steps.append(width)
+        width *= radix
+    return steps
+
+
+def decay_step(w: WindowSpec, c: str, q: float, width: int, radix: int = 8) -> Column:
+    """One stage of ``sum_j q^j x(t-j)``: eight sums over ``width`` rows become one over ``8 width``."""
+    total = F.col(c)
+    for i in range(1, radix):
+        total = total + (q ** (i * width)) * F.coalesce(F.lag(c, i * width).over(w), F.lit(0.0))
+    return total
+
+
+def smooth(df: DataFrame, series: Series, cols: dict[str, str], dt: float, tau: float, block: int = 1_000_000) -> DataFrame:
     """First-order lag ``y = y' + a (x - y')`` with ``a = dt / (tau + dt)``; identity for ``tau <= 0``.
 
-    ``y_t = a * sum q^(t-i) x_i`` plus what is left of the first value, so it uses the same block
-    sums as the exponential mean.
+    Unrolled, ``y_t = a * sum_j q^j x(t-j) + q^t x_1`` with ``q = 1 - a``.
     """
     if tau <= 0:
         return df.withColumns({out: F.col(src) for out, src in cols.items()})
     a = dt / (tau + dt)
     q = 1.0 - a
-    span = 2.0 / a - 1.0
-    firsts = {f"_first_{o}": F.when(F.col("_spos") == 1, F.col(c)) for o, c in cols.items()}
-    df = scan(df, series, position="_spos")
-    df = scan(df, series, last_valid=firsts) if firsts else df
-    parts = list(series.keys)
-    df = ewm_mean(df, parts, "_spos", {f"_m_{o}": c for o, c in cols.items()}, span)
-    tail = F.pow(F.lit(q), F.col("_spos").cast("double"))
-    # ewm mean = sum / ((1 - q^t) / (1 - q)); multiply back and give the first value the full remaining weight
-    out = {o: F.col(f"_m_{o}") * (1.0 - tail) + tail * F.col(f"_first_{o}") for o in cols}
-    return df.withColumns(out).drop("_spos", *firsts, *[f"_m_{o}" for o in cols])
+    steps = decay_stages(q)
+    rows_, local, keep = frames(df, series, 8 * steps[-1], max(block, 16 * steps[-1]))
+    w = local.window()
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    start = {f"_first_{o}": F.first(F.col(c)).over(upto) for o, c in cols.items()}
+    start["_t"] = F.row_number().over(w)
+    rows_ = rows_.withColumns(start).withColumns({f"_y_{o}": F.col(c).cast("double") for o, c in cols.items()})
+    for width in steps:
+        rows_ = rows_.withColumns({f"_y_{o}": decay_step(w, f"_y_{o}", q, width) for o in cols})
+    at = F.col("_pos" if "_pos" in rows_.columns else "_t").cast("double")
+    out = {o: a * F.col(f"_y_{o}") + F.pow(F.lit(q), at) * F.col(f"_first_{o}") for o in cols}
+    rows_ = rows_.withColumns(out).where(keep)
+    return rows_.drop(*[c for c in rows_.columns if c.startswith("_") and c not in df.columns])
 
 
 def cross_segment_means(df: DataFrame, tick: str, cols: dict[str, str]) -> DataFrame:
@@ -145,13 +167,13 @@ def build_features(
     first: dict[str, Column] = {"_lp": F.lag(p).over(w), "_lf": F.lag(f).over(w)}
     if needs(*ROLLING, *ZSCORES):
         first |= {
-            "_m5p": F.avg(p).over(rows(w, 5)), "_s5p": sample_std(p, rows(w, 5)),
-            "_m5f": F.avg(f).over(rows(w, 5)), "_s5f": sample_std(f, rows(w, 5)),
+            "_m5p": F.avg(p).over(rows(w, 5)), "_s5p": F.stddev_samp(p).over(rows(w, 5)),
+            "_m5f": F.avg(f).over(rows(w, 5)), "_s5f": F.stddev_samp(f).over(rows(w, 5)),
         }
     if needs(*BASELINE):
         first |= {"_m20p": F.avg(p).over(rows(w, 20)), "_m20f": F.avg(f).over(rows(w, 20))}
     if needs("pressure_roll30_std", "flow_roll30_std"):
-        first |= {"_s30p": sample_std(p, rows(w, 30)), "_s30f": sample_std(f, rows(w, 30))}
+        first |= {"_s30p": F.stddev_samp(p).over(rows(w, 30)), "_s30f": F.stddev_samp(f).over(rows(w, 30))}
     if needs("pressure_flow_divergence"):
         first |= {"_m30p": F.avg(p).over(rows(w, 30)), "_m30f": F.avg(f).over(rows(w, 30))}
     if needs(*LONG_BASELINE):
@@ -163,6 +185,7 @@ def build_features(
     df = df.withColumns(first)
 
     zero = F.lit(0.0)
+    df = df.withColumns({c: flat_to_zero(c) for c in ("_s5p", "_s5f", "_s30p", "_s30f") if c in first})
     df = df.withColumns({
         "pressure_delta": F.coalesce(p - F.col("_lp"), zero),
         "flow_rate_delta": F.coalesce(f - F.col("_lf"), zero),
@@ -254,9 +277,10 @@ def sensor_features(
     out: dict[str, Column] = {}
     for c in present:
         out[f"{c}_roll_mean"] = F.avg(c).over(rows(w, window))
-        out[f"{c}_roll_std"] = sample_std(c, rows(w, window))
+        out[f"{c}_roll_std"] = F.stddev_samp(c).over(rows(w, window))
         out[f"{c}_roll_min"] = F.min(c).over(rows(w, window))
         out[f"{c}_roll_max"] = F.max(c).over(rows(w, window))
         out[f"{c}_delta"] = F.coalesce(F.col(c) - F.lag(c).over(w), F.lit(0.0))
     df = df.withColumns(out).where(keep)
+    df = df.withColumns({f"{c}_roll_std": flat_to_zero(f"{c}_roll_std") for c in present})
     return df.drop(*[c for c in df.columns if c.startswith("_")])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import checkpoint_dir
 from .series import Series, scan
 
 BUCKET_DIGITS = 3  # 4096 hash buckets
@@ -18,30 +19,45 @@ def hash_rank(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in key]))
 
 
-def take(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFrame, seed: int = 42) -> DataFrame:
-    """The ``quota`` rows of lowest hash in each group; ``quotas`` holds ``(group, quota)``.
+def cutoffs(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """Where each group's quota ends in hash order: ``(group, quota, cutoff)``, cutoff NULL where all rows fit.
 
-    Bucket counts tell which hash buckets are wholly in; only the bucket at the boundary is ranked,
-    so the rows themselves are not shuffled.
+    Counts per hash bucket show which bucket holds the last row wanted; only that bucket, a 4096th of the
+    group, is ranked. The result has one row per group and is written to the checkpoint folder, so that the
+    rows themselves are afterwards picked by a filter alone.
     """
-    rows = df.withColumn("_hash", hash_rank(seed, key))
+    rows = df.select(*dict.fromkeys([*group, *key])).withColumn("_hash", hash_rank(seed, key))
     rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
     sizes = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     if group:
-        places = places.join(quotas.withColumnRenamed("quota", "_quota"), list(group))
+        places = places.join(quotas, list(group))
     else:
-        places = places.withColumn("_quota", quotas.select("quota").scalar())
-    places = places.where(F.col("_before") < F.col("_quota"))
-    whole = F.col("_before") + F.col("_n") <= F.col("_quota")
-    inside = places.where(whole).select(*group, "_bucket")
-    edge = places.where(~whole).select(*group, "_bucket", (F.col("_quota") - F.col("_before")).alias("_room"))
+        places = places.withColumn("quota", quotas.select("quota").scalar())
+    upto = F.col("_before") + F.col("_n")
+    edge = places.where((F.col("_before") < F.col("quota")) & (F.col("quota") <= upto))
+    edge = edge.select(*group, "_bucket", (F.col("quota") - F.col("_before")).alias("_room"))
     ranked = Window.partitionBy(*group, "_bucket").orderBy("_hash", *key)
-    on = [*group, "_bucket"]
-    kept = rows.join(inside, on, "left_semi").select(*df.columns)
-    cut = rows.join(edge, on).withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= F.col("_room"))
-    return kept.unionByName(cut.select(*df.columns))
+    last = rows.join(edge, [*group, "_bucket"]).withColumn("_rank", F.row_number().over(ranked))
+    last = last.where(F.col("_rank") == F.col("_room"))
+    found = last.groupBy(*group).agg(F.max(F.struct("_hash", *key)).alias("cutoff"))
+    checkpoint_dir(df.sparkSession)
+    if group:
+        return quotas.select(*group, "quota").join(found, list(group), "left").checkpoint()
+    return quotas.select("quota").withColumn("cutoff", found.select("cutoff").scalar()).checkpoint()
+
+
+def take(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFrame, seed: int = 42) -> DataFrame:
+    """The ``quota`` rows of lowest hash in each group; ``quotas`` holds ``(group, quota)``."""
+    ends = cutoffs(df, group, key, quotas, seed)
+    fits = (F.col("_quota") > 0) & (F.col("_cutoff").isNull() | (F.struct(hash_rank(seed, key).alias("_hash"), *key) <= F.col("_cutoff")))
+    ends = ends.withColumnsRenamed({"quota": "_quota", "cutoff": "_cutoff"})
+    if group:
+        return df.join(ends, list(group)).where(fits).select(*df.columns)
+    one = df.withColumn("_end", ends.select(F.struct("_quota", "_cutoff")).scalar())
+    one = one.withColumns({"_quota": F.col("_end._quota"), "_cutoff": F.col("_end._cutoff")})
+    return one.where(fits).select(*df.columns)
 
 
 def hash_series(seed: int, group: Sequence[str], key: Sequence[str]) -> Series:

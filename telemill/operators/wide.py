@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import as_number, stable_ratio
-from .features import rows, sample_std
+from .features import flat_to_zero, rows
 from .series import Series, frames
 
 SENSORS = ["P_inlet", "P_mid", "P_outlet", "Q_inlet", "Q_outlet", "T_inlet", "T_mid", "T_outlet"]
@@ -63,9 +63,10 @@ def wide_features(df: DataFrame, series: Series, window: int = 5, ratio_mode: st
     enough = F.col("_size") >= window
     rolled = {}
     for s in ROLLED:
-        rolled[f"{s}_rolling_mean_{window}"] = F.when(enough, F.avg(s).over(rows(w, window))).otherwise(0.0)
-        rolled[f"{s}_rolling_std_{window}"] = F.when(enough, sample_std(s, rows(w, window))).otherwise(0.0)
+        rolled[f"{s}_rolling_mean_{window}"] = F.avg(s).over(rows(w, window))
+        rolled[f"{s}_rolling_std_{window}"] = F.stddev_samp(s).over(rows(w, window))
     df = df.withColumns(rolled).where(keep)
+    df = df.withColumns({c: F.when(enough, flat_to_zero(c) if "_std_" in c else F.col(c)).otherwise(0.0) for c in rolled})
     return df.drop(*[x for x in df.columns if x.startswith("_")])
 
 

@@ -46,31 +46,29 @@ def process_in_order(
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
         carry = tuple(held[:n_state]) if held else fresh()
-        columns = [np.asarray(c) for c in held[n_state:]] if held else [np.empty(0, dtype="int64")] * 2 + [np.empty(0)] * len(names)
-        parts = [dict(zip(["t", "s", *names], columns))]
+        empty = [np.empty(0, dtype="int64")] * 2 + [np.empty(0)] * len(names)
+        parts = [[np.asarray(c, dtype=e.dtype) for c, e in zip(held[n_state:], empty)] if held else empty]
         if not state.hasTimedOut:
             for pdf in batches:
-                parts.append({"t": pdf[time].to_numpy(dtype="datetime64[us]").astype("int64"), "s": pdf[seq].to_numpy(dtype="int64"),
-                              **{c: pdf[c].to_numpy(dtype=float) for c in names}})
-        merged = pd.DataFrame({c: np.concatenate([p[c] for p in parts]) for c in ["t", "s", *names]})
-        merged = merged.astype({"t": "int64", "s": "int64"})
+                parts.append([pdf[time].to_numpy(dtype="datetime64[us]").astype("int64"), pdf[seq].to_numpy(dtype="int64"),
+                              *[pdf[c].to_numpy(dtype=float) for c in names]])
+        columns = [np.concatenate(c) for c in zip(*parts)]
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
         mark = state.getCurrentWatermarkMs()
-        ready = merged["t"] <= mark * 1000
-        due = merged[ready].sort_values(["t", "s"], kind="stable").reset_index(drop=True)
-        waiting = merged[~ready]
-        if len(due):
+        n_due = int(np.searchsorted(columns[0], mark * 1000, side="right"))
+        if n_due:
+            due = pd.DataFrame({n: c[:n_due] for n, c in zip(names, columns[2:])})
             extra, carry = step(due, carry)
-            out = pd.DataFrame({k: [v] * len(due) for k, v in zip(keys, key)})
-            out[time] = pd.to_datetime(due["t"], unit="us")
-            out[seq] = due["s"]
-            for c in names:
-                out[c] = due[c]
-            for f in out_fields:
-                out[f.name] = extra[f.name].to_numpy()
-            yield out
-        state.update((*carry, waiting["t"].tolist(), waiting["s"].tolist(), *[waiting[c].tolist() for c in names]))
-        if len(waiting):
-            state.setTimeoutTimestamp(int(max(waiting["t"].min() // 1000, mark) + 1))
+            made = {k: [v] * n_due for k, v in zip(keys, key)}
+            made[time] = columns[0][:n_due].astype("datetime64[us]")
+            made[seq] = columns[1][:n_due]
+            made |= {n: due[n].to_numpy() for n in names} | {f.name: extra[f.name].to_numpy() for f in out_fields}
+            yield pd.DataFrame(made)
+        waiting = [c[n_due:].tolist() for c in columns]
+        state.update((*carry, *waiting))
+        if waiting[0]:
+            state.setTimeoutTimestamp(int(max(waiting[0][0] // 1000, mark) + 1))
 
     return rows.groupBy(*keys).applyInPandasWithState(
         run, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
