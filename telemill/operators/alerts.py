@@ -9,10 +9,11 @@ mappings are worked out side by side and then chained.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -109,19 +110,37 @@ def apply_policy(
     table = transitions(policy)
     cut = F.col(threshold) if threshold else F.lit(policy.threshold)
     df = series.slotted(df).withColumn("_above", F.coalesce(F.col(score) >= cut, F.lit(False)))
-    order = list(series.order)
-    schema = T.StructType([*df.schema.fields, T.StructField(out, T.BooleanType())])
-
-    def fire(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        start = int(pdf["_enter"].iloc[0]) if "_enter" in pdf else 0
-        pdf[out] = walk(table, start, pdf["_above"].tolist())[0]
-        return pdf
+    order, parts = list(series.order), series.parts
+
+    def fire(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, 0
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            keys = pdf[parts]
+            fresh = (keys != keys.shift()).any(axis=1).to_numpy()
+            first = tuple(keys.iloc[0])
+            fresh[0] = first != last
+            starts = np.flatnonzero(fresh)
+            enter = pdf["_enter"].to_numpy() if "_enter" in pdf else None
+            above, fired = pdf["_above"].tolist(), []
+            for lo, hi in zip([0, *starts] if not fresh[0] else starts, [*(starts if not fresh[0] else starts[1:]), len(pdf)]):
+                if fresh[lo]:
+                    state = 0 if enter is None else int(enter[lo])
+                alerts, state = walk(table, state, above[lo:hi])
+                fired += alerts
+            last = tuple(keys.iloc[-1])
+            pdf[out] = fired
+            yield pdf
+
+    def run(rows: DataFrame) -> DataFrame:
+        schema = T.StructType([*rows.schema.fields, T.StructField(out, T.BooleanType())])
+        placed = rows.repartition(*parts).sortWithinPartitions(*parts, *order) if parts else rows.coalesce(1).sortWithinPartitions(*order)
+        return placed.mapInPandas(fire, schema)
 
     if series.slot is None:
-        return df.groupBy(*series.keys).applyInPandas(fire, schema).drop("_above")
+        return run(df).drop("_above")
 
-    parts = series.parts
     slim = df.select(*parts, *[c for c in order if c not in parts], "_above")
     part_fields = [df.schema[k] for k in parts]
 
@@ -145,9 +164,7 @@ def apply_policy(
 
     entered = slots.groupBy(*series.keys).applyInPandas(
         chain, T.StructType([*part_fields, T.StructField("_enter", T.IntegerType())]))
-    joined = df.join(entered, parts)
-    schema = T.StructType([*joined.schema.fields, T.StructField(out, T.BooleanType())])
-    return joined.groupBy(*parts).applyInPandas(fire, schema).drop("_above", "_enter", SLOT)
+    return run(df.join(entered, parts)).drop("_above", "_enter", SLOT)
 
 
 def sticky_alerts(df: DataFrame, keys: Sequence[str], order: Sequence[str], ticks: int = 30) -> DataFrame:

@@ -58,16 +58,20 @@ def score_counts(df: DataFrame, score: str, label: str, keys: Sequence[str]) ->
         F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("pos"),
         F.sum(F.when(F.col(label) == 0, 1).otherwise(0)).alias("neg"),
     )
-    series = value_series(counts, list(keys), score)
+    series = value_series(counts, list(keys), score, df)
     return scan(counts, series, sums={"pos_upto": F.col("pos"), "neg_upto": F.col("neg")})
 
 
 def roc_auc(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
     """Exact area under the ROC curve per key, ties counted half; NULL with a single class."""
-    counts = score_counts(df, score, label, keys)
+    return score_counts(df, score, label, keys).groupBy(*keys).agg(_auc().alias("roc_auc"))
+
+
+def _auc() -> Column:
+    """Share of (positive, negative) pairs in the right order, from counts per score."""
     wins = F.sum(F.col("pos") * (F.col("neg_upto") - F.col("neg") / 2.0))
     pairs = F.sum("pos").cast("double") * F.sum("neg")
-    return counts.groupBy(*keys).agg((wins / F.nullif(pairs, F.lit(0.0))).alias("roc_auc"))
+    return wins / F.nullif(pairs, F.lit(0.0))
 
 
 def roc_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -85,26 +89,20 @@ def roc_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -
 
 
 def binary_metrics(
-    df: DataFrame, score: str, label: str, keys: Sequence[str] = (), threshold: float | Column = 0.5, digits: int = 4,
+    df: DataFrame, score: str, label: str, keys: Sequence[str] = (), threshold: float = 0.5, digits: int = 4,
 ) -> DataFrame:
     """Accuracy, class-1 precision / recall / F1, confusion cells and exact AUC per key.
 
-    Rows with labels other than 0 and 1 are left out.
+    Everything follows from the counts per distinct score, so the rows are read once. Rows with labels
+    other than 0 and 1 are left out.
     """
-    cut = F.lit(threshold) if isinstance(threshold, float) else threshold
-    rows = df.where(F.col(label).isin(0, 1))
-    rows = rows.select(*keys, score, label, (F.col(score) >= cut).cast("int").alias("_hit"))
-    one = rows.groupBy(*keys).agg(
-        F.count_if((F.col(label) == 1) & (F.col("_hit") == 1)).alias("tp"),
-        F.count_if((F.col(label) == 0) & (F.col("_hit") == 1)).alias("fp"),
-        F.count_if((F.col(label) == 1) & (F.col("_hit") == 0)).alias("fn"),
-        F.count_if((F.col(label) == 0) & (F.col("_hit") == 0)).alias("tn"),
+    counts = score_counts(df.where(F.col(label).isin(0, 1)), score, label, keys)
+    hit = F.col(score) >= threshold
+    one = counts.groupBy(*keys).agg(
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"), F.sum(F.when(hit, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~hit, F.col("pos")).otherwise(0)).alias("fn"), F.sum(F.when(~hit, F.col("neg")).otherwise(0)).alias("tn"),
+        _auc().alias("roc_auc"),
     )
-    auc = roc_auc(rows, score, label, keys)
-    if keys:
-        one = one.join(auc, list(keys), "left")
-    else:
-        one = one.withColumn("roc_auc", auc.scalar())
     tp, fp, fn, tn = (F.col(k).cast("double") for k in ("tp", "fp", "fn", "tn"))
     precision, recall = ratio(tp, tp + fp), ratio(tp, tp + fn)
 

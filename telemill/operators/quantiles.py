@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .series import scan, value_series
 
@@ -19,12 +20,14 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: Mapping[s
     counts = (
         df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     )
-    placed = scan(counts, value_series(counts, keys, value), sums={"_upto": F.col("_n")})
-    totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-    if keys:
-        placed = placed.join(totals, keys)
+    series = value_series(counts, keys, value, df)
+    placed = scan(counts, series, sums={"_upto": F.col("_n")})
+    if series.slot is None:
+        whole = series.window().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        placed = placed.withColumn("_total", F.sum("_n").over(whole))
     else:
-        placed = placed.withColumn("_total", totals.scalar())
+        totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
+        placed = placed.join(totals, keys) if keys else placed.withColumn("_total", totals.scalar())
     picks = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * p

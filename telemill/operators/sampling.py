@@ -60,11 +60,6 @@ def take(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFr
     return one.where(fits).select(*df.columns)
 
 
-def hash_series(seed: int, group: Sequence[str], key: Sequence[str]) -> Series:
-    """A series ordered by hash within the group, already cut into hash buckets."""
-    return Series(tuple(group), ("_hash", *key), F.substring("_hash", 1, BUCKET_DIGITS))
-
-
 def rebalance(
     df: DataFrame, key: Sequence[str], ratio: float = 3.0, by: Sequence[str] = (), seed: int = 42, cap: int | None = None,
 ) -> DataFrame:
@@ -133,19 +128,23 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str, fractions: d
 
     ``fractions`` names every part but the last with its share, e.g. ``{"test": .2, "valid": .1, "train": 0}``.
     """
-    rows = df.withColumn("_hash", hash_rank(seed, key))
-    rows = scan(rows, hash_series(seed, [label], key), position="_rank")
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
-    rows = rows.join(sizes, label)
     names = list(fractions)
     edge, part = F.lit(0).cast("long"), F.lit(names[-1])
-    bounds = []
-    for name in names[:-1]:
+    ends, bounds = None, []
+    for i, name in enumerate(names[:-1]):
         edge = edge + F.ceil(F.col("_size") * fractions[name])
-        bounds.append((name, edge))
-    for name, bound in reversed(bounds):
-        part = F.when(F.col("_rank") <= bound, name).otherwise(part)
-    return rows.withColumn("part", part).drop("_hash", "_rank", "_size")
+        end = cutoffs(df, [label], key, sizes.select(label, edge.alias("quota")), seed)
+        end = end.withColumnsRenamed({"quota": f"_q{i}", "cutoff": f"_c{i}"})
+        ends = end if ends is None else ends.join(end, label)
+        place = F.struct(hash_rank(seed, key).alias("_hash"), *key)
+        inside = (F.col(f"_q{i}") > 0) & (F.col(f"_c{i}").isNull() | (place <= F.col(f"_c{i}")))
+        bounds.append((name, inside))
+    if ends is None:
+        return df.withColumn("part", part)
+    for name, inside in reversed(bounds):
+        part = F.when(inside, name).otherwise(part)
+    return df.join(ends, label).withColumn("part", part).select(*df.columns, "part")
 
 
 def group_split(df: DataFrame, group: str, fractions: dict[str, float], seed: int = 42, label: str = "target") -> DataFrame:

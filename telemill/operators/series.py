@@ -55,10 +55,13 @@ def time_series(
 ) -> Series:
     """A series ordered by ``(time, *tiebreak)``, cut by time where a key is too long for one task.
 
-    The check is one pruned, pre-aggregated pass: row count and time span of the longest key.
+    A table small enough as a whole needs no closer look (its row count comes from file footers where
+    nothing is filtered). Otherwise one pruned, pre-aggregated pass finds the longest key and its time span.
     """
     limit = max_rows or setting(df.sparkSession, "series.maxRowsPerTask", MAX_ROWS_PER_TASK)
     plain = Series(tuple(keys), (time, *tiebreak))
+    if df.count() <= limit:
+        return plain
     longest = (
         df.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"))
@@ -74,14 +77,19 @@ def time_series(
     return replace(plain, slot=F.floor(F.coalesce(F.unix_timestamp(time), F.lit(0)) / width))
 
 
-def value_series(df: DataFrame, keys: list[str], value: str, max_rows: int | None = None) -> Series:
+def value_series(
+    df: DataFrame, keys: list[str], value: str, source: DataFrame | None = None, max_rows: int | None = None,
+) -> Series:
     """A series ordered by a numeric value, cut at approximate quantiles where the table is large.
 
-    Expects one row per ``(keys, value)``; the cut points are at most a thousand numbers.
+    Expects one row per ``(keys, value)``; ``source`` is a table with at least as many rows that is cheaper
+    to count. The cut points are at most a thousand numbers.
     """
     limit = max_rows or setting(df.sparkSession, "series.maxRowsPerTask", MAX_ROWS_PER_TASK)
-    n = df.count()
     plain = Series(tuple(keys), (value,))
+    if source is not None and source.count() <= limit:
+        return plain
+    n = df.count()
     if n <= limit:
         return plain
     pieces = min(1000, max(2, 2 * n // limit))

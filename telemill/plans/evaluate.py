@@ -92,14 +92,38 @@ def calibrate(scores: DataFrame, target_fpr: float = 0.05) -> DataFrame:
 
 
 def metric_table(scores: DataFrame, series: Series) -> DataFrame:
-    """The operational metrics of every model, one row each (``scores`` carries ``threshold``)."""
-    fpr = false_positive_rates(scores).groupBy(MODEL).agg(*[
-        F.max(F.when(F.col("scenario_key") == k, F.col("fpr"))).alias(f"fpr_{k}") for k in ("steady_state", "demand_shock")])
-    base = scores.groupBy(MODEL).agg(F.max("threshold").alias("threshold"))
-    parts = [fpr, detection(scores), micro_sensitivity(scores), alert_stability(scores, series)]
-    for part in parts:
-        base = base.join(part, MODEL, "left")
-    return base
+    """The operational metrics of every model, one row each (``scores`` carries ``threshold``).
+
+    The same figures as the functions above, from a single ordered pass over each run: rows from the onset
+    on are those up to which some row was a leak. ``series`` orders the rows of a (model, run).
+    """
+    rows = scores.withColumn("_on", _hit().cast("int"))
+    rows = scan(rows, series, previous={"_was": F.col("_on")}, maxima={"_begun": F.col("target")})
+    leak, on = F.col("target") == 1, F.col("_on")
+    micro = {"_faint": leak & (F.col("leak_severity") < 0.3), "_micro": leak & (F.col("scenario_key") == "micro_leak")}
+    normal = {f"_{k}": ~leak & (F.col("target") == 0) & (F.col("scenario_key") == k) for k in ("steady_state", "demand_shock")}
+    seep = F.col("scenario_key") == "slow_seep"
+    counted = {**micro, **normal}
+    runs = rows.groupBy(*series.keys).agg(
+        F.max("threshold").alias("threshold"), F.max("target").alias("_leak"), F.count(F.lit(1)).alias("_n"),
+        F.sum(F.abs(on - F.coalesce("_was", on))).alias("_flips"),
+        F.min(F.when(seep & leak, F.col("step_index"))).alias("_onset"),
+        F.min(F.when(seep & (F.col("_begun") == 1) & (on == 1), F.col("step_index"))).alias("_found"),
+        *[F.count_if(c).alias(f"{k}_n") for k, c in counted.items()],
+        *[F.count_if(c & (on == 1)).alias(f"{k}_hit") for k, c in counted.items()],
+    )
+
+    def share(k: str) -> Column:
+        return F.sum(f"{k}_hit") / F.nullif(F.sum(f"{k}_n"), F.lit(0))
+
+    started = F.col("_onset").isNotNull()
+    return runs.groupBy(MODEL).agg(
+        F.max("threshold").alias("threshold"), share("_steady_state").alias("fpr_steady_state"), share("_demand_shock").alias("fpr_demand_shock"),
+        F.avg(F.when(started, F.col("_found") - F.col("_onset"))).alias("delay"),
+        F.avg(F.when(started, F.col("_found").isNotNull().cast("double"))).alias("detection_rate"),
+        F.coalesce(share("_faint"), share("_micro")).alias("sensitivity"),
+        F.avg(F.when(F.col("_leak") == 1, F.col("_flips") / F.col("_n"))).alias("toggle_rate"),
+    )
 
 
 def leaderboard(metrics: DataFrame) -> DataFrame:

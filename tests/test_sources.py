@@ -49,16 +49,6 @@ def test_matching_files_align_by_name(spark, folder):
     assert readers.read_matching(spark, folder, ["*.doc"]) is None
 
 
-def test_wells_and_file_sampling(spark, folder):
-    for label in ("0", "3"):
-        for well in ("W1", "W2", "W3"):
-            df = spark.createDataFrame([(1.0, 2.0, 103, i) for i in range(4)], "`P-PDG` double, QGL double, class int, extra int").coalesce(1)
-            df.write.parquet(f"{folder}/d/{label}/{well}.parquet")
-    spark.range(1).write.parquet(folder + "/d/folds/f.parquet")
-    files = readers.list_files(spark, folder + "/d", "*.parquet")
-    assert files.count() >= 6
-
-
 def test_well_paths(spark, folder):
     import os
 
