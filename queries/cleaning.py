@@ -371,7 +371,7 @@ def normalise_regime(spark, folder):
     return out.select(*views.SHIPMENT_ORDER, r6("flow_rate").alias("flow_rate"), r6("pressure").alias("pressure"))
 
 
-@query("text_functions", "D20", """
+@query("text_functions", "D20 D23", """
 SELECT event_id, trim(lower('  ' || upper(event_type) || ' ')) AS cleaned, event_type LIKE '%rr%' AS has_rr,
        replace(event_type || '_model', '_', ' ') AS spaced, strftime(ts, '%H:%M:%S') AS clock,
        CAST(floor(epoch(ts) - epoch(TIMESTAMP '2024-01-01')) AS BIGINT) AS secs, regexp_replace(event_type, '^(er|vi)', '') AS stripped FROM events""")

@@ -17,42 +17,67 @@ RING = 120  # readings kept: the longest frame is 90 rows, frames over deltas re
 STREAMED = [c for c in FEATURES if c not in CROSS_SEGMENT]
 
 
-def _filled(x: pd.Series) -> pd.Series:
-    return x.replace([np.inf, -np.inf], np.nan).fillna(0.0)
-
-
-def window_features(p: pd.Series, f: pd.Series) -> dict[str, pd.Series]:
-    """Bounded-frame features over consecutive readings of one segment."""
-    dp, df = p.diff().fillna(0.0), f.diff().fillna(0.0)
-    out = {"pressure_delta": dp, "flow_rate_delta": df}
-
-    def mean(x: pd.Series, n: int) -> pd.Series:
-        return x.rolling(n, min_periods=1).mean()
-
-    def std(x: pd.Series, n: int) -> pd.Series:
-        s = x.rolling(n, min_periods=1).std()
-        return s.where(s >= 1e-7, 0.0)  # rolling updates leave more noise than a fresh sum
-
-    def total(x: pd.Series, n: int) -> pd.Series:
-        return x.rolling(n, min_periods=1).sum()
-
-    for name, x, d in (("pressure", p, dp), ("flow", f, df)):
-        s5, m5, m20 = std(x, 5), mean(x, 5), mean(x, 20)
-        out[f"{name}_pct_delta"] = _filled(d / x.shift(1).abs())
-        out[f"{name}_roll_mean"], out[f"{name}_roll_std"] = m5, s5
-        out[f"{name}_roll_z"] = _filled((x - m5) / s5.where(s5 > FLAT_STD))
-        out[f"{name}_baseline_dev"] = x - m20
-        out[f"{name}_roll30_std"] = std(x, 30)
-        out[f"{name}_cusum_neg30"] = total(d.clip(upper=0.0), 30)
-        out[f"{name}_baseline60_dev"] = x - mean(x, 90)
-    m20, p30, f30 = mean(p, 20), mean(p, 30), mean(f, 30)
-    out["pressure_flow_ratio"] = _filled(p / f)
-    out["pressure_delta_deviation"] = dp - mean(dp, 5)
-    out["flow_neg_streak"] = total((df < -0.01).astype(float), 10)
-    out["pressure_neg_streak15"] = total((dp < -0.05).astype(float), 15)
-    out["pressure_accel"] = dp.diff().fillna(0.0)
-    out["pressure_baseline_pct"] = _filled((p - m20) / m20.abs())
-    out["pressure_flow_divergence"] = _filled((p - p30) / p30.abs()) - _filled((f - f30) / f30.abs())
+def _filled(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(x), x, 0.0)
+
+
+class _Frames:
+    """Trailing frames over consecutive readings, evaluated for the last ``n`` of them; gaps are skipped."""
+
+    def __init__(self, x: np.ndarray, n: int):
+        self.x, self.n = x, n
+
+    def _view(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        padded = np.concatenate([np.full(k - 1, np.nan), self.x])
+        frame = np.lib.stride_tricks.sliding_window_view(padded, k)[-self.n:]
+        seen = ~np.isnan(frame)
+        return np.where(seen, frame, 0.0), seen, seen.sum(axis=1)
+
+    def total(self, k: int) -> np.ndarray:
+        return self._view(k)[0].sum(axis=1)
+
+    def mean(self, k: int) -> np.ndarray:
+        values, _, count = self._view(k)
+        return values.sum(axis=1) / np.where(count > 0, count, np.nan)
+
+    def std(self, k: int) -> np.ndarray:
+        values, seen, count = self._view(k)
+        mean = values.sum(axis=1) / np.where(count > 0, count, np.nan)
+        spread = np.where(seen, values - mean[:, None], 0.0)
+        out = np.sqrt((spread * spread).sum(axis=1) / np.where(count > 1, count - 1, np.nan))
+        return np.where(out >= FLAT_STD, out, 0.0)
+
+
+def window_features(p: np.ndarray, f: np.ndarray, n: int) -> dict[str, np.ndarray]:
+    """Bounded-frame features of the last ``n`` of consecutive readings of one segment."""
+    out: dict[str, np.ndarray] = {}
+    with np.errstate(all="ignore"):
+        diffs = {}
+        for name, x in (("pressure", p), ("flow", f)):
+            before = np.concatenate([[np.nan], x[:-1]])
+            d = np.where(np.isnan(x - before), 0.0, x - before)
+            diffs[name] = d
+            w, now = _Frames(x, n), x[-n:]
+            m5, s5, m20 = w.mean(5), w.std(5), w.mean(20)
+            out["pressure_delta" if name == "pressure" else "flow_rate_delta"] = d[-n:]
+            out[f"{name}_pct_delta"] = _filled(d[-n:] / np.abs(before[-n:]))
+            out[f"{name}_roll_mean"], out[f"{name}_roll_std"] = m5, s5
+            out[f"{name}_roll_z"] = np.where(s5 > 0, _filled((now - m5) / s5), 0.0)
+            out[f"{name}_baseline_dev"] = now - m20
+            out[f"{name}_roll30_std"] = w.std(30)
+            out[f"{name}_cusum_neg30"] = _Frames(np.minimum(d, 0.0), n).total(30)
+            out[f"{name}_baseline60_dev"] = now - w.mean(90)
+            m30 = w.mean(30)
+            out[f"_{name}_trend"] = _filled((now - m30) / np.abs(m30))
+            if name == "pressure":
+                out["pressure_baseline_pct"] = _filled((now - m20) / np.abs(m20))
+        dp, dq = diffs["pressure"], diffs["flow"]
+        out["pressure_flow_ratio"] = _filled(p[-n:] / f[-n:])
+        out["pressure_flow_divergence"] = out.pop("_pressure_trend") - out.pop("_flow_trend")
+        out["pressure_delta_deviation"] = dp[-n:] - _Frames(dp, n).mean(5)
+        out["flow_neg_streak"] = _Frames((dq < -0.01).astype(float), n).total(10)
+        out["pressure_neg_streak15"] = _Frames((dp < -0.05).astype(float), n).total(15)
+        out["pressure_accel"] = np.concatenate([[0.0], np.diff(dp)])[-n:]
     return out
 
 
@@ -66,25 +91,25 @@ def stream_features(rows: DataFrame, keys: Sequence[str] = ("segment_id",), want
     q = 1.0 - 2.0 / (EWM_SPAN + 1.0)
 
     def step(new: pd.DataFrame, carry: tuple) -> tuple[pd.DataFrame, tuple]:
-        ring_p, ring_f, sums = list(carry[0]), list(carry[1]), list(carry[2])
-        p = pd.Series(ring_p + new["pressure"].tolist(), dtype=float)
-        f = pd.Series(ring_f + new["flow_rate"].tolist(), dtype=float)
-        cols = window_features(p, f)
-        n = len(new)
-        for i, (name, x) in enumerate((("pressure", new["pressure"]), ("flow", new["flow_rate"]))):
-            at = 4 * i
-            seen = x.notna()
-            total, count = x.fillna(0.0).cumsum() + sums[at], seen.cumsum() + sums[at + 1]
+        sums, n = list(carry[2]), len(new)
+        news = {"pressure": new["pressure"].to_numpy(), "flow": new["flow_rate"].to_numpy()}
+        rings = [np.concatenate([np.asarray(ring, dtype=float), x]) for ring, x in zip(carry[:2], news.values())]
+        cols = window_features(*rings, n)
+        for at, (name, x) in zip((0, 4), news.items()):
+            known = ~np.isnan(x)
+            filled = np.where(known, x, 0.0)
+            total, count = filled.cumsum() + sums[at], known.cumsum() + sums[at + 1]
             num, den = sums[at + 2], sums[at + 3]
-            ema = np.empty(n)
-            for j, v in enumerate(x.to_numpy()):
-                num, den = q * num + (0.0 if v != v else v), q * den + (v == v)
-                ema[j] = num / den if den else np.nan
-            cols[f"{name}_expanding_dev"] = x - total / count
-            cols[f"{name}_ema_dev"] = x - ema
-            sums[at:at + 4] = [float(total.iloc[-1]), float(count.iloc[-1]), float(num), float(den)]
-        extra = pd.DataFrame({c: cols[c].to_numpy()[-n:] for c in names})
-        return extra, (p.tolist()[-RING:], f.tolist()[-RING:], sums)
+            ema = []
+            for v, k in zip(filled.tolist(), known.tolist()):
+                num, den = q * num + v, q * den + k
+                ema.append(num / den if den else np.nan)
+            with np.errstate(all="ignore"):
+                cols[f"{name}_expanding_dev"] = x - total / count
+            cols[f"{name}_ema_dev"] = x - np.array(ema)
+            sums[at:at + 4] = [float(total[-1]), float(count[-1]), float(num), float(den)]
+        extra = pd.DataFrame({c: cols[c] for c in names})
+        return extra, (rings[0][-RING:].tolist(), rings[1][-RING:].tolist(), sums)
 
     doubles = T.ArrayType(T.DoubleType())
     return process_in_order(
