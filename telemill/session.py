@@ -5,8 +5,14 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
+import telemill
+
+# functions sent to Python workers travel with the job, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(telemill)
+
 RUNTIME_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
