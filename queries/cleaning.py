@@ -328,7 +328,7 @@ def model_matrix(spark, folder):
 
 @query("leak_type_rules", "D28 D31", f"""
 WITH {TELEMETRY}, x AS (SELECT seq, event_type, least(pressure / 100.0, 1.0) AS score, flow_rate / 1000.0 AS dev,
-                        -pressure / 300.0 AS cusum, seq % 9 AS steps, seq % 37 = 0 AS forced FROM telemetry),
+                        -pressure / 300.0 AS cusum, seq % 9 AS steps, leak_severity >= 0.5 AS forced FROM telemetry),
 o AS (SELECT *, CASE WHEN event_type = 'error' THEN 'warning' ELSE 'normal' END AS ev FROM x)
 SELECT seq, CASE WHEN forced THEN 'Fast Rupture' WHEN score >= 0.85 AND dev >= 0.05 THEN 'Fast Rupture' WHEN dev >= 0.04 OR abs(cusum) >= 0.6 THEN 'Slow Seep'
        WHEN ev = 'warning' AND dev >= 0.015 THEN 'Pump-Assisted Leak' WHEN dev < 0.025 AND steps >= 4 THEN 'Micro Leak' ELSE 'Slow Seep' END AS leak_type,
@@ -338,7 +338,7 @@ FROM o""")
 def leak_type_rules(spark, folder):
     t = views.telemetry(spark, folder)
     score = F.least(F.col("pressure") / 100.0, F.lit(1.0))
-    known = t.where(F.col("seq") % 37 == 0).select("seq", F.lit("Fast Rupture").alias("known"))
+    known = t.where(F.col("leak_severity") >= 0.5).select("seq", F.lit("Fast Rupture").alias("known"))
     kind = fn.leak_type(score, F.col("flow_rate") / 1000.0, -F.col("pressure") / 300.0,
                         F.when(F.col("event_type") == "error", "warning").otherwise("normal"), F.col("seq") % 9)
     out = t.withColumn("kind", kind).join(known, "seq", "left")

@@ -320,13 +320,13 @@ def alerts_confirmation(spark, folder):
 
 _CONTEXT = "CASE WHEN seq % 3 = 0 THEN 'leak_progression' ELSE 'nominal' END"
 _GATED = f"""
-hist AS (SELECT segment_id, timestamp, leak_severity AS sev, {_CONTEXT} AS ctx FROM telemetry WHERE seq % 4 <> 1),
+hist AS (SELECT segment_id, timestamp, leak_severity AS sev, {_CONTEXT} AS ctx FROM telemetry WHERE event_type <> 'view'),
 gated AS (SELECT s.*, CASE WHEN sev IS NULL THEN leak_score WHEN ctx LIKE '%leak%' THEN CASE WHEN sev >= 0.03 THEN leak_score ELSE 0.0 END
                  WHEN sev >= 0.55 THEN leak_score ELSE 0.0 END AS effective FROM scores s LEFT JOIN hist h ON h.segment_id = s.segment_id AND h.timestamp = s.timestamp)"""
 
 
 def gated(spark, folder):
-    t = views.telemetry(spark, folder).where(F.col("seq") % 4 != 1)
+    t = views.telemetry(spark, folder).where(F.col("event_type") != "view")
     hist = t.select("segment_id", "timestamp", "seq", F.col("leak_severity").alias("sev"),
                     F.when(F.col("seq") % 3 == 0, "leak_progression").otherwise("nominal").alias("ctx"))
     s = lookup(views.scores(spark, folder), hist, ["segment_id", "timestamp"], ["seq"], ["sev", "ctx"])
@@ -375,13 +375,13 @@ def policy_toggle_rates(spark, folder):
 
 
 @query("incremental_scores", "P6", f"""
-WITH {SCORES} SELECT model_name, seq, {r("CASE WHEN seq % 3 = 0 THEN leak_score ELSE leak_score / 2 END", 'leak_score')} FROM scores""")
+WITH {SCORES} SELECT model_name, seq, {r("CASE WHEN target = 1 THEN leak_score ELSE leak_score / 2 END", 'leak_score')} FROM scores""")
 def incremental_scores(spark, folder):
     from telemill.operators.joins import latest_per_key, matching, missing
 
     s = views.scores(spark, folder)
     key = ["model_name", "segment_id", "timestamp", "seq"]
-    cached = s.where(F.col("seq") % 3 == 0).select(*key, "leak_score")
+    cached = s.where(F.col("target") == 1).select(*key, "leak_score")
     current = s.select(*key)
     fresh = missing(s, cached, key).select(*key, (F.col("leak_score") / 2).alias("leak_score"))
     merged = matching(cached, current, key).withColumn("arrival", F.lit(0)).unionByName(fresh.withColumn("arrival", F.lit(1)))

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.joins import latest_per_key, missing
 
@@ -29,18 +30,25 @@ def first_arrivals(rows: DataFrame, key: Sequence[str]) -> DataFrame:
     return rows.dropDuplicatesWithinWatermark(list(key))
 
 
-def score_batches(score: Callable[[DataFrame], DataFrame], path: str, key: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def score_batches(
+    score: Callable[[DataFrame], DataFrame], path: str, key: Sequence[str], time: str = "timestamp",
+) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink scoring only rows not scored before, safe to repeat.
 
-    Each batch writes its own partition, so a batch run again replaces what it wrote the first time.
+    Each batch writes its own partition, so a batch run again replaces what it wrote the first time. Earlier
+    scores are looked up over the batch's own stretch of time only (``time`` is part of the key).
     """
+    if time not in key:
+        raise ValueError("the key must contain the time column")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         scored = score(latest_per_key(batch, key, ["seq"]))
         if batch_id > 0:
+            span = batch.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
             # earlier batches only, so that a repeated batch does not meet its own rows
-            done = spark.read.parquet(path).where(F.col("batch") < batch_id)
+            schema = T.StructType([*scored.schema.fields, T.StructField("batch", T.IntegerType())])
+            done = spark.read.schema(schema).parquet(path).where((F.col("batch") < batch_id) & F.col(time).between(span["lo"], span["hi"]))
             scored = missing(scored, done, key)
         out = scored.withColumn("batch", F.lit(batch_id))
         out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
