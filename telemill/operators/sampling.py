@@ -71,15 +71,16 @@ def rebalance(
     limit = F.floor(F.col("_pos") * ratio)
     reduced = (F.col("_pos") > 0) & (F.col("_neg") > 0) & (F.col("_neg") > limit)
     plan = counts.select(*by, reduced.alias("_reduce"), F.when(reduced, limit).alias("quota"))
+    # one small row per group decides everything; the rows are then read once and filtered
+    ends = cutoffs(df.where(F.col("target") == 0), by, key, plan.where("_reduce").select(*by, "quota"), seed)
+    ends = ends.withColumnsRenamed({"quota": "_quota", "cutoff": "_cutoff"})
+    inside = (F.col("_quota") > 0) & (F.col("_cutoff").isNull() | (F.struct(hash_rank(seed, key).alias("_hash"), *key) <= F.col("_cutoff")))
+    keep = F.col("_quota").isNull() | (F.col("target") == 1) | ((F.col("target") == 0) & inside)
     if by:
-        tagged = df.join(plan.select(*by, "_reduce"), list(by))
-        negatives = take(tagged.where(F.col("_reduce") & (F.col("target") == 0)), by, key,
-                         plan.where("_reduce").select(*by, "quota"), seed)
+        out = df.join(ends, list(by), "left").where(keep).select(*df.columns)
     else:
-        tagged = df.withColumn("_reduce", plan.select("_reduce").scalar())
-        negatives = take(tagged.where(F.col("_reduce") & (F.col("target") == 0)), [], key, plan.select("quota"), seed)
-    others = tagged.where(~F.col("_reduce") | (F.col("target") == 1))
-    out = others.unionByName(negatives).drop("_reduce")
+        one = df.withColumn("_end", ends.select(F.struct("_quota", "_cutoff")).scalar())
+        out = one.withColumns({"_quota": F.col("_end._quota"), "_cutoff": F.col("_end._cutoff")}).where(keep).select(*df.columns)
     return out if cap is None else cap_rows(out, key, cap, by, seed)
 
 
