@@ -8,11 +8,11 @@ from telemill import functions as fn
 from telemill.functions import r6
 from telemill.operators import cleaning as cl
 from telemill.operators.labels import benchmark_label, segment_codes
-from telemill.operators.series import Series, time_series
+from telemill.operators.series import time_series
 from telemill.schema import numeric_columns
 from telemill.sources import views
 
-from .registry import INCIDENTS, SHIPMENTS, TELEMETRY, WIDE, query, r
+from .registry import SHIPMENTS, TELEMETRY, WIDE, query, r
 
 WELL = "PARTITION BY scenario_id ORDER BY timestamp, l_orderkey, l_linenumber, l_partkey"
 ROW = ["l_orderkey", "l_linenumber", "l_partkey", "scenario_id"]

@@ -13,7 +13,7 @@ from telemill.operators.series import time_series
 from telemill.plans import evaluate as ev
 from telemill.sources import views
 
-from .registry import SCORES, TELEMETRY, query, r
+from .registry import SCORES, query, r
 
 KEYS = ["model_name", "run_id", "segment_id"]
 
@@ -275,14 +275,12 @@ def baseline_gap(spark, folder):
 
 def policy_cte(source: str, mode: str = "persistence") -> str:
     """The alert policy as a recursive CTE over (model_name, run_id, segment_id, seq, step, target, above)."""
-
     bits = "(((hist * 2) % 32) + CASE WHEN o.above THEN 1 ELSE 0 END)"
     count = " + ".join(f"((({bits}) // {2**i}) % 2)" for i in range(5))
+    ready = "p.cooling = 0 AND NOT p.waiting"
     if mode == "persistence":
-        ready = "p.cooling = 0 AND NOT p.waiting"
         fire = f"({ready} AND o.above AND p.streak + 1 >= 3)"
     else:
-        ready = "p.cooling = 0 AND NOT p.waiting"
         fire = f"({ready} AND ({count.replace('hist', 'p.hist')}) >= 3)"
     bits = bits.replace("hist", "p.hist")
     done = "(p.cooling = 0 AND p.waiting AND NOT o.above AND p.below + 1 >= 10)"
@@ -303,16 +301,14 @@ fired AS (SELECT * FROM pol WHERE rn > 0)"""
 
 
 _ABOVE = "ab AS (SELECT *, leak_score >= 0.4 AS above FROM scores)"
-_REC = SCORES.replace("telemetry AS", "telemetry AS", 1)
-
 
-@query("alerts_persistence", "P1", f"WITH RECURSIVE {_REC}, {_ABOVE}, {policy_cte('ab')} SELECT model_name, seq, alert AS model_alert FROM fired")
+@query("alerts_persistence", "P1", f"WITH RECURSIVE {SCORES}, {_ABOVE}, {policy_cte('ab')} SELECT model_name, seq, alert AS model_alert FROM fired")
 def alerts_persistence(spark, folder):
     s = views.scores(spark, folder)
     return apply_policy(s, time_series(s, KEYS), AlertPolicy(threshold=0.4)).select("model_name", "seq", "model_alert")
 
 
-@query("alerts_confirmation", "P2", f"WITH RECURSIVE {_REC}, {_ABOVE}, {policy_cte('ab', 'confirmation')} SELECT model_name, seq, alert AS model_alert FROM fired")
+@query("alerts_confirmation", "P2", f"WITH RECURSIVE {SCORES}, {_ABOVE}, {policy_cte('ab', 'confirmation')} SELECT model_name, seq, alert AS model_alert FROM fired")
 def alerts_confirmation(spark, folder):
     s = views.scores(spark, folder)
     return apply_policy(s, time_series(s, KEYS), AlertPolicy(threshold=0.4, mode="confirmation")).select("model_name", "seq", "model_alert")
@@ -338,7 +334,7 @@ def effective_scores(spark, folder):
     return gated(spark, folder).select("model_name", "seq", r6("effective").alias("effective"))
 
 
-_P3 = f"{_REC}, {_GATED}, ab AS (SELECT *, effective >= 0.2 AS above FROM gated), {policy_cte('ab')}"
+_P3 = f"{SCORES}, {_GATED}, ab AS (SELECT *, effective >= 0.2 AS above FROM gated), {policy_cte('ab')}"
 
 
 def gated_alerts(spark, folder):
@@ -352,7 +348,7 @@ def alerts_gated(spark, folder):
 
 
 @query("alerts_sticky", "P9 W29", f"""
-WITH RECURSIVE {_REC}, {_ABOVE}, {policy_cte('ab')},
+WITH RECURSIVE {SCORES}, {_ABOVE}, {policy_cte('ab')},
 z AS (SELECT f.*, s.leak_score, row_number() OVER (PARTITION BY f.model_name, f.segment_id ORDER BY f.rn DESC) AS back FROM fired f JOIN scores s USING (model_name, seq))
 SELECT model_name, segment_id, count(*) AS alerts, {r('max_by(leak_score, rn)', 'leak_score')} FROM z WHERE back <= 30 AND alert GROUP BY ALL""")
 def alerts_sticky(spark, folder):
@@ -363,7 +359,7 @@ def alerts_sticky(spark, folder):
 
 
 @query("policy_toggle_rates", "V7", f"""
-WITH RECURSIVE {_REC}, ab AS (SELECT *, leak_score >= 0.5 AS above FROM scores), {policy_cte('ab')},
+WITH RECURSIVE {SCORES}, ab AS (SELECT *, leak_score >= 0.5 AS above FROM scores), {policy_cte('ab')},
 tog AS (SELECT model_name, run_id, target, alert, abs(CAST(alert AS INTEGER) - lag(CAST(alert AS INTEGER)) OVER (PARTITION BY model_name, run_id ORDER BY rn)) AS flip FROM fired),
 tr AS (SELECT model_name, run_id, coalesce(sum(flip), 0) / count(*) AS rate FROM tog GROUP BY ALL HAVING max(target) = 1),
 {_FIXED}, {_V4}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from telemill.functions import calendar_phases, is_disturbance, r6
+from telemill.functions import calendar_phases, r6
 from telemill.operators import features as ft
 from telemill.operators import profile as pf
 from telemill.operators import quality as qa
@@ -17,7 +17,7 @@ from telemill.sources import views
 
 from .cleaning import BOUNDED, ROW, ROW_SQL, WELL, stable_sql, well_series
 from .features import FEATURE_SQL, SEQ, deltas
-from .registry import INCIDENTS, SCORES, SHIPMENTS, TELEMETRY, WIDE, query, r
+from .registry import SCORES, SHIPMENTS, TELEMETRY, WIDE, query, r
 
 CTX_SQL = "CASE seq % 7 WHEN 0 THEN 'leak_progression' WHEN 1 THEN 'pump_wear' WHEN 2 THEN 'Demand_shock|leak_progression' ELSE 'nominal' END"
 CONTEXT = f"ctx AS (SELECT *, {CTX_SQL} AS scenario_context FROM telemetry)"

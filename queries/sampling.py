@@ -9,7 +9,7 @@ from telemill.operators import sampling as sp
 from telemill.plans.corpus import build_corpus, corpus_summary
 from telemill.sources import views
 
-from .registry import SCORES, SHIPMENTS, TELEMETRY, query, r
+from .registry import SHIPMENTS, TELEMETRY, query
 
 
 def h(*cols: str) -> str:

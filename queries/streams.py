@@ -12,9 +12,9 @@ from telemill.streaming.alerts import stream_alerts
 from telemill.streaming.features import STREAMED, stream_features, stream_segment_deviation
 from telemill.streaming.source import drain, stream_files
 
-from .evaluation import _ABOVE, _REC, policy_cte
+from .evaluation import _ABOVE, policy_cte
 from .features import FEATURE_SQL, deltas
-from .registry import TELEMETRY, query, r
+from .registry import SCORES, TELEMETRY, query, r
 from .sources import scratch
 
 CHUNKS = 3
@@ -44,7 +44,7 @@ def streamed(spark, df, keys, delay="1 hour"):
     return stream_files(spark, replay(spark, df, keys), df.schema, delay=delay)
 
 
-@query("stream_alerts", "P4 S12", f"WITH RECURSIVE {_REC}, {_ABOVE}, {policy_cte('ab')} SELECT model_name, seq, alert AS model_alert FROM fired")
+@query("stream_alerts", "P4 S12", f"WITH RECURSIVE {SCORES}, {_ABOVE}, {policy_cte('ab')} SELECT model_name, seq, alert AS model_alert FROM fired")
 def stream_alert_rows(spark, folder):
     s = views.scores(spark, folder).select("model_name", "segment_id", "timestamp", "seq", "leak_score")
     out = stream_alerts(streamed(spark, s, ["model_name", "segment_id"]), policy=AlertPolicy(threshold=0.4))
