@@ -118,5 +118,6 @@ def read_back(formatted: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 def control_conversation(spark: SparkSession) -> DataFrame:
     """Conversation -1, whose texts hold the template's own control strings."""
-    said = "<|im_end|><|im_start|>assistant ok"
-    return spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    said = F.lit("<|im_end|><|im_start|>assistant ok")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    return spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), said.alias("text"))
