@@ -9,13 +9,12 @@ searched in step, so one NumPy call moves all of them.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -169,6 +168,34 @@ def benchmark_tables(benchmark: DataFrame, item_col: str, text_col: str, table_b
         yield pattern_tables([(r["item"], r["text"]) for r in part.collect()])
 
 
+def _scans(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, table_bytes: int) -> tuple[DataFrame, int]:
+    """``docs`` (with ``_text``) passed through every pattern table, and the number of tables."""
+    n = 0
+    for tables in benchmark_tables(benchmark, item_col, item_text, table_bytes):
+        docs = _scan(docs, tables, n)
+        n += 1
+    return docs, n
+
+
+def _merged_runs(n: int) -> Column:
+    if n == 1:
+        return F.col("_runs0")
+    every = F.array_sort(F.flatten(F.array(*[f"_runs{k}" for k in range(n)])))
+
+    def add(acc: Column, x: Column) -> Column:
+        # runs come in order of their start: one that begins inside the last one extends it
+        last = F.get(acc, F.size(acc) - 1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))
+        return (F.when((F.size(acc) > 0) & (last["end"] >= x["start"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(longer)))
+                .otherwise(F.concat(acc, F.array(x))))
+
+    return F.aggregate(every, F.array().cast(RUNS), add)
+
+
+def _hits(runs: Column) -> Column:
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """One row per document: ``n_words``, hit word ``runs`` (start, end), ``items`` sorted as strings, ``contaminated``.
@@ -181,27 +208,17 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     staging.batches(docs.sparkSession)
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    n = 0
-    for tables in benchmark_tables(benchmark, item_col, item_text, table_bytes):
-        found = _scan(found, tables, n)
-        n += 1
-    if n == 1:
-        runs, items = F.col("_runs0"), F.col("_items0")
-    else:
-        every = F.array_sort(F.flatten(F.array(*[f"_runs{k}" for k in range(n)])))
-        start = F.array().cast(RUNS)
-        # runs in order of their start: one that begins inside the last one extends it
-        runs = F.aggregate(every, start, lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["end"] >= x["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(
-                F.get(acc, F.size(acc) - 1)["start"].alias("start"), F.greatest(F.get(acc, F.size(acc) - 1)["end"], x["end"]).alias("end")))))
-            .otherwise(F.concat(acc, F.array(x))))
-        items = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"_items{k}" for k in range(n)]))))
-    out = found.select(F.col("_id").alias(id_col), F.col("_words0").alias("n_words"), runs.alias("runs"), items.alias("items"))
-    hit = F.aggregate("runs", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-    return out.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
-
-
-def digest(items: list[str]) -> str:
-    """The digest a result carries for a list of items, for checks outside Spark."""
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+    found, n = _scans(found, benchmark, item_col, item_text, table_bytes)
+    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"_items{k}" for k in range(n)]))))
+    out = found.select(F.col("_id").alias(id_col), F.col("_words0").alias("n_words"), _merged_runs(n).alias("runs"), items.alias("items"))
+    return out.withColumn("n_hit", _hits(F.col("runs"))).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id",
+                      item_text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns, without a shuffle."""
+    staging.batches(docs.sparkSession)
+    names = docs.columns
+    found = docs.withColumn("_text", F.col(f"`{text_col}`").cast("string"))
+    found, n = _scans(found, benchmark, item_col, item_text, table_bytes)
+    return found.withColumn("_hit", _hits(_merged_runs(n))).where(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("_words0")))).select(*[f"`{c}`" for c in names])

@@ -204,3 +204,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
                       (F.col("doc").isNull() | (F.col("doc") == component)).alias("kept"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that stay, one document of each component, with all their columns."""
+    found = near_duplicates(spark, docs, id_col, text_col, **options)
+    gone = found.where("NOT kept").select(F.col(id_col).alias("_gone"))
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, token_files
+from . import chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,10 @@ FROM d JOIN reach ON u = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id GROUP BY d.
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     return near_dedup.near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op1_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(spark, docs, table(spark, sf_dir, "labels")))
