@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, token_files
+from . import brown, chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,3 +125,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(spark, docs, table(spark, sf_dir, "labels")))
+
+
+@query("op4_lm_score")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class-based log probabilities of every document."""
+    return brown.score(spark, table(spark, sf_dir, "documents"))
