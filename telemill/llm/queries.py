@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import brown, chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, token_files
+from . import brown, chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, substring_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -131,3 +131,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class-based log probabilities of every document."""
     return brown.score(spark, table(spark, sf_dir, "documents"))
+
+
+@query("op2_substring_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 bytes that occur again, removed from every document."""
+    found = substring_dedup.repeated_spans(spark, table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
