@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
-from . import brown, chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, substring_dedup, token_files
+from . import brown, chat_format, decontaminate, encode, exact_dedup, near_dedup, packing, quality, substring_dedup, token_files, unigram
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -138,3 +138,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte strings of 400 bytes that occur again, removed from every document."""
     found = substring_dedup.repeated_spans(spark, table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram token counts of every document."""
+    scores = unigram.pieces(encode.tokenizer_path("piece_bpe_32k.model"))
+    return unigram.token_counts(spark, table(spark, sf_dir, "documents"), scores)

@@ -16,7 +16,7 @@ def stage(spark: SparkSession, df: DataFrame, *, compression: str = "zstd", part
     """``df`` as a written table: later reads cost a scan, and lost executors cost no recomputation."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/telemill-{uuid.uuid4().hex}"
     df.write.option("compression", compression).partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def batches(spark: SparkSession) -> SparkSession:

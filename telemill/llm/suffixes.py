@@ -266,13 +266,15 @@ def repeated(t: np.ndarray, length: int, folder: str, memory: int = MEMORY) -> n
             continue
         a, b, ra, rb, da, db = pos[:-1], pos[1:], rank[:-1], rank[1:], dist[:-1], dist[1:]
         near = (da == db) & (da < min(64, length))
-        pairs = np.flatnonzero(near & (ra < rb))
+        # LMS suffixes that agree beyond the length sought may come in either order
+        low, high = np.minimum(ra, rb), np.maximum(ra, rb)
+        pairs = np.flatnonzero(near)
         hit = np.zeros(len(a), bool)
         for d in np.unique(da[pairs]).tolist():
             own = pairs[da[pairs] == d]
             if d not in below:
                 below[d] = np.cumsum(lcp < length - d, dtype=np.int32)
-            own = own[below[d][rb[own]] == below[d][ra[own]]]
+            own = own[below[d][high[own]] == below[d][low[own]]]
             if d and len(own):
                 own = own[common_prefix(words, a[own], b[own], np.zeros(len(own), np.int64), d) >= d]
             hit[own] = True
