@@ -14,11 +14,17 @@ import pandas as pd
 from . import text
 
 #: Distinct pieces remembered by one task before it starts over; bounds memory, results do not depend on it.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 _JOINED = 2000
 #: Lead bytes of characters that may be white space; a blank before one of them is not taken as a cut.
 _UNSURE = np.zeros(256, bool)
 _UNSURE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
+#: Kinds of ASCII bytes: 1 letters, 2 digits, 3 signs but the apostrophe. Two-byte Latin letters count as letters too.
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[0x21:0x7F] = 3
+_CLASS[0x27] = 0
+_CLASS[0x30:0x3A] = 2
+_CLASS[0x41:0x5B] = _CLASS[0x61:0x7B] = 1
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,17 +59,35 @@ class PieceEncoder:
 
     def cut(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Piece starts and ends, and piece offsets per document."""
-        if not self.leading_space:
-            return text.spans(buf, offsets, text.NOT_SPACE)
-        first = np.zeros(len(buf) + 1, bool)
-        if len(buf) > 1:
-            following = buf[1:]
-            first[:len(buf) - 1] = (buf[:-1] == 0x20) & ~text.SPACE[following] & (following > 0x20) & ~_UNSURE[following]
-        first[offsets[:-1][offsets[:-1] < offsets[1:]]] = True
-        first[len(buf)] = False
-        starts = np.flatnonzero(first)
-        ends = np.append(starts[1:], len(buf))
-        return starts, ends[:len(starts)], np.searchsorted(starts, offsets)
+        n = len(buf)
+        kind = _CLASS[buf]
+        lead = (buf[:-1] >= 0xC3) & (buf[:-1] <= 0xC5) & ~((buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7)))
+        kind[:-1][lead] = kind[1:][lead] = 1
+        # a letter, a digit and a sign (but the apostrophe) next to each other are always cut apart
+        first = np.zeros(n + 1, bool)
+        first[1:n] = (kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)
+        begun = offsets[:-1][offsets[:-1] < offsets[1:]]
+        if self.leading_space:
+            if n > 1:
+                following = buf[1:]
+                blank = (buf[:-1] == 0x20) & ~text.SPACE[following] & (following > 0x20) & ~_UNSURE[following]
+                first[:n - 1] |= blank
+            first[begun] = True
+            first[n] = False
+            starts = np.flatnonzero(first)
+            ends = np.append(starts[1:], n)[:len(starts)]
+        else:
+            first[1:n] |= (kind[1:] == 2) & (kind[:-1] == 2)
+            inside = text.NOT_SPACE[buf]
+            first[1:n] |= ~inside[:-1]
+            first[begun] = True
+            first[:n] &= inside
+            first[n] = True
+            last = inside.copy()
+            last[:-1] &= first[1:n] | ~inside[1:]
+            first[n] = False
+            starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        return starts, ends, np.searchsorted(starts, offsets)
 
     def learn(self, pieces: list[str]) -> None:
         """Encode new pieces and append their ids to the pool, in the order given."""
@@ -90,6 +114,13 @@ class PieceEncoder:
         starts, ends, per_doc = self.cut(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+        if not self.leading_space:
+            # this tokenizer lower-cases; only all-ASCII pieces may be lower-cased before it composes characters
+            low, wide = text.LOWER[buf], np.concatenate(([0], np.cumsum(buf >= 0x80, dtype=np.int32)))
+            kept = wide[ends] > wide[starts]
+            at = text.ragged(starts[kept], (ends - starts)[kept])
+            low[at] = buf[at]
+            buf = low
         codes, distinct = pd.factorize(text.span_hash(text.prefix_hash(buf, self.powers), starts, ends, self.powers))
         if len(self.known) > REMEMBERED:
             self.reset()
