@@ -104,7 +104,6 @@ FAMILIES = {
     "features_slow_leak": ("W11 W12 W13 W14 W16", ft.SLOW_LEAK),
     "features_long_baseline": ("W17", ft.LONG_BASELINE),
     "features_expanding": ("W18", ft.EXPANDING),
-    "features_minimal": ("W36", ft.MINIMAL_FEATURES),
 }
 
 
@@ -163,13 +162,48 @@ def features_full_shipments(spark, folder):
     return out.select("segment_id", F.col("step").cast("long").alias("step"), *[r6(c).alias(c) for c in wanted])
 
 
+_CODES = """
+c AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM telemetry WHERE event_type IS NOT NULL))"""
+_FIVE = f"({SEQ} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+_TWENTY = f"({SEQ} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
+# columns of the two sets, written out so that the check does not follow the library's own lists
+_MINIMAL_SQL = [
+    r("dp", "pressure_delta"), r("df", "flow_rate_delta"),
+    r(f"avg(pressure) OVER {_FIVE}", "pressure_roll_mean"), r(f"avg(flow_rate) OVER {_FIVE}", "flow_roll_mean"),
+    r(f"CASE WHEN stddev_samp(pressure) OVER {_FIVE} >= 1e-9 THEN stddev_samp(pressure) OVER {_FIVE} ELSE 0 END", "pressure_roll_std"),
+    r(f"CASE WHEN stddev_samp(flow_rate) OVER {_FIVE} >= 1e-9 THEN stddev_samp(flow_rate) OVER {_FIVE} ELSE 0 END", "flow_roll_std"),
+    r("coalesce(pressure / nullif(flow_rate, 0), 0)", "pressure_flow_ratio"),
+    "CAST(coalesce(code, -1) AS INTEGER) AS event_type_encoded",
+]
+_FAST_SQL = _MINIMAL_SQL + [
+    r("coalesce(dp / nullif(abs(lp), 0), 0)", "pressure_pct_delta"), r("coalesce(df / nullif(abs(lf), 0), 0)", "flow_pct_delta"),
+    r(f"coalesce(CASE WHEN stddev_samp(pressure) OVER {_FIVE} >= 1e-9 THEN (pressure - avg(pressure) OVER {_FIVE}) / stddev_samp(pressure) OVER {_FIVE} END, 0)", "pressure_roll_z"),
+    r(f"coalesce(CASE WHEN stddev_samp(flow_rate) OVER {_FIVE} >= 1e-9 THEN (flow_rate - avg(flow_rate) OVER {_FIVE}) / stddev_samp(flow_rate) OVER {_FIVE} END, 0)", "flow_roll_z"),
+    r(f"dp - avg(dp) OVER {_FIVE}", "pressure_delta_deviation"),
+    r(f"sum(CASE WHEN df < -0.01 THEN 1 ELSE 0 END) OVER ({SEQ} ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)", "flow_neg_streak"),
+    r("pressure - mp", "pressure_segment_deviation"), r("flow_rate - mf", "flow_segment_deviation"),
+    r(f"pressure - avg(pressure) OVER {_TWENTY}", "pressure_baseline_dev"), r(f"flow_rate - avg(flow_rate) OVER {_TWENTY}", "flow_baseline_dev"),
+]
+
+
+def coded_features(spark: SparkSession, folder: str, wanted: list[str]) -> DataFrame:
+    t = views.telemetry(spark, folder)
+    out = ft.build_features(t, time_series(t, ["segment_id"]), wanted, tick="tick", encode_events=True)
+    return out.select("segment_id", "seq", *[r6(c).alias(c) for c in wanted], ft.EVENT_CODE)
+
+
+@query("features_minimal", "W36", f"""
+WITH {TELEMETRY}, {deltas()}, {_CODES}
+SELECT segment_id, seq, {', '.join(_MINIMAL_SQL)} FROM d LEFT JOIN c USING (event_type)""")
+def features_minimal(spark, folder):
+    return coded_features(spark, folder, ft.MINIMAL_FEATURES)
+
+
 @query("features_fast", "W36", f"""
-WITH {TELEMETRY}, {deltas()}, m AS (SELECT tick, avg(pressure) AS mp, avg(flow_rate) AS mf FROM telemetry GROUP BY tick)
-SELECT segment_id, seq, {', '.join(r(FEATURE_SQL[c], c) for c in ft.FAST_FEATURES if c not in ft.CROSS_SEGMENT)},
-       {r('pressure - mp', 'pressure_segment_deviation')}, {r('flow_rate - mf', 'flow_segment_deviation')}
-FROM d JOIN m USING (tick)""")
+WITH {TELEMETRY}, {deltas()}, {_CODES}, m AS (SELECT tick, avg(pressure) AS mp, avg(flow_rate) AS mf FROM telemetry GROUP BY tick)
+SELECT segment_id, seq, {', '.join(_FAST_SQL)} FROM d JOIN m USING (tick) LEFT JOIN c USING (event_type)""")
 def features_fast(spark, folder):
-    return telemetry_features(spark, folder, ft.FAST_FEATURES)
+    return coded_features(spark, folder, ft.FAST_FEATURES)
 
 
 @query("event_codes", "D7", f"""

@@ -37,24 +37,30 @@ def scan_by_extension(spark, folder):
 
 
 @query("glob_scan", "S3 U1", """
-SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, 'csv' AS kind FROM nation UNION ALL SELECT p_partkey, p_name, NULL, 'parquet' FROM part""")
+SELECT n_nationkey AS id, n_name AS name, n_regionkey AS region, NULL AS balance, 'csv' AS kind FROM nation
+UNION ALL SELECT r_regionkey, r_name, NULL, NULL, 'csv' FROM region
+UNION ALL SELECT s_suppkey, s_name, NULL, CAST(floor(s_acctbal) AS BIGINT), 'csv' FROM supplier
+UNION ALL SELECT p_partkey, p_name, NULL, NULL, 'parquet' FROM part""")
 def glob_scan(spark, folder):
     base = scratch(spark)
-    n = views.table(spark, folder, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
-    p = views.table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    t = {k: views.table(spark, folder, k) for k in ("nation", "region", "supplier", "part")}
+    n = t["nation"].select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region"))
+    # three header shapes under one pattern, one of them in another order, and a blank in a path
     sinks.write_csv(n, base + "/a/nation")
-    p.write.parquet(base + "/b/part")
+    sinks.write_csv(t["region"].select(F.col("r_name").alias("name"), F.col("r_regionkey").alias("id")), base + "/a/region names")
+    sinks.write_csv(t["supplier"].select(F.col("s_suppkey").alias("id"), F.floor("s_acctbal").alias("balance"), F.col("s_name").alias("name")), base + "/a/supplier")
+    t["part"].select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).write.parquet(base + "/b/part")
     df = readers.read_matching(spark, base, ["*.csv", "*.parquet", "*.xls"], recursive=True)
     kind = F.when(F.col("source_file").endswith(".csv"), "csv").otherwise("parquet")
-    return df.select(F.col("id").cast("bigint").alias("id"), "name", F.col("region").cast("int").alias("region"), kind.alias("kind"))
+    return df.select(F.col("id").cast("bigint").alias("id"), "name", F.col("region").cast("int").alias("region"), F.col("balance").cast("bigint").alias("balance"), kind.alias("kind"))
 
 
-def well_files(spark, folder) -> str:
-    """One directory per event class, as the field data is laid out."""
-    path = scratch(spark) + "/wells"
+def well_files(spark, folder, name: str = "wells", one_file: bool = False) -> str:
+    """One directory per event class, as the field data is laid out; ``one_file`` gives each class a single file."""
+    path = f"{scratch(spark)}/{name}"
     w = label_events(views.wide(spark, folder))
-    w.select(F.col("P_inlet").alias("P-PDG"), F.col("Q_inlet").alias("QGL"), "class", "timestamp", "event_class", F.col("l_partkey").alias("seq")) \
-        .repartition("event_class").write.partitionBy("event_class").parquet(path)
+    w = w.select(F.col("P_inlet").alias("P-PDG"), F.col("Q_inlet").alias("QGL"), "class", "timestamp", "event_class", F.col("l_partkey").alias("seq"))
+    (w.repartition("event_class") if one_file else w).write.partitionBy("event_class").parquet(path)
     return path
 
 
@@ -68,10 +74,15 @@ def well_scan(spark, folder):
 
 
 @query("sample_files_per_label", "S5", f"""
-WITH {WIDE} SELECT DISTINCT 'event_class=' || CAST(CASE WHEN class IS NULL THEN 0 WHEN class >= 100 THEN class % 100 ELSE class END AS VARCHAR) AS event_dir, CAST(1 AS BIGINT) AS files FROM wide""")
+WITH {WIDE}, c AS (SELECT *, CASE WHEN class IS NULL THEN 0 WHEN class >= 100 THEN class % 100 ELSE class END AS k FROM wide)
+SELECT 'event_class=' || CAST(k AS VARCHAR) AS event_dir, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, true AS named FROM c GROUP BY k""")
 def sample_files_per_label(spark, folder):
-    files = readers.list_files(spark, well_files(spark, folder))
-    return readers.sample_files(files, 1).groupBy("event_dir").agg(F.count(F.lit(1)).alias("files"))
+    """The rows of one file of each label; only those files are opened."""
+    path = well_files(spark, folder, "wells of the field", one_file=True)
+    files = readers.list_files(spark, path)
+    df = readers.read_wells(spark, path, readers.sample_files(files, 1))
+    named = F.col("scenario_id") == F.concat_ws("_", "event_dir", "well_id")
+    return df.groupBy("event_dir").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("parts"), F.bool_and(named).alias("named"))
 
 
 @query("export_scan", "S6 D4", f"""
@@ -109,7 +120,6 @@ SELECT o_orderpriority AS run_label, o_orderstatus AS model, round(avg(o_totalpr
 def json_summaries(spark, folder):
     o = views.table(spark, folder, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.round(F.avg("o_totalprice") / 500000.0, 4).alias("roc_auc"))
     packed = o.groupBy(F.col("o_orderpriority").alias("run_label")).agg(F.map_from_entries(F.collect_list(F.struct("o_orderstatus", F.struct("roc_auc")))).alias("models"))
-    path = sinks.write_summary(packed.repartition("run_label"), scratch(spark) + "/summaries")
-    back = spark.read.schema(f"run_label string, models {ev.SUMMARY_MODELS}").json([path, path])
-    back = back.select("*", F.col("_metadata.file_path").alias("path")).dropDuplicates(["path", "run_label"])
+    path = sinks.write_summary(packed.repartitionByRange(16, "run_label"), scratch(spark) + "/summaries")
+    back = readers.read_summaries(spark, [path, path], f"run_label string, models {ev.SUMMARY_MODELS}")
     return back.select("run_label", F.explode("models").alias("model", "m")).select("run_label", "model", "m.roc_auc")

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .keys import join_keys
 from .series import SLOT, Series
 
 
@@ -164,7 +165,7 @@ def apply_policy(
 
     entered = slots.groupBy(*series.keys).applyInPandas(
         chain, T.StructType([*part_fields, T.StructField("_enter", T.IntegerType())]))
-    return run(df.join(entered, parts)).drop("_above", "_enter", SLOT)
+    return run(join_keys(df, entered, parts)).drop("_above", "_enter", SLOT)
 
 
 def sticky_alerts(df: DataFrame, keys: Sequence[str], order: Sequence[str], ticks: int = 30) -> DataFrame:

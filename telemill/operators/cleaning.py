@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from ..functions import (SENSOR_BOUNDS, as_number, as_timestamp, binary_label, bounded_sensor, clip, event_class,
                          event_class_name, finite)
 from ..schema import BACKFILL_DEFAULTS, ESSENTIAL_COLUMNS, REQUIRED_COLUMNS, require_columns, resolve_target
-from .labels import segment_codes
+from .labels import numbered, segment_codes
 from .quantiles import exact_quantiles
 from .series import Series, scan
 
@@ -100,8 +100,8 @@ def training_frame(
     if "timestamp" in df.columns:
         df = df.withColumn("timestamp", as_timestamp("timestamp"))
     else:
-        df = scan(df, Series((), tuple(order)), position="_n")
-        df = df.withColumn("timestamp", F.timestamp_add("MINUTE", (F.col("_n") - 1).cast("int"), F.lit(start).cast("timestamp")))
+        df = numbered(df, order, "_n")
+        df = df.withColumn("timestamp", F.timestamp_add("MINUTE", F.col("_n").cast("int"), F.lit(start).cast("timestamp")))
     source = next((c for c in ("segment_id", "sensor_id", "asset_id", "source_file") if c in df.columns), None)
     df = segment_codes(fill_with_median(df, "temperature", 20.0), source)
     out = df.select(

@@ -35,8 +35,18 @@ EXPANDING = ["pressure_expanding_dev", "flow_expanding_dev"]
 
 FEATURES = (DELTAS + RELATIVE + ROLLING + ZSCORES + SHORT_TREND + CROSS_SEGMENT + BASELINE
             + SLOW_LEAK + EMA + LONG_BASELINE + EXPANDING)
-FAST_FEATURES = DELTAS + RELATIVE + ROLLING + ZSCORES + SHORT_TREND + CROSS_SEGMENT + BASELINE[:2]
-MINIMAL_FEATURES = DELTAS + RELATIVE[2:] + ROLLING[:1] + ROLLING[2:3] + SHORT_TREND[:1] + BASELINE[:2]
+EVENT_CODE = "event_type_encoded"
+# The columns of the fast and of the minimal feature set (both also hold EVENT_CODE).
+FAST_FEATURES = [
+    "pressure_delta", "flow_rate_delta", "pressure_pct_delta", "flow_pct_delta", "pressure_flow_ratio",
+    "pressure_roll_mean", "pressure_roll_std", "pressure_roll_z", "flow_roll_mean", "flow_roll_std", "flow_roll_z",
+    "pressure_delta_deviation", "flow_neg_streak", "pressure_segment_deviation", "flow_segment_deviation",
+    "pressure_baseline_dev", "flow_baseline_dev",
+]
+MINIMAL_FEATURES = [
+    "pressure_delta", "flow_rate_delta", "pressure_roll_mean", "pressure_roll_std", "flow_roll_mean", "flow_roll_std",
+    "pressure_flow_ratio",
+]
 
 
 def rows(w: WindowSpec, n: int) -> WindowSpec:

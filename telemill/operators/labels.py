@@ -2,37 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..session import checkpoint_dir, setting
-
-MAX_LABELS_PER_TASK = 1_000_000
+from ..session import checkpoint_dir
 
 
-def dense_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
-    """One row per distinct non-NULL label with its 0-based place in sort order.
+def numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
+    """Rows with their 0-based place in ``order``.
 
-    Up to a million labels are ranked in one task. More are range-sorted and written to the
-    checkpoint folder first, so that partition offsets and rows come from the same split.
+    Rows are range-sorted and written to the checkpoint folder, so that partition offsets and rows come from the same
+    split; places are then partition offset plus place in the partition. No task sees more than its own range.
     """
-    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
-    spark = df.sparkSession
-    if labels.count() <= setting(spark, "labels.maxPerTask", MAX_LABELS_PER_TASK):
-        return labels.withColumn(code, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
-    checkpoint_dir(spark)
-    placed = labels.orderBy(label).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
+    checkpoint_dir(df.sparkSession)
+    placed = df.orderBy(*order).withColumn("_id", F.monotonically_increasing_id()).checkpoint()
     placed = placed.withColumn("_part", F.shiftright("_id", 33))
-    sizes = placed.groupBy("_part").count()
-    offsets = sizes.select(
-        "_part",
-        F.coalesce(
-            F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-        ).alias("_off"),
-    )
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    # one row per partition
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_off"))
     inside = F.col("_id") - F.shiftleft(F.col("_part"), 33)
-    return placed.join(offsets, "_part").select(label, (F.col("_off") + inside).cast("int").alias(code))
+    return placed.join(offsets, "_part").withColumn(out, F.col("_off") + inside).drop("_id", "_part", "_off")
+
+
+def dense_codes(df: DataFrame, label: str, code: str = "code") -> DataFrame:
+    """One row per distinct non-NULL label with its 0-based place in sort order."""
+    labels = df.select(label).where(F.col(label).isNotNull()).distinct()
+    return numbered(labels, [label], code).withColumn(code, F.col(code).cast("int"))
 
 
 def category_codes(df: DataFrame, label: str, code: str) -> DataFrame:

@@ -116,28 +116,21 @@ def stale_blocks(df: DataFrame, series: Series, signal: str, at_least: int = 2)
     return sized.where(F.col("length") >= at_least)
 
 
+# Detectors in their order, the feature each looks at and the magnitude above which it responds.
+DRIFT_DETECTORS = [
+    ("expanding", "pressure_expanding_dev", 0.001),
+    ("baseline", "pressure_baseline_pct", 0.001),
+    ("deficit", "flow_cusum_neg30", 0.01),
+    ("divergence", "pressure_flow_divergence", 0.02),
+    ("drop", "pressure_cusum_neg30", 0.01),
+    ("ema", "pressure_ema_dev", 0.001),
+]
+
+
 def drift_signals(df: DataFrame, limit: int = 4) -> DataFrame:
-    """Up to four sentences per row on which drift detectors respond, in fixed order."""
-
-    def when(name: str, floor: float, text: Column) -> Column:
-        return F.when(F.abs(F.col(name)) > floor, text)
-
-    p = F.col("pressure_expanding_dev")
-    moved = F.when(p < 0, "dropped").otherwise("risen")
-    texts = [
-        when("pressure_expanding_dev", 0.001,
-             F.format_string("Pressure has %s %.3f bar from expanding baseline", moved, F.abs(p))),
-        when("pressure_baseline_pct", 0.001,
-             F.format_string("Pressure deviating %.2f%% from 20-step baseline", F.col("pressure_baseline_pct") * 100.0)),
-        when("flow_cusum_neg30", 0.01,
-             F.format_string("Flow deficit accumulating (CUSUM: %.3f)", F.col("flow_cusum_neg30"))),
-        when("pressure_flow_divergence", 0.02,
-             F.format_string("Pressure-flow divergence: %.3f (normal < 0.03)", F.col("pressure_flow_divergence"))),
-        when("pressure_cusum_neg30", 0.01,
-             F.format_string("Pressure CUSUM: %.3f (cumulative drop over 30 steps)", F.col("pressure_cusum_neg30"))),
-        when("pressure_ema_dev", 0.001, F.format_string("EMA drift detector: %.4f", F.col("pressure_ema_dev"))),
-    ]
-    return df.withColumn("signals", F.slice(F.array_compact(F.array(*texts)), 1, limit))
+    """The first ``limit`` drift detectors that respond on a row, as structs of detector and value."""
+    found = [F.when(F.abs(F.col(c)) > floor, F.struct(F.lit(name).alias("detector"), F.col(c).alias("value"))) for name, c, floor in DRIFT_DETECTORS]
+    return df.withColumn("signals", F.slice(F.array_compact(F.array(*found)), 1, limit))
 
 
 def resample_linear(df: DataFrame, series: Series, value: str, points: int) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
+from .keys import join_keys
 from .series import Series, scan
 
-BUCKET_DIGITS = 3  # 4096 hash buckets
+BUCKET_DIGITS = (3, 6, 9)  # hash digits counted in each round: 4096 buckets, then as many inside the one that matters
 
 
 def hash_rank(seed: int, key: Sequence[str]) -> Column:
@@ -22,29 +23,30 @@ def hash_rank(seed: int, key: Sequence[str]) -> Column:
 def cutoffs(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFrame, seed: int = 42) -> DataFrame:
     """Where each group's quota ends in hash order: ``(group, quota, cutoff)``, cutoff NULL where all rows fit.
 
-    Counts per hash bucket show which bucket holds the last row wanted; only that bucket, a 4096th of the
-    group, is ranked. The result has one row per group and is written to the checkpoint folder, so that the
-    rows themselves are afterwards picked by a filter alone.
+    Counts per hash bucket show which bucket holds the last row wanted; that bucket alone is counted again by a longer
+    prefix, and the bucket left after ``BUCKET_DIGITS`` rounds, less than a 10^10th of the group, is ranked. NULL is a
+    group like any other. The result has one row per group and is written to the checkpoint folder, so that the rows
+    themselves are afterwards picked by a filter alone.
     """
     rows = df.select(*dict.fromkeys([*group, *key])).withColumn("_hash", hash_rank(seed, key))
-    rows = rows.withColumn("_bucket", F.substring("_hash", 1, BUCKET_DIGITS))
-    sizes = rows.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    places = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    if group:
-        places = places.join(quotas, list(group))
-    else:
-        places = places.withColumn("quota", quotas.select("quota").scalar())
-    upto = F.col("_before") + F.col("_n")
-    edge = places.where((F.col("_before") < F.col("quota")) & (F.col("quota") <= upto))
-    edge = edge.select(*group, "_bucket", (F.col("quota") - F.col("_before")).alias("_room"))
-    ranked = Window.partitionBy(*group, "_bucket").orderBy("_hash", *key)
-    last = rows.join(edge, [*group, "_bucket"]).withColumn("_rank", F.row_number().over(ranked))
+    edge = quotas.select(*group, F.col("quota").alias("_room"))
+    within = list(group)
+    for digits in BUCKET_DIGITS:
+        rows = rows.withColumn(f"_b{digits}", F.substring("_hash", 1, digits))
+        near = join_keys(rows, edge, within) if within else rows.withColumn("_room", edge.select("_room").scalar())
+        sizes = near.groupBy(*within, f"_b{digits}").agg(F.count(F.lit(1)).alias("_n"), F.max("_room").alias("_room"))
+        before = Window.partitionBy(*within).orderBy(f"_b{digits}").rowsBetween(Window.unboundedPreceding, -1)
+        places = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        within = [*within, f"_b{digits}"]
+        edge = places.where((F.col("_before") < F.col("_room")) & (F.col("_room") <= F.col("_before") + F.col("_n")))
+        edge = edge.select(*within, (F.col("_room") - F.col("_before")).alias("_room"))
+    ranked = Window.partitionBy(*within).orderBy("_hash", *key)
+    last = join_keys(rows, edge, within).withColumn("_rank", F.row_number().over(ranked))
     last = last.where(F.col("_rank") == F.col("_room"))
     found = last.groupBy(*group).agg(F.max(F.struct("_hash", *key)).alias("cutoff"))
     checkpoint_dir(df.sparkSession)
     if group:
-        return quotas.select(*group, "quota").join(found, list(group), "left").checkpoint()
+        return join_keys(quotas.select(*group, "quota"), found, list(group), "left").checkpoint()
     return quotas.select("quota").withColumn("cutoff", found.select("cutoff").scalar()).checkpoint()
 
 
@@ -54,7 +56,7 @@ def take(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFr
     fits = (F.col("_quota") > 0) & (F.col("_cutoff").isNull() | (F.struct(hash_rank(seed, key).alias("_hash"), *key) <= F.col("_cutoff")))
     ends = ends.withColumnsRenamed({"quota": "_quota", "cutoff": "_cutoff"})
     if group:
-        return df.join(ends, list(group)).where(fits).select(*df.columns)
+        return join_keys(df, ends, list(group)).where(fits).select(*df.columns)
     one = df.withColumn("_end", ends.select(F.struct("_quota", "_cutoff")).scalar())
     one = one.withColumns({"_quota": F.col("_end._quota"), "_cutoff": F.col("_end._cutoff")})
     return one.where(fits).select(*df.columns)
@@ -77,7 +79,7 @@ def rebalance(
     inside = (F.col("_quota") > 0) & (F.col("_cutoff").isNull() | (F.struct(hash_rank(seed, key).alias("_hash"), *key) <= F.col("_cutoff")))
     keep = F.col("_quota").isNull() | (F.col("target") == 1) | ((F.col("target") == 0) & inside)
     if by:
-        out = df.join(ends, list(by), "left").where(keep).select(*df.columns)
+        out = join_keys(df, ends, list(by), "left").where(keep).select(*df.columns)
     else:
         one = df.withColumn("_end", ends.select(F.struct("_quota", "_cutoff")).scalar())
         out = one.withColumns({"_quota": F.col("_end._quota"), "_cutoff": F.col("_end._cutoff")}).where(keep).select(*df.columns)
@@ -91,16 +93,19 @@ def cap_rows(df: DataFrame, key: Sequence[str], cap: int, by: Sequence[str] = ()
 
 
 def class_capped(df: DataFrame, key: Sequence[str], max_rows: int, seed: int = 42) -> DataFrame:
-    """At most ``max_rows`` rows, of which at most a third are positive; untouched when already small enough."""
-    counts = df.where(F.col("target").isin(0, 1)).groupBy("target").agg(F.count(F.lit(1)).alias("n"))
-    one = counts.agg(F.coalesce(F.sum(F.when(F.col("target") == 1, F.col("n"))), F.lit(0)).alias("pos"),
-                     F.coalesce(F.sum("n"), F.lit(0)).alias("all"))
-    pos = F.when(F.col("all") <= max_rows, F.col("pos")).otherwise(F.least("pos", F.lit(max_rows // 3)))
-    neg = F.when(F.col("all") <= max_rows, F.col("all") - F.col("pos")).otherwise(
-        F.least(F.col("all") - F.col("pos"), max_rows - pos))
-    quotas = one.select(F.explode(F.array(
-        F.struct(F.lit(1).alias("target"), pos.alias("quota")), F.struct(F.lit(0).alias("target"), neg.alias("quota")))).alias("q"))
-    return take(df, ["target"], key, quotas.select("q.target", "q.quota"), seed)
+    """At most ``max_rows`` rows, of which at most a third are positive; untouched when already small enough.
+
+    A table that is reduced keeps labels 0 and 1 only; one that is small enough keeps rows of every label.
+    """
+    one = df.agg(F.count_if(F.col("target") == 1).alias("pos"), F.count_if(F.col("target") == 0).alias("neg"), F.count(F.lit(1)).alias("n"))
+    fits = F.col("n") <= max_rows
+    pos = F.when(fits, F.col("pos")).otherwise(F.least("pos", F.lit(max_rows // 3)))
+    neg = F.when(fits, F.col("neg")).otherwise(F.least(F.col("neg"), max_rows - pos))
+    others = F.when(fits, F.col("n") - F.col("pos") - F.col("neg")).otherwise(0)
+    kind = F.when(F.col("target") == 1, 1).when(F.col("target") == 0, 0).otherwise(2)
+    quotas = one.select(F.explode(F.array(*[
+        F.struct(F.lit(k).alias("_kind"), n.cast("long").alias("quota")) for k, n in ((1, pos), (0, neg), (2, others))])).alias("q"))
+    return take(df.withColumn("_kind", kind), ["_kind"], key, quotas.select("q._kind", "q.quota"), seed).drop("_kind")
 
 
 def group_table(df: DataFrame, group: str, label: str = "target") -> DataFrame:
@@ -109,8 +114,11 @@ def group_table(df: DataFrame, group: str, label: str = "target") -> DataFrame:
 
 
 def sample_groups(df: DataFrame, group: str, max_groups: int, seed: int = 42) -> DataFrame:
-    """Rows of at most ``max_groups`` whole groups, labels in proportion, at least one positive group."""
-    groups = group_table(df, group)
+    """Rows of at most ``max_groups`` whole groups, labels in proportion, at least one positive group.
+
+    A group without any label counts as normal.
+    """
+    groups = group_table(df, group).withColumn("label", F.coalesce("label", F.lit(0)))
     one = groups.agg(F.count_if(F.col("label") == 1).alias("a"), F.count_if(F.col("label") == 0).alias("b"), F.count(F.lit(1)).alias("n"))
     share = F.rint(max_groups * F.col("a") / F.col("n")).cast("long")
     share = F.least("a", F.when(F.col("a") > 0, F.greatest(F.lit(1), share)).otherwise(share))
@@ -121,7 +129,8 @@ def sample_groups(df: DataFrame, group: str, max_groups: int, seed: int = 42) ->
         F.struct(F.lit(1).alias("label"), F.when(fits, F.col("a")).otherwise(positive).alias("quota")),
         F.struct(F.lit(0).alias("label"), F.when(fits, F.col("b")).otherwise(normal).alias("quota")))).alias("q"))
     chosen = take(groups, ["label"], [group], quotas.select("q.label", "q.quota"), seed)
-    return df.join(chosen.select(group), group, "left_semi")
+    picked = chosen.select(F.col(group).alias("_picked"))
+    return df.join(picked, F.col(group).eqNullSafe(F.col("_picked")), "left_semi")
 
 
 def stratified_split(df: DataFrame, key: Sequence[str], label: str, fractions: dict[str, float], seed: int = 42) -> DataFrame:
@@ -137,7 +146,7 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str, fractions: d
         edge = edge + F.ceil(F.col("_size") * fractions[name])
         end = cutoffs(df, [label], key, sizes.select(label, edge.alias("quota")), seed)
         end = end.withColumnsRenamed({"quota": f"_q{i}", "cutoff": f"_c{i}"})
-        ends = end if ends is None else ends.join(end, label)
+        ends = end if ends is None else join_keys(ends, end, [label])
         place = F.struct(hash_rank(seed, key).alias("_hash"), *key)
         inside = (F.col(f"_q{i}") > 0) & (F.col(f"_c{i}").isNull() | (place <= F.col(f"_c{i}")))
         bounds.append((name, inside))
@@ -145,13 +154,13 @@ def stratified_split(df: DataFrame, key: Sequence[str], label: str, fractions: d
         return df.withColumn("part", part)
     for name, inside in reversed(bounds):
         part = F.when(inside, name).otherwise(part)
-    return df.join(ends, label).withColumn("part", part).select(*df.columns, "part")
+    return join_keys(df, ends, [label]).withColumn("part", part).select(*df.columns, "part")
 
 
 def group_split(df: DataFrame, group: str, fractions: dict[str, float], seed: int = 42, label: str = "target") -> DataFrame:
     """Split whole groups, stratified by group label."""
     parts = stratified_split(group_table(df, group, label), [group], "label", fractions, seed)
-    return df.join(parts.select(group, "part"), group)
+    return join_keys(df, parts.select(group, "part"), [group])
 
 
 def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, label: str = "target") -> DataFrame:
@@ -166,5 +175,5 @@ def group_folds(df: DataFrame, group: str, k: int = 5, seed: int = 42, label: st
     ranked = scan(groups, Series(("label",), ("_order", group), order), position="_rank")
     lap, at = F.floor((F.col("_rank") - 1) / k), F.pmod(F.col("_rank") - 1, F.lit(k))
     # laps run forth and back; each label starts at another fold so that leftovers do not pile up
-    fold = F.pmod(F.when(lap % 2 == 0, at).otherwise(k - 1 - at) + F.col("label"), F.lit(k)).cast("int")
-    return df.join(ranked.select(group, fold.alias("fold")), group)
+    fold = F.pmod(F.when(lap % 2 == 0, at).otherwise(k - 1 - at) + F.coalesce(F.col("label"), F.lit(0)), F.lit(k)).cast("int")
+    return join_keys(df, ranked.select(group, fold.alias("fold")), [group])

@@ -19,29 +19,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..session import setting
+from .keys import join_keys
 
 SLOT = "_slot"
 MAX_ROWS_PER_TASK = 5_000_000
+CUTS = 1024  # most slots of a key are counted in
 
 
 @dataclass(frozen=True)
 class Series:
-    """Keys, total order within a key, and the slot cutting long keys (``None``: whole keys)."""
+    """Keys, total order within a key, and the slot cutting long keys (``None``: whole keys).
+
+    ``cuts`` has one row per long key with columns that ``slot`` refers to.
+    """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     slot: Column | None = None
+    cuts: DataFrame | None = None
 
     @property
     def parts(self) -> list[str]:
         return list(self.keys) + ([SLOT] if self.slot is not None else [])
 
     def slotted(self, df: DataFrame) -> DataFrame:
-        return df if self.slot is None else df.withColumn(SLOT, self.slot)
+        if self.slot is None:
+            return df
+        if self.cuts is None:
+            return df.withColumn(SLOT, self.slot)
+        extra = [c for c in self.cuts.columns if c not in self.keys]
+        return join_keys(df, self.cuts, self.keys, "left").withColumn(SLOT, self.slot).drop(*extra)
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.parts).orderBy(*self.order)
 
+    def backward(self) -> WindowSpec:
+        """The same rows from last to first: running frames over it look ahead and stay linear."""
+        return Window.partitionBy(*self.parts).orderBy(*[F.col(c).desc() for c in self.order])
+
     def rank(self) -> Column:
         return F.struct(*self.order)
 
@@ -56,25 +71,26 @@ def time_series(
     """A series ordered by ``(time, *tiebreak)``, cut by time where a key is too long for one task.
 
     A table small enough as a whole needs no closer look (its row count comes from file footers where
-    nothing is filtered). Otherwise one pruned, pre-aggregated pass finds the longest key and its time span.
+    nothing is filtered). Otherwise one pruned, pre-aggregated pass counts rows per key, and each key beyond
+    the limit is cut at approximate quantiles of its own times, so that a dense key and a sparse one both fall into
+    slots of about equal size. Only rows of one and the same time stay together.
     """
     limit = max_rows or setting(df.sparkSession, "series.maxRowsPerTask", MAX_ROWS_PER_TASK)
     plain = Series(tuple(keys), (time, *tiebreak))
     if df.count() <= limit:
         return plain
-    longest = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(time).alias("lo"), F.max(time).alias("hi"))
-        .agg(
-            F.max("n").alias("n"),
-            F.max_by(F.unix_timestamp("hi") - F.unix_timestamp("lo"), "n").alias("span"),
-        )
-        .first()
-    )
-    if longest is None or longest["n"] is None or longest["n"] <= limit:
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    if sizes.isEmpty():
         return plain
-    width = max(1, int((longest["span"] or 0) * limit / longest["n"] / 2))
-    return replace(plain, slot=F.floor(F.coalesce(F.unix_timestamp(time), F.lit(0)) / width))
+    seconds = F.unix_timestamp(time)
+    marks = F.percentile_approx(seconds, [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("_marks")
+    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS * limit) / (2 * F.col("_n"))).cast("int"))
+    spread = F.filter("_marks", lambda m, i: (i + 1) % F.col("_step") == 0)
+    long_rows = join_keys(df.select(*keys, time), sizes, keys)
+    cuts = join_keys(long_rows.groupBy(*keys).agg(marks), sizes, keys).withColumn("_step", step)
+    cuts = cuts.select(*keys, F.array_distinct(spread).alias("_marks"))
+    before = F.size(F.filter("_marks", lambda m: m <= seconds))
+    return replace(plain, slot=F.greatest(F.coalesce(before, F.lit(0)), F.lit(0)), cuts=cuts)
 
 
 def value_series(
@@ -129,13 +145,13 @@ def scan(
     ``last_valid``  latest non-NULL value at or before the row
     ``next_valid``  earliest non-NULL value at or after the row
 
-    Keys must not be NULL.
+    NULL is a key like any other.
     """
     sums, maxima, previous = sums or {}, maxima or {}, previous or {}
     last_valid, next_valid = last_valid or {}, next_valid or {}
     w = series.window()
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    after = w.rowsBetween(0, Window.unboundedFollowing)
+    ahead = series.backward().rowsBetween(Window.unboundedPreceding, 0)
     base = series.slotted(df)
     rn = F.row_number().over(w)
 
@@ -147,7 +163,7 @@ def scan(
         cols |= {k: F.max(e).over(upto) for k, e in maxima.items()}
         cols |= {k: F.lag(e).over(w) for k, e in previous.items()}
         cols |= {k: F.last(e, ignorenulls=True).over(upto) for k, e in last_valid.items()}
-        cols |= {k: F.first(e, ignorenulls=True).over(after) for k, e in next_valid.items()}
+        cols |= {k: F.last(e, ignorenulls=True).over(ahead) for k, e in next_valid.items()}
         return base.withColumns(cols)
 
     aggs = [F.count(F.lit(1)).alias("_c_n")]
@@ -159,15 +175,15 @@ def scan(
     slots = base.groupBy(*series.parts).agg(*aggs)
     along = Window.partitionBy(*series.keys).orderBy(SLOT)
     before = along.rowsBetween(Window.unboundedPreceding, -1)
-    beyond = along.rowsBetween(1, Window.unboundedFollowing)
+    beyond = Window.partitionBy(*series.keys).orderBy(F.col(SLOT).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.coalesce(F.sum("_c_n").over(before), F.lit(0)).alias("_c_n")]
     carried += [F.sum(f"_c_{k}").over(before).alias(f"_c_{k}") for k in sums]
     carried += [F.max(f"_c_{k}").over(before).alias(f"_c_{k}") for k in maxima]
     carried += [F.lag(f"_c_{k}").over(along)["v"].alias(f"_c_{k}") for k in previous]
     carried += [F.last(f"_c_{k}", ignorenulls=True).over(before).alias(f"_c_{k}") for k in last_valid]
-    carried += [F.first(f"_c_{k}", ignorenulls=True).over(beyond).alias(f"_c_{k}") for k in next_valid]
+    carried += [F.last(f"_c_{k}", ignorenulls=True).over(beyond).alias(f"_c_{k}") for k in next_valid]
     carry = slots.select(*series.parts, *carried)
-    joined = base.join(carry, series.parts, "left")
+    joined = join_keys(base, carry, series.parts, "left")
 
     cols = {}
     if position:
@@ -178,7 +194,7 @@ def scan(
     cols |= {k: F.greatest(F.max(e).over(upto), F.col(f"_c_{k}")) for k, e in maxima.items()}
     cols |= {k: F.when(rn == 1, F.col(f"_c_{k}")).otherwise(F.lag(e).over(w)) for k, e in previous.items()}
     cols |= {k: F.coalesce(F.last(e, ignorenulls=True).over(upto), F.col(f"_c_{k}")) for k, e in last_valid.items()}
-    cols |= {k: F.coalesce(F.first(e, ignorenulls=True).over(after), F.col(f"_c_{k}")) for k, e in next_valid.items()}
+    cols |= {k: F.coalesce(F.last(e, ignorenulls=True).over(ahead), F.col(f"_c_{k}")) for k, e in next_valid.items()}
     names = ["_c_n"] + [f"_c_{k}" for m in (sums, maxima, previous, last_valid, next_valid) for k in m]
     return joined.withColumns(cols).drop(*names, SLOT)
 

@@ -43,8 +43,37 @@ def read_table(spark: SparkSession, path: str, rows: int | None = None, schema:
     return df if rows is None else df.limit(rows)
 
 
+def tagged(df: DataFrame) -> DataFrame:
+    return df.select("*", F.col("_metadata.file_name").alias("source_file"))
+
+
+def read_csv_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """CSV files of one header in one scan."""
+    return spark.read.option("header", True).option("inferSchema", True).option("enforceSchema", False).csv(paths)
+
+
+def csv_headers(spark: SparkSession, folder: str, glob: str, recursive: bool = False) -> list[list[str]]:
+    """The files matching a pattern, grouped by their header line; empty files are passed over.
+
+    Headers are read by Spark, one line per file; the driver sees paths and header texts alone.
+    """
+    lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive).text(folder)
+    first = lines.select("value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"))
+    first = first.where("at = 0").withColumn("n", F.monotonically_increasing_id())
+    heads = first.groupBy("path").agg(F.min_by("value", "n").alias("head"))
+    groups = heads.groupBy("head").agg(F.sort_array(F.collect_list("path")).alias("paths")).orderBy("head").collect()
+    return [[url_decoded(p) for p in r["paths"]] for r in groups]
+
+
+def url_decoded(path: str) -> str:
+    """A path as readers take it, from the escaped form that file metadata has."""
+    from urllib.parse import unquote
+
+    return unquote(path)
+
+
 def read_matching(spark: SparkSession, folder: str, globs: Sequence[str] = ("*.csv",), recursive: bool = False) -> DataFrame | None:
-    """All files of a folder matching the patterns, one scan per pattern, tagged with ``source_file``.
+    """All files of a folder matching the patterns, tagged with ``source_file``; one scan per pattern and CSV header.
 
     Differing columns are aligned by name. Patterns of unknown type are passed over; ``None`` if nothing is left.
     """
@@ -55,10 +84,9 @@ def read_matching(spark: SparkSession, folder: str, globs: Sequence[str] = ("*.c
             continue
         reader = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", recursive)
         if kind == "csv":
-            part = reader.option("header", True).option("inferSchema", True).option("enforceSchema", False).csv(folder)
+            parts += [tagged(read_csv_files(spark, paths)) for paths in csv_headers(spark, folder, glob, recursive)]
         else:
-            part = reader.option("mergeSchema", True).parquet(folder)
-        parts.append(part.select("*", F.col("_metadata.file_name").alias("source_file")))
+            parts.append(tagged(reader.option("mergeSchema", True).parquet(folder)))
     if not parts:
         return None
     out = parts[0]
@@ -70,15 +98,19 @@ def read_matching(spark: SparkSession, folder: str, globs: Sequence[str] = ("*.c
 def read_wells(spark: SparkSession, folder: str, files_per_label: DataFrame | None = None) -> DataFrame:
     """Well files laid out as ``<folder>/<label>/<well>.parquet`` in one scan, labelled from their paths.
 
-    ``files_per_label`` (from :func:`sample_files`) restricts the scan to those paths.
+    With ``files_per_label`` (from :func:`sample_files`, as many paths as its quota allows) only those files are opened.
     """
-    reader = spark.read.option("recursiveFileLookup", True).option("mergeSchema", True).option("pathGlobFilter", "*.parquet")
-    df = reader.parquet(folder)
+    reader = spark.read.option("mergeSchema", True)
+    if files_per_label is not None:
+        paths = [r["path"] for r in files_per_label.select("path").orderBy("path").collect()]
+        if not paths:
+            return read_wells(spark, folder).limit(0)
+        df = reader.parquet(*paths)
+    else:
+        df = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(folder)
     wanted = [c for c in df.columns if c in WELL_COLUMNS or c in ("timestamp", "seq")]
     df = df.select(*[F.col(f"`{c}`") for c in wanted], F.col("_metadata.file_path").alias("_path"))
     df = df.where(~F.contains("_path", F.lit("folds")))
-    if files_per_label is not None:
-        df = df.join(files_per_label.select(F.col("path").alias("_path")), "_path", "left_semi")
     df = df.withColumns({
         "event_dir": F.regexp_extract("_path", r"([^/]+)/[^/]+$", 1),
         "well_id": F.regexp_extract("_path", r"([^/]+)\.parquet$", 1),

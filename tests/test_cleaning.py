@@ -105,7 +105,7 @@ def test_minimal_and_fast_subsets(spark, data):
 
     t = views.telemetry(spark, data)
     s = time_series(t, ["segment_id"])
-    assert len(ft.FEATURES) == 31 and len(ft.MINIMAL_FEATURES) == 8
+    assert len(ft.FEATURES) == 31 and (len(ft.MINIMAL_FEATURES), len(ft.FAST_FEATURES)) == (7, 17)
     for wanted in (ft.MINIMAL_FEATURES, ft.FAST_FEATURES, ["pressure_roll_z"]):
         out = ft.build_features(t, s, wanted)
         assert set(out.columns) - set(t.columns) == set(wanted)
@@ -115,12 +115,9 @@ def test_codes(spark):
     df = spark.createDataFrame([(0, "b"), (1, None), (2, "a"), (3, "b")], "i int, l string")
     assert [r[1] for r in rows(segment_codes(df, "l", "seg").select("i", "seg"))] == [2, 3, 1, 2]
     assert {r[1] for r in rows(segment_codes(df, None, "seg").select("i", "seg"))} == {1}
-    small = rows(dense_codes(df, "l"))
-    spark.conf.set("telemill.labels.maxPerTask", "1")
-    try:
-        assert rows(dense_codes(df, "l")) == small == [("a", 0), ("b", 1)]
-    finally:
-        spark.conf.unset("telemill.labels.maxPerTask")
+    assert rows(dense_codes(df, "l")) == [("a", 0), ("b", 1)]
+    many = spark.range(1000).select(F.format_string("%05d", (F.col("id") * 7) % 1000).alias("l")).repartition(6)
+    assert rows(dense_codes(many, "l")) == [("%05d" % k, k) for k in range(1000)]
 
 
 def test_binary_label_keeps_larger_values(spark):

@@ -78,3 +78,16 @@ def test_split_fractions(spark):
 def test_severity_weights(spark):
     df = spark.createDataFrame([(1, 0.1), (1, 0.15), (1, 0.3), (1, 0.6), (0, 0.1), (1, None)], "t int, s double")
     assert [r[0] for r in df.select(severity_weight(F.col("t"), F.col("s"))).collect()] == [12.0, 15.0, 3.0, 1.0, 1.0, 12.0]
+
+
+def test_null_groups_and_labels_keep_their_rows(spark):
+    rows = [(i, None if i % 4 == 0 else "g%d" % (i % 3), None if i % 4 == 0 else i % 2) for i in range(20)]
+    df = spark.createDataFrame(rows, "id long, g string, target int")
+    assert sp.stratified_split(df, ["id"], "target", {"test": 0.4, "train": 0}).count() == 20
+    assert sp.group_split(df, "g", {"test": 0.4, "train": 0}).count() == 20
+    assert sp.group_folds(df, "g", 3).count() == 20
+    assert sp.cap_rows(df, ["id"], 3, ["g"]).groupBy("g").count().where("count <> 3").count() == 0
+    assert sp.cap_rows(df, ["id"], 3, ["g"]).count() == 12
+    assert sp.class_capped(df, ["id"], 20).count() == 20
+    assert sp.class_capped(df, ["id"], 6).groupBy("target").count().count() == 2
+    assert sp.sample_groups(df, "g", 10).count() == 20

@@ -157,3 +157,23 @@ def test_one_exchange_by_segment(telemetry, spark, data):
     out = ft.build_features(t, time_series(t, ["segment_id"]), [c for c in ft.FEATURES if c not in ft.CROSS_SEGMENT])
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_fills_stay_linear_and_keys_may_be_null(spark):
+    rows = [(k, t, float(t) if t % 3 == 0 else None) for k in ("a", None) for t in range(40)]
+    df = spark.createDataFrame(rows, "k string, t long, x double").withColumn("timestamp", F.timestamp_seconds(F.col("t") * 60))
+    plain, cut = (time_series(df, ["k"], tiebreak=["t"], max_rows=m) for m in (1000, 7))
+    assert plain.slot is None and cut.slot is not None
+    found = [
+        sorted(map(tuple, scan(df, s, position="n", sums={"s": F.col("t")}, last_valid={"b": F.col("x")}, next_valid={"a": F.col("x")})
+                   .select("k", "t", "n", "s", "b", "a").collect()), key=repr) for s in (plain, cut)]
+    assert found[0] == found[1] and len(found[0]) == 80
+
+
+def test_dense_and_sparse_keys_both_fall_into_slots(spark):
+    dense = spark.range(900).select(F.lit("dense").alias("k"), F.col("id").alias("t"))
+    sparse = spark.range(1000).select(F.lit("sparse").alias("k"), (F.col("id") * 1000).alias("t"))
+    df = dense.unionByName(sparse).withColumn("timestamp", F.timestamp_seconds("t"))
+    series = time_series(df, ["k"], tiebreak=["t"], max_rows=100)
+    sizes = series.slotted(df).groupBy("k", "_slot").count()
+    assert sizes.agg(F.max("count")).first()[0] <= 100

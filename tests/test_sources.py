@@ -127,3 +127,28 @@ def test_incident_labels_in_event_order(spark):
         (0, 0.05, 1, "warning", 0, "e2", "slow_leak|micro_leak|valve_fault"),
         (1, 0.0, 0, "normal", 0, "", "nominal"),
         (2, 0.5, 1, "fault", 1, "e4", "micro_leak")]
+
+
+def test_csv_headers_may_differ_and_sampled_wells_are_read_alone(spark, tmp_path):
+    for name, text in (("a b.csv", "x,y\n1,2\n"), ("c.csv", "y,z\n3,4\n5,6\n"), ("d.csv", "x,y\n7,8\n"), ("e.csv", "")):
+        (tmp_path / name).write_text(text)
+    df = readers.read_matching(spark, str(tmp_path), ["*.csv"])
+    assert rows(df.select("x", "y", "z", "source_file"), "y") == [(1, 2, None, "a%20b.csv"), (None, 3, 4, "c.csv"), (None, 5, 6, "c.csv"), (7, 8, None, "d.csv")]
+    base = str(tmp_path / "wells of a field")
+    for label in ("0", "1"):
+        for well in ("A 1", "B"):
+            spark.range(3).select(F.col("id").alias("seq"), F.lit(1.0).alias("QGL")).repartition(1).write.parquet(f"{base}/{label}/{well}")
+    files = readers.list_files(spark, base)
+    picked = readers.sample_files(files.where(F.contains("path", F.lit("A"))), 2)
+    assert readers.read_wells(spark, base, picked).count() == 3 * picked.count() and readers.read_wells(spark, base).count() == 12
+    assert readers.read_wells(spark, base, picked.where("false")).count() == 0
+
+
+def test_fingerprint_counts_copies_and_separates_values(spark):
+    from telemill.operators.profile import fingerprint
+
+    a = spark.createDataFrame([("a|", "b", 1), (None, "~", 2)], "x string, y string, n int")
+    b = spark.createDataFrame([("a", "|b", 1), ("~", None, 2)], "x string, y string, n int")
+    prints = [fingerprint(t).first()["fingerprint"] for t in (a, a.union(a), b, a.where("false"))]
+    assert len(set(prints)) == 4 and prints[3] == 0
+    assert fingerprint(a.orderBy("n")).first() == fingerprint(a.orderBy(F.desc("n"))).first()
