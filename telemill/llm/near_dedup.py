@@ -3,9 +3,10 @@
 Documents with the same shingle set are one class and are compared once. A class whose band key occurs again is compared
 with the leader of that bucket, the member that shares most buckets with others, so a bucket of any size gives one pair
 per member. Pairs whose signatures agree too little are dropped (the bound lies 5.5 standard deviations under the
-threshold), the others are confirmed on whole shingle sets. Buckets that still hold several components are then searched
-completely, in blocks, and what passes the signature check is confirmed as well. With 36 bands of 7 minima a pair at a
-similarity of 0.85 shares no band in one of a million cases.
+threshold), the others are confirmed on whole shingle sets. Where the members of a leader still lie in several
+components, all but the largest component are compared with every other member, in blocks: signatures first, then whole
+sets, and a block reports only links that join components. With 36 bands of 7 minima a pair at a similarity of 0.85
+shares no band in one of a million cases.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from . import components, staging, text
 SHINGLE = 5
 BANDS, ROWS = 36, 7
 SIMILARITY = (85, 100)
-#: Members of a block in the complete search of a bucket.
-BLOCK = 64
+#: Members outside the largest component in a block of the complete search, and other members they meet in one task.
+BLOCK, OTHERS = 128, 1024
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -125,10 +126,15 @@ def promising(pairs: DataFrame, signs: DataFrame, least: float, share: float) ->
     return rows.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
+def staged_sets(spark: SparkSession, wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """Shingle sets (``doc, items``) of the documents in ``wanted`` (one column of identifiers)."""
+    wanted = wanted.toDF("_w").distinct()
+    return staging.stage(spark, sets_of(docs.join(wanted, docs["_doc"] == wanted["_w"], "left_semi"), size).dropDuplicates(["doc"]))
+
+
 def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (u, v) among ``pairs`` whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("_w")).unionByName(pairs.select(F.col("b").alias("_w"))).distinct()
-    sets = staging.stage(spark, sets_of(docs.join(wanted, docs["_doc"] == wanted["_w"], "left_semi"), size).dropDuplicates(["doc"]))
+    sets = staged_sets(spark, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), docs, size)
     left, right = (sets.select(F.col("doc").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     rows = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -137,29 +143,66 @@ def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int,
     return rows.where(of * both >= least * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def across_blocks(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs of different components in a bucket whose signatures agree, found block against block."""
-    rows = rows.withColumn("_many", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("_own", F.pmod(F.xxhash64("doc"), F.col("_many")).cast("int"))
-    sent = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_many") - 1)))
-    sent = sent.select("bucket", F.least("_own", "_other").alias("x"), F.greatest("_own", "_other").alias("y"), "_own", "doc", "component", "sign")
+def divided(members: DataFrame) -> DataFrame:
+    """Members (``leader, doc, component``) that have to be compared, dealt out to blocks.
+
+    Of each leader with several components, the members outside the largest one are the small side, split in blocks.
+    They meet each other in the block of the earlier one, and all members of the largest component in every block.
+    """
+    by = members.groupBy("leader", "component").agg(F.count(F.lit(1)).alias("c"))
+    tops = by.groupBy("leader").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k"))
+    tops = tops.where("k > 1").select("leader", F.col("top.component").alias("big"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"),
+                                      F.ceil(F.col("all") / OTHERS).cast("int").alias("shares"))
+    rows = members.where("doc <> leader").join(tops, "leader")
+    small = F.col("component") != F.col("big")
+    own = F.when(small, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.col("blocks") - 1).cast("int")
+    rows = rows.withColumn("own", own).withColumn("small", small).withColumn("block", F.explode(F.sequence(F.lit(0), "own")))
+    rows = rows.withColumn("small", F.col("small") & (F.col("block") == F.col("own")))
+    share = F.pmod(F.xxhash64("component", "doc"), F.col("shares")).cast("int")
+    rows = rows.withColumn("share", F.explode(F.when(F.col("small"), F.sequence(F.lit(0), F.col("shares") - 1)).otherwise(F.array(share))))
+    return rows.select("leader", "block", "share", "small", "doc", "component")
+
+
+def block_links(rows: DataFrame, least: float, similarity: tuple[int, int]) -> DataFrame:
+    """Links (u, v) between components found inside the blocks of ``divided`` rows (with ``sign`` and ``items``)."""
+    num, of = similarity
 
     def run(table: pa.Table) -> pa.Table:
-        low = table.column("x")[0].as_py()
-        own, doc = table.column("_own").to_numpy(), table.column("doc").to_numpy()
-        part, same_block = table.column("component").to_numpy(), table.column("x")[0].as_py() == table.column("y")[0].as_py()
+        doc, part, small = (table.column(c).to_numpy() for c in ("doc", "component", "small"))
         sign = np.frombuffer(text.flat(table.column("sign"))[0].tobytes(), np.uint16).reshape(len(doc), -1)
-        first, second = np.flatnonzero(own == low), np.flatnonzero(own == low) if same_block else np.flatnonzero(own != low)
-        a, b = [], []
-        for i in first.tolist():
-            hit = second[((sign[second] == sign[i]).mean(axis=1) >= least) & (part[second] != part[i])]
-            if same_block:
-                hit = hit[hit > i]
-            a.append(np.full(len(hit), doc[i]))
-            b.append(doc[hit])
-        a, b = (np.concatenate(v).astype(np.int64) if v else np.zeros(0, np.int64) for v in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return sent.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+        items = table.column("items").combine_chunks()
+        flat, ends = items.flatten().to_numpy(), np.concatenate(([0], np.cumsum(items.value_lengths().to_numpy())))
+        size = np.diff(ends)
+        inner = table.column("share")[0].as_py() == 0
+        parent = {c: c for c in part.tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        links = []
+        for i in np.flatnonzero(small).tolist():
+            meet = ~small
+            if inner:
+                meet = meet | (small & (np.arange(len(doc)) > i))
+            meet = np.flatnonzero(meet & (part != part[i]) & (of * np.minimum(size, size[i]) >= num * np.maximum(size, size[i])))
+            meet = meet[(sign[meet] == sign[i]).mean(axis=1) >= least]
+            if not len(meet):
+                continue
+            own = flat[ends[i]:ends[i + 1]]
+            theirs = flat[text.ragged(ends[meet], size[meet])]
+            at = np.minimum(np.searchsorted(own, theirs), len(own) - 1)
+            both = np.add.reduceat((own[at] == theirs).astype(np.int64), np.cumsum(size[meet]) - size[meet])
+            for j in meet[of * both >= num * (size[i] + size[meet] - both)].tolist():
+                p, q = root(int(part[i])), root(int(part[j]))
+                if p != q:
+                    parent[p] = q
+                    links.append((int(doc[i]), int(doc[j])))
+        return pa.table({"u": pa.array([x for x, _ in links], pa.int64()), "v": pa.array([y for _, y in links], pa.int64())})
+
+    return rows.groupBy("leader", "block", "share").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE,
@@ -187,19 +230,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     fame = crowded.groupBy("doc").agg(F.sum("size").alias("fame"))
     leaders = crowded.join(fame, "doc").groupBy("bucket").agg(F.max(F.struct("fame", "doc")).alias("top"))
     leaders = leaders.select("bucket", F.col("top.doc").alias("leader"))
-    pairs = crowded.join(leaders, "bucket").where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
+    members = staging.stage(spark, crowded.join(leaders, "bucket").select("leader", "doc").distinct())
+    pairs = members.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     signs = heads.select("doc", "n", "sign")
     pairs = staging.stage(spark, promising(pairs, signs, least, share))
     links = staging.stage(spark, confirmed(spark, pairs, source, size, similarity))
     found = staging.stage(spark, components.components(spark, links))
-    placed = crowded.where("size > 2").join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    rest = placed.join(mixed, "bucket").join(signs.select("doc", "sign"), "doc")
-    more = across_blocks(rest, least).join(pairs, ["a", "b"], "left_anti")
-    more = staging.stage(spark, more)
-    if not more.isEmpty():
-        links = links.unionByName(confirmed(spark, more, source, size, similarity))
-        found = components.components(spark, links)
+    placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    blocks = staging.stage(spark, divided(placed))
+    if not blocks.isEmpty():
+        sets = staged_sets(spark, blocks.select("doc"), source, size)
+        more = block_links(blocks.join(signs.select("doc", "sign"), "doc").join(sets, "doc"), least, similarity)
+        found = components.components(spark, links.unionByName(staging.stage(spark, more)))
     out = sketches.join(classes, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     component = F.when(F.col("doc").isNotNull(), F.coalesce("component", "rep", "doc"))
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),

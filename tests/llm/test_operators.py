@@ -150,16 +150,29 @@ def test_near_dedup_finds_links_between_members_of_a_hot_bucket(spark):
     assert got == top and len(set(top.values())) > 1
 
 
-def test_block_search_is_complete(spark):
+@pytest.mark.parametrize("block,others", [(4, 5), (128, 1024)])
+def test_block_search_is_complete(spark, block, others, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "OTHERS", others)
     rng = np.random.default_rng(2)
-    signs = [rng.integers(0, 4, 20).astype(np.uint16) for _ in range(30)]
-    rows = [(7, k, k // 3, 30, bytearray(s.tobytes())) for k, s in enumerate(signs)]
-    frame = spark.createDataFrame(rows, "bucket long, doc long, component long, size long, sign binary")
-    want = {(i, j) for i in range(30) for j in range(i + 1, 30) if i // 3 != j // 3 and (signs[i] == signs[j]).mean() >= 0.3}
-    for block in (4, 64):
-        near_dedup.BLOCK, old = block, near_dedup.BLOCK
-        assert {tuple(r) for r in near_dedup.across_blocks(frame, 0.3).collect()} == want
-        near_dedup.BLOCK = old
+    base = np.arange(20)
+    sets = [sorted(set(rng.permutation(base)[:rng.integers(14, 20)].tolist())) for _ in range(40)]
+    part = [0 if k < 12 else k // 2 for k in range(40)]
+    rows = [(7, k, part[k], sets[k], bytearray(b"\0\0")) for k in range(40)]
+    frame = spark.createDataFrame(rows, "leader long, doc long, component long, items array<bigint>, sign binary")
+    dealt = near_dedup.divided(frame.select("leader", "doc", "component")).join(frame.select("doc", "items", "sign"), "doc")
+    links = [tuple(r) for r in near_dedup.block_links(dealt, 0.0, (85, 100)).collect()]
+
+    def joined(pairs):
+        top = {p: p for p in set(part)}
+        for i, j in pairs:
+            a, b = top[part[i]], top[part[j]]
+            top = {k: b if v == a else v for k, v in top.items()}
+        return {frozenset(p for p in top if top[p] == v) for v in top.values()}
+
+    want = [(i, j) for i in range(40) for j in range(i) if 7 not in (i, j) and 100 * len(set(sets[i]) & set(sets[j])) >= 85 * len(set(sets[i]) | set(sets[j]))]
+    assert set(links) <= {p for i, j in want for p in ((i, j), (j, i))}
+    assert joined(links) == joined(want) and len(joined(want)) > 1
 
 
 def test_components_on_a_path_and_a_star(spark):
