@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import CV_KEYS, binary_metrics, fold_sizes, fold_summary
 from ..operators.sampling import group_folds
 from . import iforest
-from .ensemble import member_weights
+from .ensemble import from_decision, from_labels, member_weights
 
 Builder = Callable[[Sequence[str], str | None], Pipeline]
 
@@ -36,6 +37,11 @@ def logistic(max_iter: int = 100, scale: bool = True) -> Builder:
     return lambda features, weight: _stages(features, _weighted(LogisticRegression(labelCol="target", maxIter=max_iter), weight), scale)
 
 
+def linear_svm(max_iter: int = 100) -> Builder:
+    """A model that offers decision values but no probability."""
+    return lambda features, weight: _stages(features, _weighted(LinearSVC(labelCol="target", maxIter=max_iter), weight), True)
+
+
 def random_forest(trees: int = 100, depth: int = 10, seed: int = 42) -> Builder:
     return lambda features, weight: _stages(
         features, _weighted(RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, seed=seed), weight), False)
@@ -83,7 +89,7 @@ def leak_score(df: DataFrame) -> Column:
 
 
 def score(model, df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """Add ``leak_score``, the probability of the positive class, whatever kind of model it is.
+    """Add ``leak_score`` from what the model offers: a probability, else a decision value, else a hard label.
 
     Feature columns the frame lacks count as 0, as in training on a subset.
     """
@@ -91,16 +97,33 @@ def score(model, df: DataFrame, features: Sequence[str] | None = None) -> DataFr
         df = df.withColumns({c: F.lit(0.0) for c in features if c not in df.columns})
     if isinstance(model, PipelineModel):
         names = df.columns
-        return model.transform(df).select(*names, leak_score(df).alias("leak_score"))
+        out = model.transform(df)
+        if "probability" in out.columns:
+            value = leak_score(df)
+        elif "rawPrediction" in out.columns:
+            value = from_decision(vector_to_array("rawPrediction")[1])
+        else:
+            value = from_labels(F.col("prediction"))
+        return out.select(*names, value.alias("leak_score"))
     return model.score(df)
 
 
 def score_all(models: Mapping[str, object], df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Long score table of every model; a model that cannot be applied is left out."""
+    """Long score table of every model.
+
+    A model without a way to score, or one that fails on a trial row, is left out with a warning.
+    """
     parts = []
+    trial = df.limit(1)
     for name, model in models.items():
-        if isinstance(model, PipelineModel) or hasattr(model, "score"):
-            parts.append(score(model, df, features).select(*ids, F.lit(name).alias("model_name"), "leak_score"))
+        if not (isinstance(model, PipelineModel) or hasattr(model, "score")):
+            continue
+        try:
+            score(model, trial, features).select("leak_score").collect()
+        except Exception as error:
+            warnings.warn(f"model {name} is left out: {str(error).splitlines()[0]}", stacklevel=2)
+            continue
+        parts.append(score(model, df, features).select(*ids, F.lit(name).alias("model_name"), "leak_score"))
     if not parts:
         raise ValueError("no model supports scoring")
     return reduce(DataFrame.unionByName, parts)
@@ -169,9 +192,11 @@ def train_all(
 def benchmark(train: DataFrame, test: DataFrame, features: Sequence[str], trees: int = 100) -> DataFrame:
     """Baseline comparison on one split: majority, logistic, forest, and isolation forest where one class dominates.
 
-    Fewer than 100 rows are not worth comparing and give an empty result.
+    Fewer than 100 rows are not worth comparing: nothing is fitted and the result is empty.
     """
     sizes = train.unionByName(test).agg(F.count(F.lit(1)).alias("n"), F.avg("target").alias("rate")).first()
+    if sizes["n"] < 100:
+        return measured(Majority(0).score(test.limit(0)).select(F.lit("majority").alias("model_name"), "target", "leak_score"), ["model_name"])
     builders: dict[str, object] = {"majority": "majority", "logistic_regression": logistic(), "random_forest": random_forest(trees)}
     rate = sizes["rate"] or 0.0
     if max(rate, 1.0 - rate) > 0.95:
@@ -181,8 +206,7 @@ def benchmark(train: DataFrame, test: DataFrame, features: Sequence[str], trees:
     for name, builder in builders.items():
         model = fit(builder, weighted, features, "weight")
         parts.append(score(model, test, features).select(F.lit(name).alias("model_name"), "target", "leak_score"))
-    out = measured(reduce(DataFrame.unionByName, parts), ["model_name"])
-    return out if sizes["n"] >= 100 else out.limit(0)
+    return measured(reduce(DataFrame.unionByName, parts), ["model_name"])
 
 
 def transfer(models: Mapping[str, object], domain: DataFrame, features: Sequence[str], fold: str = "fold") -> DataFrame:
@@ -193,5 +217,5 @@ def transfer(models: Mapping[str, object], domain: DataFrame, features: Sequence
     return measured(both, ["model_name", fold])
 
 
-__all__ = ["benchmark", "boosted", "cross_validate", "cv_summary", "fit", "logistic", "random_forest", "score",
+__all__ = ["benchmark", "boosted", "cross_validate", "cv_summary", "fit", "linear_svm", "logistic", "random_forest", "score",
            "score_all", "train_all", "transfer"]
