@@ -12,6 +12,8 @@ from telemill.operators.series import time_series
 from telemill.schema import numeric_columns
 from telemill.sources import views
 
+from telemill.operators.wide import SENSORS
+
 from .registry import SHIPMENTS, TELEMETRY, WIDE, query, r
 
 WELL = "PARTITION BY scenario_id ORDER BY timestamp, l_orderkey, l_linenumber, l_partkey"
@@ -226,11 +228,11 @@ def fill_sql(c: str, backward: bool = False) -> str:
 
 @query("fill_along_well", "D17", f"""
 WITH {WIDE}, {BOUNDED}
-SELECT {ROW_SQL}, {r(fill_sql('P_inlet'), 'P_inlet', 3)}, {r(fill_sql('P_mid'), 'P_mid', 3)} FROM bounded""")
+SELECT {ROW_SQL}, {', '.join(r(fill_sql(c), c, 3) for c in SENSORS)} FROM bounded""")
 def fill_along_well(spark, folder):
     w = cl.bound_sensors(views.wide(spark, folder))
-    out = cl.fill_along(w, well_series(w), ["P_inlet", "P_mid"])
-    return out.select(*ROW, r6("P_inlet", 3).alias("P_inlet"), r6("P_mid", 3).alias("P_mid"))
+    out = cl.fill_along(w, well_series(w), SENSORS)
+    return out.select(*ROW, *[r6(c, 3).alias(c) for c in SENSORS])
 
 
 @query("filter_view", "D18", f"""
@@ -291,13 +293,11 @@ def round_half_even(spark, folder):
     return views.table(spark, folder, "events").select("event_id", fn.round_even(F.col("value") / 8.0, 3).alias("rounded"))
 
 
-@query("model_inputs", "D24 D25", """
-SELECT event_id AS seq, value AS pressure, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS flow_rate,
-       CAST(0.0 AS DOUBLE) AS vibration FROM events""")
+@query("model_inputs", "D24 D25", f"""
+WITH {TELEMETRY} SELECT seq, segment_id, pressure, flow_rate, temperature, leak_severity, CAST(0.0 AS DOUBLE) AS vibration FROM telemetry""")
 def model_inputs(spark, folder):
     t = views.telemetry(spark, folder)
-    keep = [c for c in numeric_columns(t) if c in ("pressure", "flow_rate")]
-    return cl.reindex(t, [*keep, "vibration"], keep=["seq"])
+    return cl.reindex(t, [*numeric_columns(t), "vibration"])
 
 
 def stable_sql(n: str, d: str, limit: float) -> str:
@@ -316,14 +316,12 @@ def stable_division(spark, folder):
 
 @query("model_matrix", "D27", f"""
 WITH {WIDE}, {BOUNDED}
-SELECT {ROW_SQL}, round(CAST(CAST(greatest(least(coalesce({fill_sql('P_inlet', True)}, 0), 1e9), -1e9) AS FLOAT) AS DOUBLE), 1) AS P_inlet,
-       round(CAST(CAST(greatest(least(coalesce({fill_sql('P_mid', True)}, 0), 1e9), -1e9) AS FLOAT) AS DOUBLE), 1) AS P_mid
+SELECT {ROW_SQL}, {', '.join(f"round(CAST(CAST(greatest(least(coalesce({fill_sql(c, True)}, 0), 1e9), -1e9) AS FLOAT) AS DOUBLE), 1) AS {c}" for c in SENSORS)}
 FROM bounded""")
 def model_matrix(spark, folder):
     w = cl.bound_sensors(views.wide(spark, folder))
-    out = cl.model_matrix(w, well_series(w), ["P_inlet", "P_mid"])
-    return out.select(*ROW, F.round(F.col("P_inlet").cast("double"), 1).alias("P_inlet"),
-                      F.round(F.col("P_mid").cast("double"), 1).alias("P_mid"))
+    out = cl.model_matrix(w, well_series(w), SENSORS)
+    return out.select(*ROW, *[F.round(F.col(c).cast("double"), 1).alias(c) for c in SENSORS])
 
 
 @query("leak_type_rules", "D28 D31", f"""

@@ -309,22 +309,37 @@ hh AS (SELECT median(hours) AS median_history_hours FROM (SELECT segment_id, epo
 ec AS (SELECT count(*) FILTER (WHERE s < 0.18) AS borderline, count(*) FILTER (WHERE s >= 0.18 AND n >= 30 AND s < 0.45) AS slow FROM ev)"""
 
 
+# measures per segment, from its own rows, spread so that each rule holds for some segments and not for others
+_MEASURED = {
+    "raw_sensor_auc": ("0.85 + avg(target) * 0.4", lambda: 0.85 + F.avg("target") * 0.4),
+    "dynamics_auc": ("0.85 + avg(target) * 0.4 + avg(flow_rate) / 2500.0", lambda: 0.85 + F.avg("target") * 0.4 + F.avg("flow_rate") / 2500.0),
+    "disturbance_false_positive_rate": ("avg(CASE WHEN pressure > 200 THEN 1.0 ELSE 0.0 END)", lambda: F.avg(F.when(F.col("pressure") > 200, 1.0).otherwise(0.0))),
+    "missing_value_rate": ("avg(CASE WHEN pressure > 330 THEN 1.0 ELSE 0.0 END)", lambda: F.avg(F.when(F.col("pressure") > 330, 1.0).otherwise(0.0))),
+    "stale_sensor_rate": ("avg(CASE WHEN flow_rate < 0.5 THEN 1.0 ELSE 0.0 END)", lambda: F.avg(F.when(F.col("flow_rate") < 0.5, 1.0).otherwise(0.0))),
+    "median_history_hours": ("count(*) % 48", lambda: (F.count(F.lit(1)) % 48).cast("double")),
+}
+_RULES = {
+    "short": "median_history_hours < 24", "easy": "raw_sensor_auc > 0.93", "flat": "dynamics_auc - raw_sensor_auc < 0.02",
+    "tame": "disturbance_false_positive_rate < 0.02", "thin": "slow = 0 OR borderline = 0", "ideal": "missing_value_rate < 0.001 AND stale_sensor_rate < 0.005",
+}
+
+
 @query("validation_warnings", "A10", f"""
-WITH {TELEMETRY}, {_MEASURES}
-SELECT array_to_string(list_filter([CASE WHEN median_history_hours < 24 THEN 'short' END, CASE WHEN slow = 0 OR borderline = 0 THEN 'thin' END], lambda x: x IS NOT NULL), ',') AS warnings,
-       borderline AS borderline_leak_event_count, slow AS slow_leak_event_count FROM hh, ec""")
+WITH {TELEMETRY}, {_ISLANDS}, ev AS (SELECT segment_id, run, count(*) AS n, max(leak_severity) AS s FROM isl WHERE target = 1 GROUP BY ALL),
+ec AS (SELECT segment_id, count(*) FILTER (WHERE s < 0.18) AS borderline, count(*) FILTER (WHERE s >= 0.18 AND n >= 30 AND s < 0.45) AS slow FROM ev GROUP BY segment_id),
+m AS (SELECT segment_id, {', '.join(f'{q} AS {c}' for c, (q, _) in _MEASURED.items())} FROM telemetry GROUP BY segment_id),
+b AS (SELECT m.*, coalesce(borderline, 0) AS borderline, coalesce(slow, 0) AS slow FROM m LEFT JOIN ec USING (segment_id))
+SELECT segment_id, array_to_string(list_filter([{', '.join(f"CASE WHEN {c} THEN '{k}' END" for k, c in _RULES.items())}], lambda x: x IS NOT NULL), ',') AS warnings,
+       borderline AS borderline_leak_event_count, slow AS slow_leak_event_count FROM b""")
 def validation_warnings(spark, folder):
     t = views.telemetry(spark, folder)
-    events = rn.leak_events(t, time_series(t, ["segment_id"]))
-    one = events.agg(F.count_if(F.col("kind") == "borderline").alias("borderline_leak_event_count"),
-                     F.count_if(F.col("kind") == "slow").alias("slow_leak_event_count"))
-    one = one.withColumns({
-        "median_history_hours": pf.history_summary(t, "segment_id").select("median_history_hours").scalar(),
-        "missing_value_rate": F.lit(0.01), "stale_sensor_rate": F.lit(0.01),
-        **{c: F.lit(None).cast("double") for c in ("raw_sensor_auc", "dynamics_auc", "disturbance_false_positive_rate")}})
+    events = rn.leak_events(t, time_series(t, ["segment_id"])).groupBy("segment_id").agg(
+        *[F.count_if(F.col("kind") == k).alias(f"{k}_leak_event_count") for k in ("borderline", "slow")])
+    rows = t.groupBy("segment_id").agg(*[make().alias(c) for c, (_, make) in _MEASURED.items()]).join(events, "segment_id", "left")
+    rows = rows.fillna(0, ["borderline_leak_event_count", "slow_leak_event_count"])
     name = F.create_map(*[F.lit(x) for k, v in pf.WARNINGS.items() for x in (v, k)])
-    out = pf.validation_warnings(one)
-    return out.select(F.array_join(F.transform("warnings", lambda w: F.try_element_at(name, w)), ",").alias("warnings"),
+    out = pf.validation_warnings(rows)
+    return out.select("segment_id", F.array_join(F.transform("warnings", lambda w: F.try_element_at(name, w)), ",").alias("warnings"),
                       "borderline_leak_event_count", "slow_leak_event_count")
 
 
