@@ -415,19 +415,19 @@ _Q = [f"({c} IS NULL OR isnan({c}) OR isinf({c}))" for c in ("P_inlet", "P_mid",
 _QUALITY = f"""
 {_ONSETS},
 n AS (SELECT *, row_number() OVER ({WELL}) AS k, row_number() OVER (PARTITION BY scenario_id ORDER BY timestamp DESC, l_orderkey DESC, l_linenumber DESC, l_partkey DESC) AS back FROM wide),
-one AS (SELECT scenario_id, P_inlet >= P_mid AND P_mid >= P_outlet AS dec, abs(Q_inlet - Q_outlet) / greatest(abs(Q_inlet), 1e-10) < 0.02 AS bal FROM n WHERE k = 1),
-agg AS (SELECT scenario_id, count(*) AS size, NOT bool_or({' OR '.join(_Q)}) AS fin, least(min(P_inlet), min(P_mid), min(P_outlet)) > 0 AND greatest(max(P_inlet), max(P_mid), max(P_outlet)) < 50e6 AS rng,
-        least(min(Q_inlet), min(Q_outlet)) >= -1e-4 AS pos FROM wide GROUP BY scenario_id),
-late AS (SELECT n.scenario_id, Q_inlet > Q_outlet * 1.001 AS leak FROM n JOIN onsets o USING (scenario_id) WHERE epoch(timestamp) >= epoch(onset) + 3600.0 + 60.0
+one AS (SELECT scenario_id, P_inlet >= P_mid AND P_mid >= P_outlet AS dec, P_inlet - P_outlet AS fall, abs(Q_inlet - Q_outlet) / greatest(abs(Q_inlet), 1e-10) AS rel FROM n WHERE k = 1),
+agg AS (SELECT scenario_id, count(*) AS size, count(*) FILTER ({' OR '.join(_Q)}) AS bad, least(min(P_inlet), min(P_mid), min(P_outlet)) AS low, greatest(max(P_inlet), max(P_mid), max(P_outlet)) AS high,
+        least(min(Q_inlet), min(Q_outlet)) AS flow FROM wide GROUP BY scenario_id),
+late AS (SELECT n.scenario_id, Q_inlet > Q_outlet * 1.001 AS leak, Q_inlet - Q_outlet AS lost FROM n JOIN onsets o USING (scenario_id) WHERE epoch(timestamp) >= epoch(onset) + 3600.0 + 60.0
          QUALIFY row_number() OVER (PARTITION BY n.scenario_id ORDER BY timestamp, l_orderkey, l_linenumber, l_partkey) = 1),
 tail AS (SELECT scenario_id, P_outlet AS p, P_outlet - 2 * lag(P_outlet) OVER w + lag(P_outlet, 2) OVER w AS d2 FROM n WHERE back <= 20 WINDOW w AS (PARTITION BY scenario_id ORDER BY k)),
-osc AS (SELECT scenario_id, stddev_pop(d2) / greatest(stddev_pop(p), 1.0) < 0.5 AS calm FROM tail GROUP BY scenario_id),
+osc AS (SELECT scenario_id, stddev_pop(d2) / greatest(stddev_pop(p), 1.0) AS wobble FROM tail GROUP BY scenario_id),
 checks AS (
-  SELECT scenario_id, 'pressure_decreasing_initial' AS name, coalesce(dec, false) AS passed FROM one
-  UNION ALL SELECT scenario_id, 'no_nan_inf', fin FROM agg UNION ALL SELECT scenario_id, 'mass_balance_initial', coalesce(bal, false) FROM one
-  UNION ALL SELECT scenario_id, 'leak_flow_imbalance', leak FROM late UNION ALL SELECT scenario_id, 'pressure_range', coalesce(rng, false) FROM agg
-  UNION ALL SELECT scenario_id, 'flow_non_negative', coalesce(pos, false) FROM agg
-  UNION ALL SELECT scenario_id, 'no_numerical_oscillation', calm FROM osc JOIN agg USING (scenario_id) WHERE size > 20)"""
+  SELECT scenario_id, 'pressure_decreasing_initial' AS name, coalesce(dec, false) AS passed, fall AS detail FROM one
+  UNION ALL SELECT scenario_id, 'no_nan_inf', bad = 0, bad FROM agg UNION ALL SELECT scenario_id, 'mass_balance_initial', coalesce(rel < 0.02, false), rel FROM one
+  UNION ALL SELECT scenario_id, 'leak_flow_imbalance', leak, lost FROM late WHERE leak IS NOT NULL UNION ALL SELECT scenario_id, 'pressure_range', coalesce(low > 0 AND high < 50e6, false), high FROM agg
+  UNION ALL SELECT scenario_id, 'flow_non_negative', coalesce(flow >= -1e-4, false), flow FROM agg
+  UNION ALL SELECT scenario_id, 'no_numerical_oscillation', coalesce(wobble < 0.5, false), wobble FROM osc JOIN agg USING (scenario_id) WHERE size > 20)"""
 
 
 def checked(spark, folder):
@@ -438,9 +438,9 @@ def checked(spark, folder):
     return w, qa.scenario_checks(w, onsets, "scenario_id", "timestamp", views.SHIPMENT_ORDER)
 
 
-@query("quality_checks", "Q-a Q-b Q-c Q-d Q-e Q-f Q-g", f"WITH {_SHORT}, {_QUALITY} SELECT scenario_id, name, passed FROM checks")
+@query("quality_checks", "Q-a Q-b Q-c Q-d Q-e Q-f Q-g", f"WITH {_SHORT}, {_QUALITY} SELECT scenario_id, name, passed, {r('detail', 'detail', 4)} FROM checks")
 def quality_checks(spark, folder):
-    return checked(spark, folder)[1]
+    return checked(spark, folder)[1].withColumn("detail", r6("detail", 4))
 
 
 @query("quality_gate", "Q-h", f"""

@@ -19,7 +19,7 @@ def _broken(c: str) -> Column:
 
 
 def scenario_checks(df: DataFrame, onsets: DataFrame, key: str, time: str, tiebreak: list[str]) -> DataFrame:
-    """One row per scenario and check: ``(key, name, passed)``.
+    """One row per scenario and check: ``(key, name, passed, detail)``, ``detail`` being the number the verdict rests on.
 
     ``onsets`` holds ``(key, onset, ramp_seconds)`` of scenarios with a leak; the imbalance check looks at
     the first row once the leak has settled and is absent where there is none.
@@ -30,7 +30,7 @@ def scenario_checks(df: DataFrame, onsets: DataFrame, key: str, time: str, tiebr
         F.unix_timestamp(time) >= F.unix_timestamp("onset") + F.greatest("ramp_seconds", F.lit(60.0)) + 60.0
     )
     late = settled.groupBy(key).agg(F.min_by(F.struct(*FLOWS), rank).alias("l"))
-    late = late.select(key, (F.col("l.Q_inlet") > F.col("l.Q_outlet") * 1.001).alias("leak_flow_imbalance"))
+    late = late.select(key, F.struct((F.col("l.Q_inlet") > F.col("l.Q_outlet") * 1.001).alias("passed"), (F.col("l.Q_inlet") - F.col("l.Q_outlet")).alias("detail")).alias("_late"))
 
     tail = last_rows(df, [key], order, 20).select(key, *order, F.col("P_outlet").alias("p"))
     series = Series((key,), tuple(order))
@@ -38,31 +38,33 @@ def scenario_checks(df: DataFrame, onsets: DataFrame, key: str, time: str, tiebr
     tail = scan(tail, series, previous={"p2": F.col("p1")})
     wobble = tail.groupBy(key).agg(
         F.stddev_pop(F.col("p") - 2 * F.col("p1") + F.col("p2")).alias("_d2"), F.stddev_pop("p").alias("_sd"))
-    calm = wobble.select(key, (F.col("_d2") / F.greatest("_sd", F.lit(1.0)) < 0.5).alias("_calm"))
+    calm = wobble.select(key, (F.col("_d2") / F.greatest("_sd", F.lit(1.0))).alias("_calm"))
 
     lows = [F.min(c) for c in PRESSURES]
     highs = [F.max(c) for c in PRESSURES]
     first = F.min_by(F.struct(*PRESSURES, *FLOWS), rank)
     whole = df.groupBy(key).agg(
         first.alias("f"), F.count(F.lit(1)).alias("_n"),
-        (~F.bool_or(sum_any([_broken(c) for c in PRESSURES + FLOWS]))).alias("no_nan_inf"),
-        ((F.least(*lows) > 0.0) & (F.greatest(*highs) < 50.0e6)).alias("pressure_range"),
-        (F.least(*[F.min(c) for c in FLOWS]) >= -1e-4).alias("flow_non_negative"),
+        F.count_if(sum_any([_broken(c) for c in PRESSURES + FLOWS])).alias("_bad"),
+        F.least(*lows).alias("_low"), F.greatest(*highs).alias("_high"), F.least(*[F.min(c) for c in FLOWS]).alias("_flow"),
     )
-    checks = whole.join(late, key, "left").join(calm, key, "left").select(
-        key,
-        F.coalesce((F.col("f.P_inlet") >= F.col("f.P_mid")) & (F.col("f.P_mid") >= F.col("f.P_outlet")), F.lit(False))
-        .alias("pressure_decreasing_initial"),
-        "no_nan_inf",
-        F.coalesce(F.abs(F.col("f.Q_inlet") - F.col("f.Q_outlet")) / F.greatest(F.abs(F.col("f.Q_inlet")), F.lit(1e-10)) < 0.02,
-                   F.lit(False)).alias("mass_balance_initial"),
-        "leak_flow_imbalance",
-        F.coalesce("pressure_range", F.lit(False)).alias("pressure_range"),
-        F.coalesce("flow_non_negative", F.lit(False)).alias("flow_non_negative"),
-        F.when(F.col("_n") > 20, F.coalesce("_calm", F.lit(False))).alias("no_numerical_oscillation"),
+    imbalance = F.abs(F.col("f.Q_inlet") - F.col("f.Q_outlet")) / F.greatest(F.abs(F.col("f.Q_inlet")), F.lit(1e-10))
+    falls = (F.col("f.P_inlet") >= F.col("f.P_mid")) & (F.col("f.P_mid") >= F.col("f.P_outlet"))
+
+    def check(name: str, passed: Column, detail: Column) -> Column:
+        return F.struct(F.lit(name).alias("name"), F.coalesce(passed, F.lit(False)).alias("passed"), detail.cast("double").alias("detail"))
+
+    checks = F.array(
+        check("pressure_decreasing_initial", falls, F.col("f.P_inlet") - F.col("f.P_outlet")),
+        check("no_nan_inf", F.col("_bad") == 0, F.col("_bad")),
+        check("mass_balance_initial", imbalance < 0.02, imbalance),
+        F.when(F.col("_late.passed").isNotNull(), check("leak_flow_imbalance", F.col("_late.passed"), F.col("_late.detail"))),
+        check("pressure_range", (F.col("_low") > 0.0) & (F.col("_high") < 50.0e6), F.col("_high")),
+        check("flow_non_negative", F.col("_flow") >= -1e-4, F.col("_flow")),
+        F.when(F.col("_n") > 20, check("no_numerical_oscillation", F.col("_calm") < 0.5, F.col("_calm"))),
     )
-    names = [c for c in checks.columns if c != key]
-    return checks.unpivot([key], names, "name", "passed").where(F.col("passed").isNotNull())
+    rows = whole.join(late, key, "left").join(calm, key, "left")
+    return rows.select(key, F.inline(F.array_compact(checks)))
 
 
 def sum_any(flags: list[Column]) -> Column:
