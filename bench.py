@@ -21,7 +21,7 @@ HEADLINE = [
     "features_full_shipments", "features_ema", "wide_features", "features_generic_sensors", "clean_basic", "incident_rows",
     "incident_labels", "keep_last_arrival", "fill_along_well", "leak_event_runs", "exact_quantiles", "roc_auc_exact",
     "binary_metric_bundle", "model_metric_table", "calibrated_thresholds", "alerts_persistence", "alerts_gated", "quality_checks",
-    "training_corpus", "group_folds", "isolation_forest_scores", "stream_alerts", "stream_features",
+    "training_corpus", "group_folds", "training_frame", "model_matrix", "isolation_forest_scores", "stream_alerts", "stream_features",
 ]
 
 

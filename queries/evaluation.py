@@ -213,6 +213,16 @@ def leaderboard(spark, folder):
     return ev.leaderboard(metric_rows(spark, folder)).select("model_name", "rank", r6("delay").alias("delay"))
 
 
+@query("leaderboard_by_quality", "V8", f"""
+WITH {SCORES}, {bundle_sql('scores', 'model_name')}
+SELECT model_name, roc_auc, f1, row_number() OVER (ORDER BY roc_auc DESC NULLS LAST, f1 DESC NULLS LAST, model_name) AS rank FROM bundle""")
+def leaderboard_by_quality(spark, folder):
+    from telemill.operators.metrics import binary_metrics
+
+    metrics = binary_metrics(views.scores(spark, folder), "leak_score", "target", ["model_name"])
+    return ev.rank_by_quality(metrics).select("model_name", "roc_auc", "f1", "rank")
+
+
 @query("threshold_lookup", "V13", f"""
 WITH {SCORES}, {_V6}, m AS (SELECT DISTINCT model_name FROM scores UNION ALL SELECT DISTINCT event_type FROM events)
 SELECT model_name, coalesce(threshold, 0.5) AS threshold FROM m LEFT JOIN v6 USING (model_name)""")

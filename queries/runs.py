@@ -344,11 +344,14 @@ def validation_warnings(spark, folder):
 
 
 @query("processing_summary", "A17", f"""
-WITH {WIDE}, t AS (SELECT *, CASE WHEN coalesce(class, 0) <> 0 THEN 1 ELSE 0 END AS target FROM wide)
-SELECT count(*) AS n_rows, count(DISTINCT l_partkey % 50) AS n_wells, count(DISTINCT scenario_id) AS n_scenarios, count(*) FILTER (WHERE target = 0) AS label_0, count(*) FILTER (WHERE target = 1) AS label_1 FROM t""")
+WITH {WIDE}, t AS (SELECT *, CASE WHEN coalesce(class, 0) <> 0 THEN 1 ELSE 0 END AS target, CASE WHEN class IS NULL THEN 0 WHEN class >= 100 THEN class % 100 ELSE class END AS k FROM wide),
+e AS (SELECT string_agg(CAST(k AS VARCHAR) || ':' || CAST(n AS VARCHAR), ',' ORDER BY k) AS events FROM (SELECT k, count(*) AS n FROM t GROUP BY k))
+SELECT count(*) AS n_rows, count(DISTINCT l_partkey % 50) AS n_wells, count(DISTINCT scenario_id) AS n_scenarios, count(*) FILTER (WHERE target = 0) AS label_0, count(*) FILTER (WHERE target = 1) AS label_1,
+       (SELECT events FROM e) AS events FROM t""")
 def processing_summary(spark, folder):
     w = label_events(views.wide(spark, folder)).withColumn("well_id", F.col("l_partkey") % 50)
-    return pf.processing_summary(w)
+    text = F.transform("events", lambda e: F.concat_ws(":", e["event_class"].cast("string"), e["rows"].cast("string")))
+    return pf.processing_summary(w).withColumn("events", F.array_join(text, ","))
 
 
 @query("operational_snapshot", "A19", f"""

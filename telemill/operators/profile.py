@@ -55,12 +55,14 @@ def label_profile(df: DataFrame, label: str) -> DataFrame:
 
 
 def processing_summary(df: DataFrame) -> DataFrame:
-    """Rows, wells, scenarios and label balance of a processed well table."""
+    """Rows, wells, scenarios, label balance and event distribution of a processed well table."""
+    # one entry per event class
+    events = df.groupBy("event_class").agg(F.count(F.lit(1)).alias("rows")).agg(F.sort_array(F.collect_list(F.struct("event_class", "rows")))).scalar()
     return df.agg(
         F.count(F.lit(1)).alias("n_rows"), F.countDistinct("well_id").alias("n_wells"),
         F.countDistinct("scenario_id").alias("n_scenarios"),
         F.count_if(F.col("target") == 0).alias("label_0"), F.count_if(F.col("target") == 1).alias("label_1"),
-    )
+    ).withColumn("events", events)
 
 
 def distribution(df: DataFrame, *columns: str, out: str = "n") -> DataFrame:

@@ -15,7 +15,10 @@ def build_corpus(
     frames: Mapping[str, DataFrame], key: Sequence[str], max_negative_ratio: float = 3.0,
     max_rows_per_source: int | None = 25_000, seed: int = 42,
 ) -> DataFrame:
-    """Union by name with the source as a column; classes rebalanced and rows capped per source."""
+    """Union by name with the source as a column; classes rebalanced and rows capped per source.
+
+    The corpus is a bounded sample to fit on: ``max_rows_per_source`` (25,000 by default, ``None`` for all) is its bound.
+    """
     if not frames:
         raise ValueError("No usable datasets were available for the training corpus.")
     union = None

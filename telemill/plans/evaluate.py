@@ -132,6 +132,12 @@ def leaderboard(metrics: DataFrame) -> DataFrame:
     return metrics.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
+def rank_by_quality(metrics: DataFrame) -> DataFrame:
+    """Rank models by AUC, then F1, highest first; unknown values come last."""
+    w = Window.orderBy(F.col("roc_auc").desc_nulls_last(), F.col("f1").desc_nulls_last(), MODEL)  # one row per model
+    return metrics.withColumn("rank", F.row_number().over(w).cast("long"))
+
+
 def visible_models(metrics: DataFrame, floor: float = 0.55) -> DataFrame:
     """Models worth showing: AUC at or above the floor, or unknown."""
     return metrics.where(F.coalesce("roc_auc", F.lit(1.0)) >= floor)
