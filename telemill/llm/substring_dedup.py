@@ -92,7 +92,10 @@ def slices(offsets: np.ndarray, length: int):
 
 
 def runs(rows: DataFrame, length: int, span: int) -> DataFrame:
-    """All runs of all documents (``_key, _bytes``): ``key, first, size, anchor, context``."""
+    """All runs of all documents (``_key, _bytes``): ``key, firsts, size, anchor, context``.
+
+    Equal contexts of one document, as periodic texts have them by the thousand, are one row with all their places.
+    """
     def run(batches):
         powers = text.Powers()
         for batch in batches:
@@ -101,11 +104,15 @@ def runs(rows: DataFrame, length: int, span: int) -> DataFrame:
             for i, j, p, q in slices(offsets, length):
                 own = np.clip(offsets[i:j + 1], p, q) - p
                 doc, s, e, a, c = runs_of(buf[p:q], own, length, span, powers)
-                shift = p - offsets[i] if j - i == 1 else 0
-                yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc]), pa.array(s + shift), pa.array((e - s).astype(np.int32)), pa.array(a), pa.array(c)],
-                                                 names=["key", "first", "size", "anchor", "context"])
+                shift = int(p - offsets[i]) if j - i == 1 else 0
+                order = np.lexsort((s, c, doc))
+                doc, s, e, a, c = (x[order] for x in (doc, s, e, a, c))
+                at = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (c[1:] != c[:-1])))) if len(doc) else np.zeros(0, np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(s + shift))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[i + doc[at]]), places, pa.array((e - s)[at].astype(np.int32)), pa.array(a[at]), pa.array(c[at])],
+                                                 names=["key", "firsts", "size", "anchor", "context"])
 
-    return rows.mapInArrow(run, "key long, first long, size int, anchor long, context long")
+    return rows.mapInArrow(run, "key long, firsts array<bigint>, size int, anchor long, context long")
 
 
 def contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
@@ -244,12 +251,15 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     raw = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).cast("binary")
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{id_col}`"), raw, F.octet_length(raw)).alias("_key"), raw.alias("_bytes"))
     every = runs(rows.select("_key", "_bytes"), length, span)
-    often = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    some = staging.stage(spark, every.join(often, "anchor", "left_semi").select("key", "first", "size", "anchor", "context"))
-    distinct = some.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("copies"), F.min("key").alias("key"),
-                                                     F.min_by(F.struct("first", "size"), F.struct("key", "first")).alias("at"))
-    kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
-    wanted = distinct.join(kinds, "anchor").withColumn("spread", F.ceil(F.col("kinds") / spread).cast("int"))
+    # written out, so that the joins below read plain exchanges, whose large partitions can be split
+    often = every.groupBy("anchor").agg(F.sum(F.size("firsts")).alias("n")).where("n > 1").select("anchor")
+    often = staging.stage(spark, often)
+    some = staging.stage(spark, every.join(often, "anchor", "left_semi").select("key", "firsts", "size", "anchor", "context"))
+    distinct = staging.stage(spark, some.groupBy("anchor", "context").agg(
+        F.sum(F.size("firsts")).alias("copies"), F.min("key").alias("key"),
+        F.min_by(F.struct(F.get("firsts", F.lit(0)).alias("first"), "size"), "key").alias("at")))
+    many = staging.stage(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > spread))
+    wanted = distinct.join(many, "anchor", "left").withColumn("spread", F.ceil(F.coalesce("kinds", F.lit(1)) / spread).cast("int"))
     wanted = wanted.withColumn("salt", F.pmod("context", F.col("spread")).cast("int"))
     wanted = staging.stage(spark, wanted.select("key", "at.first", "at.size", "anchor", "context", "copies", "spread", "salt"))
     size = wanted.agg(F.sum(F.col("size") + length)).first()[0] or 0
@@ -262,6 +272,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     again = windows.groupBy("h1", "h2").agg(F.sum(F.lit(1) + F.col("known")).alias("n")).where("n > 1")
     late = windows.where("known = 0").join(again, ["h1", "h2"], "left_semi").select("anchor", "context", "s", (F.col("s") + 1).alias("e"))
     hits = hits.unionByName(late)
-    placed = some.join(hits, ["anchor", "context"]).select("key", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e")).distinct()
+    placed = some.join(hits, ["anchor", "context"]).select("key", F.explode("firsts").alias("first"), "s", "e")
+    placed = placed.select("key", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e")).distinct()
     removed = placed.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("s", "e")).alias("runs"))
     return finish(rows, removed, length).withColumnRenamed("_id", id_col)
