@@ -143,7 +143,7 @@ def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int,
     return rows.where(of * both >= least * union).select(F.col("a").alias("u"), F.col("b").alias("v"))
 
 
-def divided(members: DataFrame) -> DataFrame:
+def divided(spark: SparkSession, members: DataFrame) -> DataFrame:
     """Members (``leader, doc, component``) that have to be compared, dealt out to blocks.
 
     Of each leader with several components, the members outside the largest one are the small side, split in blocks.
@@ -153,7 +153,7 @@ def divided(members: DataFrame) -> DataFrame:
     tops = by.groupBy("leader").agg(F.sum("c").alias("all"), F.max(F.struct("c", "component")).alias("top"), F.count(F.lit(1)).alias("k"))
     tops = tops.where("k > 1").select("leader", F.col("top.component").alias("big"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).cast("int").alias("blocks"),
                                       F.ceil(F.col("all") / OTHERS).cast("int").alias("shares"))
-    rows = members.where("doc <> leader").join(tops, "leader")
+    rows = members.where("doc <> leader").join(staging.stage(spark, tops), "leader")
     small = F.col("component") != F.col("big")
     own = F.when(small, F.pmod(F.xxhash64("doc"), F.col("blocks"))).otherwise(F.col("blocks") - 1).cast("int")
     rows = rows.withColumn("own", own).withColumn("small", small).withColumn("block", F.explode(F.sequence(F.lit(0), "own")))
@@ -225,11 +225,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     heads = known.join(classes.withColumnRenamed("rep", "doc"), ["doc", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc", "n", "d1", "d2"])
     heads = staging.stage(spark, heads.select("doc", "n", "sign", "bands"))
     members = heads.select("doc", F.explode("bands").alias("bucket"))
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    # sizes, leaders and the like are written out: joins with them read plain exchanges, whose large partitions can be split
+    sizes = staging.stage(spark, members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     crowded = staging.stage(spark, members.join(sizes, "bucket"))
-    fame = crowded.groupBy("doc").agg(F.sum("size").alias("fame"))
+    fame = staging.stage(spark, crowded.groupBy("doc").agg(F.sum("size").alias("fame")))
     leaders = crowded.join(fame, "doc").groupBy("bucket").agg(F.max(F.struct("fame", "doc")).alias("top"))
-    leaders = leaders.select("bucket", F.col("top.doc").alias("leader"))
+    leaders = staging.stage(spark, leaders.select("bucket", F.col("top.doc").alias("leader")))
     members = staging.stage(spark, crowded.join(leaders, "bucket").select("leader", "doc").distinct())
     pairs = members.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     signs = heads.select("doc", "n", "sign")
@@ -237,7 +238,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links = staging.stage(spark, confirmed(spark, pairs, source, size, similarity))
     found = staging.stage(spark, components.components(spark, links))
     placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-    blocks = staging.stage(spark, divided(placed))
+    blocks = staging.stage(spark, divided(spark, placed))
     if not blocks.isEmpty():
         sets = staged_sets(spark, blocks.select("doc"), source, size)
         more = block_links(blocks.join(signs.select("doc", "sign"), "doc").join(sets, "doc"), least, similarity)

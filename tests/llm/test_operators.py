@@ -160,7 +160,7 @@ def test_block_search_is_complete(spark, block, others, monkeypatch):
     part = [0 if k < 12 else k // 2 for k in range(40)]
     rows = [(7, k, part[k], sets[k], bytearray(b"\0\0")) for k in range(40)]
     frame = spark.createDataFrame(rows, "leader long, doc long, component long, items array<bigint>, sign binary")
-    dealt = near_dedup.divided(frame.select("leader", "doc", "component")).join(frame.select("doc", "items", "sign"), "doc")
+    dealt = near_dedup.divided(spark, frame.select("leader", "doc", "component")).join(frame.select("doc", "items", "sign"), "doc")
     links = [tuple(r) for r in near_dedup.block_links(dealt, 0.0, (85, 100)).collect()]
 
     def joined(pairs):
