@@ -144,4 +144,4 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram token counts of every document."""
     scores = unigram.pieces(encode.tokenizer_path("piece_bpe_32k.model"))
-    return unigram.token_counts(spark, table(spark, sf_dir, "documents"), scores)
+    return unigram.token_counts(table(spark, sf_dir, "documents"), scores)

@@ -1,9 +1,9 @@
 """Token counts by dynamic programming over a trie of distinct pre-tokens.
 
-Pre-tokens are runs of non-blank characters with a leading mark. Each distinct one is kept once: words meet by hash
-inside their block of documents and then in their bucket. A bucket's words are inserted in a trie, level by level, and
-the best unigram score of a prefix (its forward score) is computed once for the trie node all words with that prefix
-share. A word's terminal node stores its number of tokens, which goes back to the blocks.
+Pre-tokens are runs of non-blank characters with a leading mark. A task gathers the distinct ones of a stretch of text by
+hash and inserts those it has not met yet in a trie, level by level; the best unigram score of a prefix (its forward
+score) is computed once for the trie node that all words with this prefix share. A word's terminal node stores its number
+of tokens, which is added up for each document. Nothing is shuffled or written.
 
 Pieces come from a vocabulary file in order of frequency; the piece at rank *r* has the score ``-log(r + RANK_SHIFT)``.
 Characters outside the vocabulary cost a token for each byte. Of paths with equal scores the one with fewer tokens
@@ -18,11 +18,10 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import brown, staging, text
+from . import staging, text
 
 MARK = "▁"
 RANK_SHIFT = 2.7
@@ -32,6 +31,9 @@ UNIT = 1 << 20
 BYTE_COST = -14.0
 #: Words up to this many bytes go through the trie level by level; longer ones are few and are done one by one.
 LEVELS = 192
+#: Bytes of text whose words enter a trie together, and distinct words whose counts one task keeps.
+STRETCH = 8 << 20
+REMEMBERED = 2_000_000
 
 
 @lru_cache(maxsize=4)
@@ -177,101 +179,74 @@ def marked(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.nd
     return out, at - len(_MARKED), at + size
 
 
-BLOCKS = "kind int, block long, bucket int, ids array<bigint>, a binary, b binary, c binary"
-
-
-def blocks(docs: DataFrame, buckets: int, block_tokens: int) -> DataFrame:
-    """Documents as blocks: tokens as numbers (kind 0), and the block's distinct words by bucket (kind 1)."""
-    def rows(block, ids, tokens, lengths, spellings):
-        codes, words = pd.factorize(tokens)
-        home = brown.bucket_of(words, buckets)
-        order = np.lexsort((words, home))
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        words, home = words[order], home[order]
-        edges = np.searchsorted(home, np.arange(buckets + 1))
-        yield {"kind": 0, "block": block, "bucket": -1, "ids": ids, "a": brown.pack(rank[codes].astype(np.uint32)), "b": brown.pack(lengths.astype(np.int64)), "c": None}
-        raw = [spellings[w] for w in words.tolist()]
-        for k in range(buckets):
-            i, j = edges[k], edges[k + 1]
-            if i < j:
-                size = np.array([len(x) for x in raw[i:j]], np.int64)
-                yield {"kind": 1, "block": block, "bucket": k, "ids": None, "a": brown.pack_sorted(words[i:j]), "b": brown.pack(size),
-                       "c": brown.pack(np.frombuffer(b"".join(raw[i:j]), np.uint8))}
-
-    def run(batches):
-        schema = pa.schema([("kind", pa.int32()), ("block", pa.int64()), ("bucket", pa.int32()), ("ids", pa.list_(pa.int64())), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-        powers, block = text.Powers(), TaskContext.get().partitionId() << 24
-        ids, tokens, lengths, size, spellings = [], [], [], 0, {}
-        for batch in batches:
-            buf, offsets = text.flat(batch.column("_text"))
-            names = batch.column("_id").to_pylist()
-            for i, j in text.pieces(offsets):
-                b, o = buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
-                s, e, w = text.spans(b, o, text.NOT_SPACE)
-                h = text.span_hash(text.prefix_hash(b, powers), s, e, powers)
-                codes, words = pd.factorize(h)
-                first = np.zeros(len(words), np.int64)
-                first[codes[::-1]] = np.arange(len(codes))[::-1]
-                raw = b.tobytes()
-                for x, p, q in zip(words.tolist(), s[first].tolist(), e[first].tolist()):
-                    if x not in spellings:
-                        spellings[x] = raw[p:q]
-                ids, size = ids + names[i:j], size + len(h)
-                tokens.append(h)
-                lengths.append(np.diff(w))
-                if size >= block_tokens:
-                    yield pa.RecordBatch.from_pylist(list(rows(block, ids, np.concatenate(tokens), np.concatenate(lengths), spellings)), schema)
-                    ids, tokens, lengths, size, spellings, block = [], [], [], 0, {}, block + 1
-        if ids:
-            yield pa.RecordBatch.from_pylist(list(rows(block, ids, np.concatenate(tokens), np.concatenate(lengths), spellings)), schema)
-
-    return docs.mapInArrow(run, BLOCKS)
-
-
-def counted(scores: dict[str, int]):
-    """A function of a bucket's word lists: token counts for each block's words, from one trie of all distinct ones."""
-    def run(table: pa.Table) -> pa.Table:
-        powers = text.Powers()
-        runs = [brown.unpack_sorted(x.as_py()) for x in table.column("a")]
-        sizes = [brown.unpack(x.as_py(), np.int64) for x in table.column("b")]
-        raw = np.concatenate([brown.unpack(x.as_py(), np.uint8) for x in table.column("c")])
-        words, first = np.unique(np.concatenate(runs), return_index=True)
-        size = np.concatenate(sizes)
-        start = np.cumsum(size) - size
-        buf, s, e = marked(raw, start[first], (start + size)[first])
-        counts = trie_counts(buf, s, e, Vocabulary(scores, powers), powers)
-        out = [brown.pack(counts[np.searchsorted(words, r)]) for r in runs]
-        return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "counts": pa.array(out, pa.binary())})
-
-    return run
-
-
-def documents(left: pa.Table, right: pa.Table) -> pa.Table:
-    order = np.argsort(right.column("bucket").to_numpy(), kind="stable").tolist() if right.num_rows else []
-    counts = np.concatenate([np.zeros(0, np.int64), *[brown.unpack(right.column("counts")[i].as_py(), np.int64) for i in order]])
-    codes, lengths = brown.unpack(left.column("a")[0].as_py(), np.uint32), brown.unpack(left.column("b")[0].as_py(), np.int64)
-    total = np.concatenate(([0], np.cumsum(counts[codes])))
-    ends = np.cumsum(lengths)
-    return pa.table({"_id": pa.array(left.column("ids")[0].as_py(), pa.int64()), "n_words": pa.array(lengths), "n_tokens": pa.array(total[ends] - total[ends - lengths])})
-
-
-def token_counts(spark: SparkSession, docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text",
-                 block_tokens: int = brown.BLOCK_TOKENS, bucket_bytes: int = brown.BUCKET_BYTES) -> DataFrame:
+class Counter:
+    """Token counts of words by hash, learned as words turn up; starts over beyond ``REMEMBERED`` words."""
+
+    def __init__(self, scores: dict[str, int]):
+        self.powers = text.Powers()
+        self.vocabulary = Vocabulary(scores, self.powers)
+        self.reset()
+
+    def reset(self) -> None:
+        self.words, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def documents(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words and tokens of each document."""
+        s, e, w = text.spans(buf, offsets, text.NOT_SPACE)
+        codes, words = pd.factorize(text.span_hash(text.prefix_hash(buf, self.powers), s, e, self.powers))
+        if len(self.words) > REMEMBERED:
+            self.reset()
+        at = np.searchsorted(self.words, words)
+        known = np.zeros(len(words), bool)
+        known[at < len(self.words)] = self.words[at[at < len(self.words)]] == words[at < len(self.words)]
+        new = np.flatnonzero(~known)
+        if len(new):
+            first = np.zeros(len(words), np.int64)
+            first[codes[::-1]] = np.arange(len(codes))[::-1]
+            raw, a, b = marked(buf, s[first[new]], e[first[new]])
+            counts = trie_counts(raw, a, b, self.vocabulary, self.powers)
+            every = np.concatenate([self.words, words[new]])
+            order = np.argsort(every, kind="stable")
+            self.words, self.counts = every[order], np.concatenate([self.counts, counts])[order]
+            at = np.searchsorted(self.words, words)
+        total = np.concatenate(([0], np.cumsum(self.counts[at][codes] if len(codes) else np.zeros(0, np.int64))))
+        return np.diff(w), total[w[1:]] - total[w[:-1]]
+
+
+def token_counts(docs: DataFrame, vocabulary: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id, n_words, n_tokens`` under the unigram scores in ``vocabulary`` (piece: integer score).
 
     Null, empty and blank texts have no words and no tokens. Repeated rows each give a row; a null identifier stays
-    null. An empty table gives an empty result. Other columns are not read.
+    null. An empty table gives an empty result. Other columns are not read. The vocabulary is sent to every task; its
+    size is that of a tokenizer file.
     """
-    staging.batches(spark)
-    value = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("_id"), value.alias("_text"))
-    size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
-    buckets = brown.MIN_BUCKETS
-    while buckets * bucket_bytes < size:
-        buckets *= 2
-    made = staging.stage(spark, blocks(rows, buckets, block_tokens), compression="none", partition_by=("kind",))
-    back = made.where("kind = 1").select("block", "bucket", "a", "b", "c").groupBy("bucket").applyInArrow(counted(vocabulary), "block long, bucket int, counts binary")
-    own = made.where("kind = 0").select("block", "ids", "a", "b")
-    out = own.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(documents, "_id long, n_words long, n_tokens long")
-    return out.select(F.col("_id").alias(id_col), "n_words", "n_tokens")
+    staging.batches(docs.sparkSession)
+    rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        counter = Counter(shared.value)
+        for batch in gathered(batches):
+            buf, offsets = text.flat(batch.column("_text"))
+            for i, j in text.pieces(offsets, STRETCH):
+                words, tokens = counter.documents(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([batch.column("_id").slice(i, j - i), pa.array(words), pa.array(tokens)], names=["_id", "n_words", "n_tokens"])
+
+    def gathered(batches):
+        """Batches joined to about one stretch of text, as larger tries share more prefixes."""
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= STRETCH:
+                yield joined(held)
+                held, size = [], 0
+        if held:
+            yield joined(held)
+
+    def joined(held):
+        whole = pa.Table.from_batches(held).combine_chunks().to_batches()
+        return whole[0] if whole else held[0]
+
+    kind = dict(rows.dtypes)["_id"]
+    return rows.mapInArrow(run, f"_id {kind}, n_words long, n_tokens long").withColumnRenamed("_id", id_col)

@@ -349,8 +349,10 @@ def best_path(word, scores):
     return best[-1][1]
 
 
-@pytest.mark.parametrize("options", [{}, {"block_tokens": 100, "bucket_bytes": 500}])
-def test_token_counts(spark, docs, clashing, empty, options):
+@pytest.mark.parametrize("stretch,remembered", [(8 << 20, 2_000_000), (500, 50)])
+def test_token_counts(spark, docs, clashing, empty, stretch, remembered, monkeypatch):
+    monkeypatch.setattr(unigram, "STRETCH", stretch)
+    monkeypatch.setattr(unigram, "REMEMBERED", remembered)
     scores = {p: s for p, s in unigram.pieces(encode.tokenizer_path("piece_bpe_32k.model")).items() if len(p) < 7}
     memo = {}
     want = []
@@ -359,8 +361,8 @@ def test_token_counts(spark, docs, clashing, empty, options):
         for x in set(w) - set(memo):
             memo[x] = best_path(x, scores)
         want.append((i, len(w), sum(memo[x] for x in w)))
-    assert by_row(unigram.token_counts(spark, clashing, scores, **options)) == sorted(want, key=repr)
-    assert unigram.token_counts(spark, empty, scores).count() == 0
+    assert by_row(unigram.token_counts(clashing, scores)) == sorted(want, key=repr)
+    assert unigram.token_counts(empty, scores).count() == 0
 
 
 def test_quality(spark, data, docs, clashing, empty):
