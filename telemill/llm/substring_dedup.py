@@ -3,8 +3,9 @@
 Every window of ``LENGTH`` bytes has an anchor, the substring of ``LENGTH - SPAN + 1`` bytes in it with the smallest
 hash, so equal windows have equal anchors at equal places. Neighbouring windows with one anchor form a run, and a run's
 *context* is all bytes of its windows. An anchor that occurs once cannot lie in a repeated window. Contexts of the other
-anchors are reduced to distinct ones with their number of copies, dealt out by anchor, and suffix-sorted in shards; a
-window that shares ``LENGTH`` bytes with a neighbour in suffix order is repeated, as is every window of a context that
+anchors are reduced to distinct ones with their number of copies. An anchor with a single context has nothing left to
+compare: all its windows are as repeated as the context. All others are dealt out by anchor and suffix-sorted in shards;
+a window that shares ``LENGTH`` bytes with a neighbour in suffix order is repeated, as is every window of a context that
 has copies. Anchors with very many different contexts are spread over several shards, and classes of equal windows are
 then matched between these by digest.
 """
@@ -258,10 +259,12 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     distinct = staging.stage(spark, some.groupBy("anchor", "context").agg(
         F.sum(F.size("firsts")).alias("copies"), F.min("key").alias("key"),
         F.min_by(F.struct(F.get("firsts", F.lit(0)).alias("first"), "size"), "key").alias("at")))
-    many = staging.stage(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > spread))
-    wanted = distinct.join(many, "anchor", "left").withColumn("spread", F.ceil(F.coalesce("kinds", F.lit(1)) / spread).cast("int"))
+    several = staging.stage(spark, distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"))
+    wanted = distinct.join(several, "anchor").withColumn("spread", F.ceil(F.col("kinds") / spread).cast("int"))
     wanted = wanted.withColumn("salt", F.pmod("context", F.col("spread")).cast("int"))
     wanted = staging.stage(spark, wanted.select("key", "at.first", "at.size", "anchor", "context", "copies", "spread", "salt"))
+    # the only context of an anchor has nothing to be sorted against: its copies make all its windows repeated
+    alone = distinct.where("copies > 1").join(several, "anchor", "left_anti").select("anchor", "context", F.lit(0).cast("long").alias("s"), F.col("at.size").cast("long").alias("e"))
     size = wanted.agg(F.sum(F.col("size") + length)).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // TASK_BYTES + 1)
     dealt = contexts(rows.select("_key", "_bytes"), wanted, length).repartition(tasks, "anchor", "salt").sortWithinPartitions("anchor", "salt")
@@ -271,7 +274,7 @@ def repeated_spans(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     windows = windows.select("anchor", "context", F.col("x.starts").alias("s"), F.col("x.ends").alias("known"), F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"))
     again = windows.groupBy("h1", "h2").agg(F.sum(F.lit(1) + F.col("known")).alias("n")).where("n > 1")
     late = windows.where("known = 0").join(again, ["h1", "h2"], "left_semi").select("anchor", "context", "s", (F.col("s") + 1).alias("e"))
-    hits = hits.unionByName(late)
+    hits = hits.unionByName(late).unionByName(alone)
     placed = some.join(hits, ["anchor", "context"]).select("key", F.explode("firsts").alias("first"), "s", "e")
     placed = placed.select("key", (F.col("first") + F.col("s")).alias("s"), (F.col("first") + F.col("e")).alias("e")).distinct()
     removed = placed.groupBy(F.col("key").alias("_key")).agg(F.collect_list(F.struct("s", "e")).alias("runs"))

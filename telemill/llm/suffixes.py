@@ -124,7 +124,7 @@ def named(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray
         return out
 
     key = keys(np.arange(m), 0)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(m, bool)
     new[1:] = key[order][1:] != key[order][:-1]
     at = per
@@ -151,21 +151,28 @@ def named(t: np.ndarray, small: np.ndarray, lms: np.ndarray) -> tuple[np.ndarray
 def doubled(names: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of the suffixes of ``names`` by their first ``reach`` names or more, and common names of neighbours."""
     m = len(names)
-    ranks = [names.astype(np.int64)]
-    step = 1
-    order = np.argsort(names, kind="stable")
+    order = np.argsort(names)
+    new = np.ones(m, bool)
+    new[1:] = names[order][1:] != names[order][:-1]
+    rank = np.empty(m, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(m), 0))
+    ranks, step = [rank], 1
     while step < reach:
-        r = ranks[-1]
-        if int(r.max()) == m - 1:
+        # only suffixes that still share their rank are sorted on
+        slots = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(slots):
             break
-        behind = np.zeros(m, np.int64)
-        behind[:m - step] = r[step:] + 1 if step < m else 0
-        key = r * (m + 1) + behind
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        nxt = np.empty(m, np.int64)
-        nxt[order] = np.cumsum(np.diff(sorted_key, prepend=sorted_key[0]) != 0)
-        ranks.append(nxt)
+        r, which = ranks[-1], order[slots]
+        behind = np.zeros(len(which), np.int64)
+        inside = which + step < m
+        behind[inside] = r[which[inside] + step] + 1
+        key = r[which] * (m + 2) + behind
+        inner = np.argsort(key)
+        order[slots], key = which[inner], key[inner]
+        new[slots[1:][key[1:] != key[:-1]]] = True
+        rank = r.copy()
+        rank[order[slots]] = np.maximum.accumulate(np.where(new[slots], slots, 0))
+        ranks.append(rank)
         step *= 2
     shared = np.zeros(m, np.int64)
     x, y = order[:-1], order[1:]
@@ -189,7 +196,7 @@ def lms_suffixes(t: np.ndarray, small: np.ndarray, words: np.ndarray, cap: int,
         shared = np.zeros(len(lms), np.int64)
         shared[1:] = np.minimum(common_prefix(w, order[:-1], order[1:], shared[1:], cap), len(lms) - 1 - np.maximum(order[:-1], order[1:]))
     else:
-        order, shared = doubled(names, cap)
+        order, shared = doubled(names, cap // 2 + 1)  # a name stands for two characters at least
     at = lms[order]
     lcp = np.zeros(len(lms), np.int64)
     far = np.minimum(order[1:] + shared[1:], len(lms) - 1)
