@@ -1,4 +1,8 @@
-"""Training, scoring and ensembles. What a fit gives is checked through keys, counts, label sums and bounds."""
+"""Training, scoring and ensembles.
+
+Scores and metrics of fitted models come from queries without SQL; beside each stands an audit query, whose keys, counts,
+label sums and bounds SQL can state.
+"""
 
 from __future__ import annotations
 
@@ -18,12 +22,12 @@ from .evaluation import bundle_sql
 from .registry import SCORES, SHIPMENTS, TELEMETRY, query, r
 from .runs import with_context
 
-FEATURES = ["pressure", "flow_rate", "pressure_delta", "flow_rate_delta", "pressure_roll_std", "pressure_baseline_dev"]
+FEATURES = ["pressure", "flow_rate", *ft.FEATURES]
 
 
 def featured(spark, folder):
     t = views.telemetry(spark, folder)
-    out = ft.build_features(t, time_series(t, ["segment_id"]), FEATURES[2:])
+    out = ft.build_features(t, time_series(t, ["segment_id"]), ft.FEATURES, tick="tick")
     return out.select("seq", "segment_id", "target", "leak_severity", *FEATURES)
 
 
@@ -98,35 +102,78 @@ def audited(metrics, keys):
     return metrics.select(*keys, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"), (F.col("fn") + F.col("tp")).alias("positives"), bounded(*BUNDLE).alias("bounded"))
 
 
+def cross_validated(spark, folder, k: int):
+    """Metric bundle per model and fold."""
+    df = group_folds(tr.positive_weights(featured(spark, folder)), "segment_id", k).persist()
+    builders = {"logistic": tr.logistic(), "forest": tr.random_forest(), "boosted": tr.boosted()}
+    out = tr.cross_validate(df, builders, FEATURES, weight="weight", k=k)
+    df.unpersist()
+    return out
+
+
+@query("cross_validated_metrics", "M1 M2 M3 M9")
+def cross_validated_metrics(spark, folder):
+    return cross_validated(spark, folder, 5)
+
+
+@query("cross_validated_means", "M9 A15")
+def cross_validated_means(spark, folder):
+    return tr.cv_summary(cross_validated(spark, folder, 5))
+
+
 @query("cross_validated_models", "M1 M2 M3 M9", f"""
 WITH {TELEMETRY} SELECT m AS model_name, count(*) AS n, CAST(sum(target) AS BIGINT) AS positives, CAST(3 AS BIGINT) AS folds, true AS bounded
 FROM telemetry, (VALUES ('logistic'), ('forest'), ('boosted')) v(m) GROUP BY m""")
 def cross_validated_models(spark, folder):
-    df = group_folds(tr.positive_weights(featured(spark, folder)), "segment_id", 3).persist()
-    builders = {"logistic": tr.logistic(50), "forest": tr.random_forest(20, 6), "boosted": tr.boosted(8, 4)}
-    out = audited(tr.cross_validate(df, builders, FEATURES, weight="weight", k=3), ["model_name", "fold"])
-    df.unpersist()
+    out = audited(cross_validated(spark, folder, 3), ["model_name", "fold"])
     return out.groupBy("model_name").agg(F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.countDistinct("fold").alias("folds"), F.bool_and("bounded").alias("bounded"))
 
 
+def isolated(spark, folder):
+    df = featured(spark, folder).persist()
+    out = iforest.fit(df, FEATURES, iforest.Settings(), key=["seq"]).score(df)
+    df.unpersist()
+    return out
+
+
+@query("isolation_forest_leak_scores", "M5 M6")
+def isolation_forest_leak_scores(spark, folder):
+    return isolated(spark, folder).select("seq", "target", "leak_score")
+
+
 @query("isolation_forest_scores", "M5 M6", f"WITH {TELEMETRY} SELECT seq, target, true AS bounded, true AS varied FROM telemetry")
 def isolation_forest_scores(spark, folder):
-    df = featured(spark, folder)
-    model = iforest.fit(df, FEATURES, iforest.Settings(), key=["seq"])
-    scored = model.score(df)
+    scored = isolated(spark, folder)
     spread = scored.agg((F.stddev_pop("leak_score") > 0.001)).scalar()
     return scored.select("seq", "target", bounded("leak_score").alias("bounded"), spread.alias("varied"))
 
 
+@query("benchmark_metrics", "M14 M4")
+def benchmark_metrics(spark, folder):
+    parts = stratified_split(featured(spark, folder), ["seq"], "target", {"test": 0.2, "train": 0.0}).persist()
+    out = tr.benchmark(parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test"), FEATURES)
+    parts.unpersist()
+    return out
+
+
 @query("benchmark_models", "M14 M4", f"""
 WITH {TELEMETRY}, t AS (SELECT target, CAST(ceil(count(*) * 0.2) AS BIGINT) AS n FROM telemetry GROUP BY target)
 SELECT m AS model_name, CAST(sum(n) AS BIGINT) AS n, CAST(sum(n) FILTER (target = 1) AS BIGINT) AS positives, true AS bounded
 FROM t, (VALUES ('majority'), ('logistic_regression'), ('random_forest')) v(m) GROUP BY m""")
 def benchmark_models(spark, folder):
-    parts = stratified_split(featured(spark, folder), ["seq"], "target", {"test": 0.2, "train": 0.0}).persist()
-    out = tr.benchmark(parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test"), FEATURES, trees=20)
-    parts.unpersist()
-    return audited(out, ["model_name"])
+    return audited(benchmark_metrics(spark, folder), ["model_name"])
+
+
+def trained(spark, folder, k: int) -> dict:
+    df = featured(spark, folder).withColumn("weight", tr_weight())
+    return tr.train_all(df, {"logistic": tr.logistic(), "forest": tr.random_forest()}, FEATURES, "segment_id", "weight", k=k)
+
+
+@query("training_job_summary", "M15 M8 X8")
+def training_job_summary(spark, folder):
+    job = trained(spark, folder, 5)
+    sizes = job["fold_sizes"].select(F.struct("*")).scalar()
+    return job["summary"].join(job["weights"], "model_name").withColumn("_s", sizes).select("*", "_s.*").drop("_s")
 
 
 @query("training_job", "M15 M8 X8", f"""
@@ -134,8 +181,7 @@ WITH {TELEMETRY}, n AS (SELECT count(*) AS r, count(DISTINCT segment_id) AS g FR
 SELECT m AS model_name, true AS bounded, true AS weighs, CAST(round(r * 2 / 3.0) AS BIGINT) AS avg_train_rows, CAST(round(r / 3.0) AS BIGINT) AS avg_test_rows
 FROM n, (VALUES ('logistic'), ('forest')) v(m)""")
 def training_job(spark, folder):
-    df = featured(spark, folder).withColumn("weight", tr_weight())
-    job = tr.train_all(df, {"logistic": tr.logistic(30), "forest": tr.random_forest(10, 5)}, FEATURES, "segment_id", "weight", k=3)
+    job = trained(spark, folder, 3)
     total = job["weights"].agg(F.abs(F.sum("weight") - 1) < 1e-9).scalar()
     sizes = job["fold_sizes"].select(F.struct("avg_train_rows", "avg_test_rows")).scalar()
     out = job["summary"].join(job["weights"], "model_name").withColumn("_s", sizes)
@@ -149,14 +195,21 @@ def tr_weight():
     return severity_weight(F.col("target"), F.col("leak_severity"))
 
 
+@query("batch_leak_scores", "M10")
+def batch_leak_scores(spark, folder):
+    df = featured(spark, folder).persist()
+    models = {"logistic": tr.fit(tr.logistic(), df, FEATURES, None), "svm": tr.fit(tr.linear_svm(), df, FEATURES, None),
+              "majority": tr.Majority.fit(df), "unsupported": object(), "broken": Broken()}
+    out = tr.score_all(models, df, ["seq", "segment_id", "target"], FEATURES)
+    df.unpersist()
+    return out
+
+
 @query("batch_scores", "M10", f"""
 WITH {TELEMETRY} SELECT m AS model_name, seq, segment_id, target, true AS bounded, CASE WHEN m = 'majority' THEN CAST((SELECT mode(target) FROM telemetry) AS DOUBLE) END AS constant
 FROM telemetry, (VALUES ('logistic'), ('majority'), ('svm')) v(m)""")
 def batch_scores(spark, folder):
-    df = featured(spark, folder)
-    models = {"logistic": tr.fit(tr.logistic(30), df, FEATURES, None), "svm": tr.fit(tr.linear_svm(20), df, FEATURES, None),
-              "majority": tr.Majority.fit(df), "unsupported": object(), "broken": Broken()}
-    out = tr.score_all(models, df, ["seq", "segment_id", "target"], FEATURES)
+    out = batch_leak_scores(spark, folder)
     constant = F.when(F.col("model_name") == "majority", F.col("leak_score"))
     return out.select("model_name", "seq", "segment_id", "target", bounded("leak_score").alias("bounded"), constant.alias("constant"))
 
@@ -168,24 +221,40 @@ class Broken:
         return df.withColumn("leak_score", F.raise_error(F.lit("no model behind this")).cast("double"))
 
 
+@query("transfer_fold_metrics", "M13")
+def transfer_fold_metrics(spark, folder):
+    """Metric bundle per fold of the new domain; fold -1 is all of it."""
+    source = featured(spark, folder).persist()
+    models = {"logistic": tr.fit(tr.logistic(), source, FEATURES, None)}
+    source.unpersist()
+    s = views.shipments(spark, folder)
+    target = ft.build_features(s, time_series(s, ["segment_id"], tiebreak=views.SHIPMENT_ORDER), ft.FEATURES)
+    return tr.transfer(models, group_folds(target, "segment_id", 5), FEATURES)
+
+
 @query("transfer_metrics", "M13", f"""
 WITH {SHIPMENTS} SELECT 'logistic' AS model_name, whole, count(*) AS n, CAST(sum(target) AS BIGINT) AS positives, CAST(CASE WHEN whole THEN 1 ELSE 5 END AS BIGINT) AS folds, true AS bounded
 FROM shipments, (VALUES (true), (false)) v(whole) GROUP BY whole""")
 def transfer_metrics(spark, folder):
-    source = featured(spark, folder)
-    models = {"logistic": tr.fit(tr.logistic(30), source, FEATURES, None)}
-    s = views.shipments(spark, folder)
-    target = ft.build_features(s, time_series(s, ["segment_id"], tiebreak=views.SHIPMENT_ORDER), FEATURES[2:])
-    out = audited(tr.transfer(models, group_folds(target, "segment_id", 5), FEATURES), ["model_name", "fold"])
+    out = audited(transfer_fold_metrics(spark, folder), ["model_name", "fold"])
     return out.groupBy("model_name", (F.col("fold") == -1).alias("whole")).agg(
         F.sum("n").alias("n"), F.sum("positives").alias("positives"), F.countDistinct("fold").alias("folds"), F.bool_and("bounded").alias("bounded"))
 
 
+def validated(spark, folder, k: int):
+    t = with_context(views.telemetry(spark, folder)).withColumn("history_id", F.col("segment_id").cast("string"))
+    return validation_report(t, time_series(t, ["segment_id"]), k=k)
+
+
+@query("validation_measures", "V12")
+def validation_measures(spark, folder):
+    return validated(spark, folder, 5)
+
+
 @query("validation_report", "V12", f"""
 WITH {TELEMETRY}, h AS (SELECT segment_id, epoch(max(timestamp) - min(timestamp)) / 3600.0 AS hours FROM telemetry GROUP BY segment_id)
 SELECT (SELECT count(*) FROM telemetry) AS rows, count(*) AS segment_count, {r('max(hours)', 'max_history_hours')}, {r('median(hours)', 'median_history_hours')}, true AS bounded FROM h""")
 def validation_report_row(spark, folder):
-    t = with_context(views.telemetry(spark, folder)).withColumn("history_id", F.col("segment_id").cast("string"))
-    out = validation_report(t, time_series(t, ["segment_id"]), k=3)
+    out = validated(spark, folder, 3)
     return out.select("rows", "segment_count", r6("max_history_hours").alias("max_history_hours"), r6("median_history_hours").alias("median_history_hours"),
                       bounded("raw_sensor_auc", "dynamics_auc", "stale_sensor_rate", "missing_value_rate", "leak_disturbance_overlap").alias("bounded"))
