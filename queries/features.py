@@ -162,6 +162,35 @@ def features_full_shipments(spark, folder):
     return out.select("segment_id", F.col("step").cast("long").alias("step"), *[r6(c).alias(c) for c in wanted])
 
 
+# SQL per feature over the CTEs ``d`` and ``e``
+EMA_SQL = {"pressure_ema_dev": "pressure - np / w", "flow_ema_dev": "flow_rate - nf / w"}
+
+
+def ema() -> str:
+    """A recursive CTE with the weighted sums behind the exponential means, on the rows of ``d``."""
+    return """
+e AS (
+  SELECT segment_id, rn, pressure AS np, flow_rate AS nf, CAST(1.0 AS DOUBLE) AS w FROM d WHERE rn = 1
+  UNION ALL
+  SELECT d.segment_id, d.rn, e.np * (19.0 / 21.0) + d.pressure, e.nf * (19.0 / 21.0) + d.flow_rate, e.w * (19.0 / 21.0) + 1.0
+  FROM e JOIN d ON d.segment_id = e.segment_id AND d.rn = e.rn + 1)"""
+
+
+@query("features_whole_shipments", "W1 W2 W3 W4 W5 W6 W7 W8 W9 W10 W11 W12 W13 W14 W15 W16 W17 W18 W19 D7", f"""
+WITH RECURSIVE {SHIPMENTS}, {deltas('shipments', SHIP)}, {ema()},
+m AS (SELECT timestamp, avg(pressure) AS mp, avg(flow_rate) AS mf FROM shipments GROUP BY timestamp),
+c AS (SELECT regime, row_number() OVER (ORDER BY regime) - 1 AS code FROM (SELECT DISTINCT regime FROM shipments WHERE regime IS NOT NULL))
+SELECT segment_id, rn AS step, {', '.join(r(SHIP_FEATURE_SQL[c], c) for c in _ALL_SHIP)}, {', '.join(r(x, c) for c, x in EMA_SQL.items())},
+       {r('pressure - mp', 'pressure_segment_deviation')}, {r('flow_rate - mf', 'flow_segment_deviation')}, CAST(coalesce(code, -1) AS INTEGER) AS event_type_encoded
+FROM d JOIN e USING (segment_id, rn) JOIN m USING (timestamp) LEFT JOIN c USING (regime)""")
+def features_whole_shipments(spark, folder):
+    """Every feature column; the regime stands in for the event type, which shipments lack."""
+    t = views.shipments(spark, folder).withColumn("event_type", F.col("regime"))
+    s = time_series(t, ["segment_id"], tiebreak=views.SHIPMENT_ORDER)
+    out = ft.build_features(scan(t, s, position="step"), s, encode_events=True)
+    return out.select("segment_id", F.col("step").cast("long").alias("step"), *[r6(c).alias(c) for c in ft.FEATURES], ft.EVENT_CODE)
+
+
 _CODES = """
 c AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM telemetry WHERE event_type IS NOT NULL))"""
 _FIVE = f"({SEQ} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"

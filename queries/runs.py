@@ -100,12 +100,13 @@ def _wide_cols(mode: str) -> dict[str, str]:
     return cols
 
 
-def _wide_query(name: str, mode: str) -> None:
+def _wide_query(name: str, mode: str, exact: dict[str, str] = {}) -> None:
+    """``exact``: further columns, compared without rounding."""
     cols = _wide_cols(mode)
 
     @query(name, "W24", f"""
     WITH {WIDE}, {BOUNDED}, z AS (SELECT scenario_id, timestamp, l_orderkey, l_linenumber, l_partkey, {_SENS}, count(*) OVER (PARTITION BY scenario_id) AS size FROM bounded)
-    SELECT {ROW_SQL}, {', '.join(r(e, c) for c, e in cols.items())} FROM z""")
+    SELECT {', '.join([ROW_SQL, *[r(e, c) for c, e in cols.items()], *[f'{e} AS {c}' for c, e in exact.items()]])} FROM z""")
     def run(spark, folder):
         w = bound_sensors(views.wide(spark, folder))
         out = wd.wide_features(w, well_series(w), ratio_mode=mode)
@@ -113,11 +114,13 @@ def _wide_query(name: str, mode: str) -> None:
         def scaled(c: str):  # pressures in MPa, ratios as they are
             return F.col(c) / 1e6 if c[0] == "P" and "ratio" not in c else F.col(c)
 
-        return out.select(*ROW, *[r6(scaled(c)).alias(c) for c in cols])
+        return out.select(*ROW, *[r6(scaled(c)).alias(c) for c in cols], *exact)
 
 
 _wide_query("wide_features", "safe")
 _wide_query("wide_features_epsilon", "epsilon")
+# over a zero outlet pressure the ratio is near 1e14, where six decimals are beyond a double
+_wide_query("wide_features_epsilon_whole", "epsilon", {"P_ratio_in_out": "P_inlet / (P_outlet + CAST(1e-6 AS DOUBLE))"})
 
 
 @query("drop_warmup", "W26", f"WITH {TELEMETRY}, n AS (SELECT *, row_number() OVER ({SEQ}) AS k FROM telemetry) SELECT seq, segment_id FROM n WHERE k > 5")

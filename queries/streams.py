@@ -13,7 +13,7 @@ from telemill.streaming.features import STREAMED, stream_features, stream_segmen
 from telemill.streaming.source import drain, stream_files
 
 from .evaluation import _ABOVE, policy_cte
-from .features import FEATURE_SQL, deltas
+from .features import EMA_SQL, FEATURE_SQL, deltas, ema
 from .registry import SCORES, TELEMETRY, query, r
 from .sources import scratch
 
@@ -64,6 +64,17 @@ def stream_feature_rows(spark, folder):
     return done.where(F.col("seq") >= 0).select("segment_id", "seq", *[r6(c, 5).alias(c) for c in _STREAM_CHECK])
 
 
+@query("stream_features_whole", "P5 W15 W6", f"""
+WITH RECURSIVE {TELEMETRY}, {deltas()}, {ema()}
+SELECT segment_id, seq, {', '.join(r((FEATURE_SQL | EMA_SQL)[c], c, 5) for c in STREAMED)} FROM d JOIN e USING (segment_id, rn)""")
+def stream_features_whole(spark, folder):
+    """Every streamed feature, the z-scores and exponential means included."""
+    t = views.telemetry(spark, folder).select("segment_id", "timestamp", "seq", "pressure", "flow_rate")
+    out = stream_features(streamed(spark, t, ["segment_id"]))
+    done = drain(out, scratch(spark) + "/out", scratch(spark))
+    return done.where(F.col("seq") >= 0).select("segment_id", "seq", *[r6(c, 5).alias(c) for c in STREAMED])
+
+
 @query("stream_segment_deviation", "P12 W9", f"""
 WITH {TELEMETRY}, m AS (SELECT tick, avg(pressure) AS mp, avg(flow_rate) AS mf FROM telemetry GROUP BY tick)
 SELECT segment_id, seq, {r('pressure - mp', 'pressure_segment_deviation')}, {r('flow_rate - mf', 'flow_segment_deviation')} FROM telemetry JOIN m USING (tick)""")
