@@ -14,8 +14,8 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row with the largest doc_id stays."""
-    return exact_dedup.drop_copies(docs)
+    """Of equal texts, the row with the largest doc_id stays, and once where it is repeated."""
+    return exact_dedup.drop_copies(docs, repeats=False)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

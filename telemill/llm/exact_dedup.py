@@ -60,8 +60,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("_id").eqNullSafe(F.col("_keep")).alias("kept"), F.lower(F.hex("_digest")).alias("text_sha256"))
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; of rows repeating identifier and text, each stays."""
-    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id"), "text_sha256").distinct()
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "max", repeats: bool = True) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns.
+
+    Of rows repeating identifier and text each stays; without ``repeats``, of those equal in every column one does.
+    """
+    groups = exact_groups(docs, id_col, text_col, keep).where("kept").select(F.col(id_col).alias("_kept_id"), "text_sha256")
+    groups = groups.groupBy("_kept_id", "text_sha256").agg(F.count(F.lit(1)).alias("_rows"))
     digest = F.sha2(normalised(F.col(f"`{text_col}`").cast("string")), 256)
-    return docs.join(groups, docs[id_col].eqNullSafe(groups["_kept_id"]) & (digest == groups["text_sha256"]), "left_semi")
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, docs[id_col].eqNullSafe(some["_kept_id"]) & (digest == some["text_sha256"]), "left_semi")
+
+    if repeats:
+        return rows_of(groups)
+    # only rows that may repeat are compared as a whole
+    return rows_of(groups.where("_rows = 1")).union(rows_of(groups.where("_rows > 1")).dropDuplicates())
