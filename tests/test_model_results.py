@@ -55,3 +55,10 @@ def test_settings_are_the_defaults(monkeypatch, spark, data):
         assert (forest.getNumTrees(), forest.getMaxDepth()) == (100, 10)
     boosted = caught["cv"][0]["boosted"](models.FEATURES, None).getStages()[-1]
     assert (boosted.getMaxIter(), boosted.getMaxDepth()) == (50, 5)
+
+
+def test_benchmark_without_labels(spark):
+    points = spark.range(300).select("id", F.randn(1).alias("x"), F.randn(2).alias("y"))
+    out = tr.benchmark(points.where("id < 240"), points.where("id >= 240"), ["x", "y"]).collect()
+    assert [r.model_name for r in out] == ["isolation_forest"]
+    assert out[0].tn + out[0].fp == 60 and out[0].fn + out[0].tp == 0
