@@ -62,7 +62,7 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
 
 
-def tokens_of(buf: np.ndarray, offsets: np.ndarray, powers: text.Powers) -> tuple[np.ndarray, np.ndarray]:
+def tokens_of(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes with an end token after each document, and tokens per document."""
     b = text.LOWER[buf]
     s, e, w = text.spans(b, offsets, text.NOT_SPACE)
@@ -70,7 +70,7 @@ def tokens_of(buf: np.ndarray, offsets: np.ndarray, powers: text.Powers) -> tupl
     out = np.full(len(s) + n, END, np.uint64)
     word = np.ones(len(out), bool)
     word[w[1:] + np.arange(n)] = False
-    out[word] = text.span_hash(text.prefix_hash(b, powers), s, e, powers)
+    out[word] = text.SpanHash(b)(s, e)
     return out, np.diff(w) + 1
 
 
@@ -118,13 +118,13 @@ def blocks(docs: DataFrame, buckets: int, block_tokens: int) -> DataFrame:
     def run(batches):
         kinds = {"i8": pa.int64(), "i4": pa.int32(), "ids": pa.list_(pa.int64()), "held": pa.list_(pa.bool_()), "raw": pa.binary()}
         schema = pa.schema([(n, kinds[k]) for n, k in _BLOCK_TYPES])
-        powers, block = text.Powers(), TaskContext.get().partitionId() << 24
+        block = TaskContext.get().partitionId() << 24
         ids, held, tokens, lengths, size = [], [], [], [], 0
         for batch in batches:
             buf, offsets = text.flat(batch.column("_text"))
             names, out = batch.column("_id").to_pylist(), batch.column("_held").to_pylist()
             for i, j in text.pieces(offsets):
-                t, n = tokens_of(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], powers)
+                t, n = tokens_of(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
                 ids, held, size = ids + names[i:j], held + out[i:j], size + len(t)
                 tokens.append(t)
                 lengths.append(n)

@@ -7,7 +7,8 @@ expands to. A conversation becomes
     <|im_start|>role\n...parts...<|im_end|>\n
 
 Inside roles and texts ``\`` becomes ``\\`` and ``<|`` becomes ``<\|`` (in a role a newline becomes ``\n`` as two
-characters), so no text can hold a control string and the original is recovered exactly by :func:`read_back`.
+characters), so no text can hold a control string and the original is recovered exactly by :func:`read_back`. A text
+part that begins with ``|`` behind one that ends with ``<`` is escaped there too, so parts cannot form one together.
 """
 
 from __future__ import annotations
@@ -58,10 +59,17 @@ def is_attachment(part: Column) -> Column:
     return F.coalesce(part["kind"].isin(*TOKENS_PER_UNIT), F.lit(False))
 
 
-def visit(part: Column) -> Column:
+def visit(part: Column, before: Column) -> Column:
     """The text that stands for a part: a placeholder for an attachment, the escaped text for anything else."""
-    return (F.when(is_attachment(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>")))
-            .otherwise(escape(F.coalesce(part["text"], F.lit("")))))
+    split = ~is_attachment(before) & F.endswith(before["text"], F.lit("<")) & F.startswith(part["text"], F.lit("|"))
+    body = F.concat(F.when(split, F.lit("\\")).otherwise(F.lit("")), escape(part["text"]))
+    return F.when(is_attachment(part), F.concat(F.lit("<|"), part["kind"], F.lit("|>"))).otherwise(body)
+
+
+def body_of(parts: Column) -> Column:
+    """All parts of a message in order; parts without any text are left out first, as they do not keep others apart."""
+    held = F.filter(parts, lambda p: is_attachment(p) | (F.coalesce(p["text"], F.lit("")) != ""))
+    return F.array_join(F.transform(held, lambda p, i: visit(p, F.get(held, i - 1))), "")
 
 
 def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
@@ -78,7 +86,7 @@ def format_conversations(messages: DataFrame, conv: str = "conv_id", turn: str =
     rows = messages.select(F.col(f"`{conv}`").alias("_conv"), F.col(f"`{turn}`").alias("_turn"),
                            F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("_role"), p.alias("_parts"))
     rows = rows.select("_conv", "_turn", "_role", F.concat(F.lit(START), escape_role(F.col("_role")), F.lit("\n")).alias("_head"),
-                       F.array_join(F.transform("_parts", visit), "").alias("_body"),
+                       body_of(F.col("_parts")).alias("_body"),
                        F.transform(F.filter("_parts", is_attachment),
                                    lambda x: F.struct(x["kind"].alias("kind"), x["ref"].alias("ref"), part_tokens(x).alias("tokens"))).alias("_files"))
     rows = rows.withColumn("_block", F.concat("_head", "_body", F.lit(END + "\n")))

@@ -66,6 +66,16 @@ class Patterns:
         self.order = np.argsort(suffix, kind="stable")
         self.suffix = suffix[self.order]
 
+    def state(self) -> dict:
+        """The tables as plain arrays and lists, which executors can read without this package."""
+        return dict(self.__dict__)
+
+    @classmethod
+    def of(cls, state: dict) -> Patterns:
+        out = cls.__new__(cls)
+        out.__dict__.update(state)
+        return out
+
     def search(self, h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (end position, pattern) whose suffix block agrees, for the caller to compare."""
         first, limit = offsets[:-1] + self.length - 1, offsets[1:]
@@ -139,20 +149,28 @@ RUNS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructF
 ITEMS = T.ArrayType(T.StringType())
 
 
-def _scan(docs: DataFrame, tables: list[Patterns], k: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
-    schema = T.StructType([*docs.schema.fields, T.StructField(f"_words{k}", T.LongType()),
-                           T.StructField(f"_runs{k}", RUNS), T.StructField(f"_items{k}", ITEMS)])
+def _free(names: list[str]) -> str:
+    """A prefix that no column name begins with."""
+    out = "_"
+    while any(n.lower().startswith(out) for n in names):
+        out += "_"
+    return out
+
+
+def _scan(docs: DataFrame, text_col: str, tables: list[Patterns], own: list[str]) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast([t.state() for t in tables])
+    kinds = (T.LongType(), RUNS, ITEMS)
+    schema = T.StructType([*docs.schema.fields, *[T.StructField(n, kind) for n, kind in zip(own, kinds)]])
     arrow_runs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        powers = text.Powers()
+        powers, tables = text.Powers(), [Patterns.of(s) for s in shared.value]
         for batch in batches:
-            buf, offsets = text.flat(batch.column("_text"))
-            n_words, runs, items = _search(buf, offsets, shared.value, powers)
+            buf, offsets = text.flat(batch.column(text_col))
+            n_words, runs, items = _search(buf, offsets, tables, powers)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(n_words, pa.int64()), pa.array(runs, arrow_runs), pa.array(items, pa.list_(pa.string()))],
-                names=[*batch.schema.names, f"_words{k}", f"_runs{k}", f"_items{k}"])
+                names=[*batch.schema.names, *own])
 
     return docs.mapInArrow(run, schema)
 
@@ -168,19 +186,19 @@ def benchmark_tables(benchmark: DataFrame, item_col: str, text_col: str, table_b
         yield pattern_tables([(r["item"], r["text"]) for r in part.collect()])
 
 
-def _scans(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text: str, table_bytes: int) -> tuple[DataFrame, int]:
-    """``docs`` (with ``_text``) passed through every pattern table, and the number of tables."""
-    n = 0
-    for tables in benchmark_tables(benchmark, item_col, item_text, table_bytes):
-        docs = _scan(docs, tables, n)
-        n += 1
-    return docs, n
+def _scans(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, table_bytes: int) -> tuple[DataFrame, list[list[str]]]:
+    """``docs`` passed through every pattern table, and the names of the columns that each adds (words, runs, items)."""
+    prefix, added = _free(docs.columns), []
+    for k, tables in enumerate(benchmark_tables(benchmark, item_col, item_text, table_bytes)):
+        added.append([f"{prefix}{what}{k}" for what in ("words", "runs", "items")])
+        docs = _scan(docs, text_col, tables, added[-1])
+    return docs, added
 
 
-def _merged_runs(n: int) -> Column:
-    if n == 1:
-        return F.col("_runs0")
-    every = F.array_sort(F.flatten(F.array(*[f"_runs{k}" for k in range(n)])))
+def _merged_runs(names: list[str]) -> Column:
+    if len(names) == 1:
+        return F.col(names[0])
+    every = F.array_sort(F.flatten(F.array(*names)))
 
     def add(acc: Column, x: Column) -> Column:
         # runs come in order of their start: one that begins inside the last one extends it
@@ -208,9 +226,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     staging.batches(docs.sparkSession)
     found = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    found, n = _scans(found, benchmark, item_col, item_text, table_bytes)
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[f"_items{k}" for k in range(n)]))))
-    out = found.select(F.col("_id").alias(id_col), F.col("_words0").alias("n_words"), _merged_runs(n).alias("runs"), items.alias("items"))
+    found, added = _scans(found, benchmark, "_text", item_col, item_text, table_bytes)
+    words, runs, items = zip(*added)
+    items = F.array_sort(F.array_distinct(F.flatten(F.array(*items))))
+    out = found.select(F.col("_id").alias(id_col), F.col(words[0]).alias("n_words"), _merged_runs(list(runs)).alias("runs"), items.alias("items"))
     return out.withColumn("n_hit", _hits(F.col("runs"))).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
@@ -218,7 +237,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                       item_text: str = "text", table_bytes: int = TABLE_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns, without a shuffle."""
     staging.batches(docs.sparkSession)
-    names = docs.columns
-    found = docs.withColumn("_text", F.col(f"`{text_col}`").cast("string"))
-    found, n = _scans(found, benchmark, item_col, item_text, table_bytes)
-    return found.withColumn("_hit", _hits(_merged_runs(n))).where(~((F.col("_hit") > 0) & (20 * F.col("_hit") >= F.col("_words0")))).select(*[f"`{c}`" for c in names])
+    found, added = _scans(docs, benchmark, text_col, item_col, item_text, table_bytes)
+    words, runs, _ = zip(*added)
+    hit = _hits(_merged_runs(list(runs)))
+    return found.where(~((hit > 0) & (20 * hit >= F.col(words[0])))).select(*[f"`{c}`" for c in docs.columns])

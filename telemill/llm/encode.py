@@ -1,7 +1,8 @@
 """Token ids of whole texts, with each distinct piece of text encoded once per task.
 
 A text is cut only where the tokenizer's own pre-tokenizer always cuts, so ids of the pieces, one after another, are the
-ids of the text. Distinct pieces are found by hash, and new ones go to the tokenizers library in long joined texts.
+ids of the text. Distinct pieces are found by a hash whose seed is new in every task, and new ones go to the tokenizers
+library in long joined texts. Texts that hold a string of a special token go to the library as they are, whole.
 """
 
 from __future__ import annotations
@@ -36,7 +37,8 @@ def tokenizer_path(name: str) -> str:
 class PieceEncoder:
     """Encodes flat columns. ``leading_space``: pieces start with their blank (byte-level BPE); else white space is dropped.
 
-    Strings of special tokens inside a text are ordinary text.
+    Ids are those that the library gives for the whole text without further settings, so a special token's string in a
+    text becomes that token.
     """
 
     def __init__(self, path: str, leading_space: bool):
@@ -44,11 +46,11 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.joined, self.single = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.single.encode_special_tokens = True
+        self.special = [t.content.encode() for t in self.joined.get_added_tokens_decoder().values()]
         self.separator = "<|endoftext|>"
         self.separator_id = self.joined.token_to_id(self.separator)
         self.leading_space = leading_space
-        self.powers = text.Powers()
+        self.seed = text.fresh_seed()
         self.reset()
 
     def reset(self) -> None:
@@ -90,27 +92,57 @@ class PieceEncoder:
         return starts, ends, np.searchsorted(starts, offsets)
 
     def learn(self, pieces: list[str]) -> None:
-        """Encode new pieces and append their ids to the pool, in the order given."""
-        lengths = np.zeros(len(pieces), np.int64)
-        ids: list[np.ndarray] = []
-        for i in range(0, len(pieces), _JOINED):
-            part = pieces[i:i + _JOINED]
-            if any("<|" in p for p in part):
-                got = [np.array(x.ids, np.uint32) for x in self.single.encode_batch_fast(part, add_special_tokens=False)]
-                lengths[i:i + len(part)] = [len(x) for x in got]
-                ids += got
-                continue
-            x = np.array(self.joined.encode_batch_fast([self.separator.join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(x == self.separator_id)
-            lengths[i:i + len(part)] = np.diff(np.concatenate(([-1], at, [len(x)]))) - 1
-            ids.append(x[x != self.separator_id])
+        """Encode new pieces and append their ids to the pool."""
+        plain = np.array([p.isascii() and (p[1:] if self.leading_space and p[0] == " " else p).isalpha() for p in pieces])
+        starts, lengths = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
         base = len(self.pool)
-        self.pool = np.concatenate([self.pool, *ids])
-        self.starts = np.concatenate([self.starts, base + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        pool = [self.pool]
+        for encode, chosen in ((self._words, plain), (self._joined, ~plain)):
+            at = np.flatnonzero(chosen)
+            for i in range(0, len(at), _JOINED):
+                part = at[i:i + _JOINED]
+                ids, size = encode([pieces[k] for k in part.tolist()])
+                starts[part], lengths[part] = base + np.cumsum(size) - size, size
+                base += len(ids)
+                pool.append(ids)
+        self.pool = np.concatenate(pool)
+        self.starts, self.lengths = np.concatenate([self.starts, starts]), np.concatenate([self.lengths, lengths])
+
+    def _words(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of pieces of ASCII letters and their numbers: one pre-token each, so the model alone splits them."""
+        tokenize = self.joined.model.tokenize
+        if self.leading_space:
+            pieces = ["\u0120" + p[1:] if p[0] == " " else p for p in pieces]
+        ids = [[t.id for t in tokenize(p)] for p in pieces]
+        return np.array([i for x in ids for i in x], np.uint32), [len(x) for x in ids]
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids of any pieces and their numbers, with a special token between them."""
+        if any("<|" in p for p in pieces):
+            got = [x.ids for x in self.single.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.array([i for x in got for i in x], np.uint32), [len(x) for x in got]
+        x = np.array(self.joined.encode_batch_fast([self.separator.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        at = np.flatnonzero(x == self.separator_id)
+        return x[x != self.separator_id], (np.diff(np.concatenate(([-1], at, [len(x)]))) - 1).tolist()
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the ``n + 1`` id offsets of the documents."""
+        raw = buf.tobytes()
+        if not any(s in raw for s in self.special):
+            return self.encode_pieces(buf, offsets)
+        values = [raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        whole = np.array([any(s in v for s in self.special) for v in values])
+        # the others, one after another
+        size = np.diff(offsets)
+        ends = np.concatenate(([0], np.cumsum(size[~whole])))
+        ids, at = self.encode_pieces(buf[np.repeat(~whole, size)], ends)
+        got = iter(self.single.encode_batch_fast([values[k].decode() for k in np.flatnonzero(whole)], add_special_tokens=False))
+        rest = iter(np.split(ids, at[1:-1]) if len(at) > 1 else [])
+        every = [np.array(next(got).ids, np.uint32) if w else next(rest) for w in whole.tolist()]
+        return np.concatenate(every), np.concatenate(([0], np.cumsum([len(x) for x in every])))
+
+    def encode_pieces(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts without strings of special tokens."""
         starts, ends, per_doc = self.cut(buf, offsets)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
@@ -121,7 +153,7 @@ class PieceEncoder:
             at = text.ragged(starts[kept], (ends - starts)[kept])
             low[at] = buf[at]
             buf = low
-        codes, distinct = pd.factorize(text.span_hash(text.prefix_hash(buf, self.powers), starts, ends, self.powers))
+        codes, distinct = pd.factorize(text.SpanHash(buf, self.seed)(starts, ends))
         if len(self.known) > REMEMBERED:
             self.reset()
         keys = distinct.tolist()

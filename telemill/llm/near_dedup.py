@@ -26,11 +26,11 @@ BLOCK, OTHERS = 128, 1024
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def shingle_sets(buf: np.ndarray, offsets: np.ndarray, powers: text.Powers, size: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, seed: int, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of every document; fewer words than ``size`` are one shingle, none gives none."""
     b = text.LOWER[buf]
     s, e, w = text.spans(b, offsets, text.NOT_SPACE)
-    h = text.span_hash(text.prefix_hash(b, powers), s, e, powers)
+    h = text.SpanHash(b, seed)(s, e)
     n = max(0, len(h) - size + 1)
     wide = np.full(n, size, np.uint64)
     for k in range(size):
@@ -64,14 +64,13 @@ def minima(sets: list[np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
+def sketch(docs: DataFrame, bands: int, rows: int, size: int, seed: int) -> DataFrame:
     """Per document: set size, two set digests, band keys and a signature of 16 bits per minimum (null without words)."""
     def run(batches):
-        powers = text.Powers()
         for batch in batches:
             buf, offsets = text.flat(batch.column("_text"))
             for i, j in text.pieces(offsets):
-                sets = shingle_sets(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], powers, size)
+                sets = shingle_sets(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], seed, size)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
                 d1, d2 = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
@@ -96,13 +95,12 @@ def sketch(docs: DataFrame, bands: int, rows: int, size: int) -> DataFrame:
     return docs.mapInArrow(run, "doc long, n long, d1 long, d2 long, bands array<bigint>, sign binary")
 
 
-def sets_of(docs: DataFrame, size: int) -> DataFrame:
+def sets_of(docs: DataFrame, size: int, seed: int) -> DataFrame:
     def run(batches):
-        powers = text.Powers()
         for batch in batches:
             buf, offsets = text.flat(batch.column("_text"))
             for i, j in text.pieces(offsets):
-                sets = shingle_sets(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], powers, size)
+                sets = shingle_sets(buf[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i], seed, size)
                 ends = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
                 flat = pa.array(np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column("_doc").slice(i, j - i), pa.ListArray.from_arrays(pa.array(ends), flat)],
@@ -126,15 +124,15 @@ def promising(pairs: DataFrame, signs: DataFrame, least: float, share: float) ->
     return rows.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long")
 
 
-def staged_sets(spark: SparkSession, wanted: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+def staged_sets(spark: SparkSession, wanted: DataFrame, docs: DataFrame, size: int, seed: int) -> DataFrame:
     """Shingle sets (``doc, items``) of the documents in ``wanted`` (one column of identifiers)."""
     wanted = wanted.toDF("_w").distinct()
-    return staging.stage(spark, sets_of(docs.join(wanted, docs["_doc"] == wanted["_w"], "left_semi"), size).dropDuplicates(["doc"]))
+    return staging.stage(spark, sets_of(docs.join(wanted, docs["_doc"] == wanted["_w"], "left_semi"), size, seed).dropDuplicates(["doc"]))
 
 
-def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+def confirmed(spark: SparkSession, pairs: DataFrame, docs: DataFrame, size: int, seed: int, similarity: tuple[int, int]) -> DataFrame:
     """Links (u, v) among ``pairs`` whose whole shingle sets are similar enough."""
-    sets = staged_sets(spark, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), docs, size)
+    sets = staged_sets(spark, pairs.select("a").unionByName(pairs.select(F.col("b").alias("a"))), docs, size, seed)
     left, right = (sets.select(F.col("doc").alias(c), F.col("items").alias(f"items_{c}")) for c in "ab")
     rows = pairs.join(left, "a").join(right, "b")
     both = F.size(F.array_intersect("items_a", "items_b"))
@@ -216,10 +214,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     result, and other columns are not read.
     """
     staging.batches(spark)
+    seed = text.fresh_seed()  # words and shingles are told apart by hashes that no text can be written against
     share = similarity[0] / similarity[1]
     least = share - 5.5 * (share * (1 - share) / (bands * rows)) ** 0.5
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("_doc"), F.col(f"`{text_col}`").cast("string").alias("_text"))
-    sketches = staging.stage(spark, sketch(source, bands, rows, size))
+    sketches = staging.stage(spark, sketch(source, bands, rows, size, seed))
     known = sketches.where("doc IS NOT NULL AND n > 0")
     classes = staging.stage(spark, known.groupBy("n", "d1", "d2").agg(F.min("doc").alias("rep")))
     heads = known.join(classes.withColumnRenamed("rep", "doc"), ["doc", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc", "n", "d1", "d2"])
@@ -235,12 +234,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     pairs = members.where("doc <> leader").select(F.least("doc", "leader").alias("a"), F.greatest("doc", "leader").alias("b")).distinct()
     signs = heads.select("doc", "n", "sign")
     pairs = staging.stage(spark, promising(pairs, signs, least, share))
-    links = staging.stage(spark, confirmed(spark, pairs, source, size, similarity))
+    links = staging.stage(spark, confirmed(spark, pairs, source, size, seed, similarity))
     found = staging.stage(spark, components.components(spark, links))
     placed = members.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     blocks = staging.stage(spark, divided(spark, placed))
     if not blocks.isEmpty():
-        sets = staged_sets(spark, blocks.select("doc"), source, size)
+        sets = staged_sets(spark, blocks.select("doc"), source, size, seed)
         more = block_links(blocks.join(signs.select("doc", "sign"), "doc").join(sets, "doc"), least, similarity)
         found = components.components(spark, links.unionByName(staging.stage(spark, more)))
     out = sketches.join(classes, ["n", "d1", "d2"], "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")

@@ -6,6 +6,7 @@ Everything works on one flat ``uint8`` array per Arrow batch with document offse
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -114,27 +115,38 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers:
 _LONG = 256
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-    """64-bit hashes of byte spans, eight bytes at a time with a non-linear step after each.
+def fresh_seed() -> int:
+    """A seed that nobody who writes a text can know."""
+    return int.from_bytes(os.urandom(15), "little")
 
-    Equal bytes give equal hashes wherever they stand. Where identity decides a result, ``seed`` is to be drawn anew for
-    every run, so that no text can be written that makes two spans meet by construction.
+
+class SpanHash:
+    """64-bit hashes of byte spans of ``buf``, eight bytes at a time with a non-linear step after each.
+
+    Equal bytes give equal hashes wherever they stand. Where identity decides a result, ``seed`` is drawn anew for every
+    run (:func:`fresh_seed`), so that no text can be written in which two spans meet by construction.
     """
-    size = ends - starts
-    padded = np.zeros(len(buf) + 8, np.uint8)
-    padded[:len(buf)] = buf
-    words = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes that start at each byte
-    key = np.frombuffer(hashlib.blake2b(seed.to_bytes(16, "little"), digest_size=16).digest(), np.uint64)
-    h = mix(size.astype(np.uint64) ^ key[0])
-    for k in range(0, min(_LONG, int(size.max(initial=0))), 8):
-        now = slice(None) if k == 0 else np.flatnonzero((size > k) & (size <= _LONG))
-        left = np.minimum(size[now] - k, 8)
-        block = words[starts[now] + k] & _MASK[left]
-        h[now] = mix(h[now] * _ODD + mix(block ^ key[1]))
-    for k in np.flatnonzero(size > _LONG).tolist():
-        digest = hashlib.blake2b(buf[starts[k]:ends[k]].tobytes(), digest_size=8, key=key.tobytes()).digest()
-        h[k] = int.from_bytes(digest, "little")
-    return h
+
+    def __init__(self, buf: np.ndarray, seed: int = 0):
+        padded = np.zeros(len(buf) + 8, np.uint8)
+        padded[:len(buf)] = buf
+        self.buf = buf
+        self.words = np.ndarray((len(buf) + 1,), "<u8", padded, 0, (1,))  # the eight bytes that start at each byte
+        self.key = np.frombuffer(hashlib.blake2b(seed.to_bytes(16, "little"), digest_size=24).digest(), np.uint64)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        longest = int(size.max(initial=0))
+        h = mix((self.words[starts] & _MASK[np.minimum(size, 8)]) ^ self.key[1]) + size.astype(np.uint64) * self.key[0]
+        for k in range(8, min(_LONG, longest), 8):
+            now = np.flatnonzero((size > k) & (size <= _LONG)) if longest > _LONG or k > 8 else np.flatnonzero(size > k)
+            block = self.words[starts[now] + k] & _MASK[np.minimum(size[now] - k, 8)]
+            h[now] = mix(h[now] * _ODD + mix(block ^ self.key[2]))
+        if longest > _LONG:
+            for k in np.flatnonzero(size > _LONG).tolist():
+                digest = hashlib.blake2b(self.buf[starts[k]:ends[k]].tobytes(), digest_size=8, key=self.key.tobytes()).digest()
+                h[k] = int.from_bytes(digest, "little")
+        return mix(h)
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

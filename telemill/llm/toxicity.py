@@ -25,7 +25,7 @@ def buckets(buf: np.ndarray, offsets: np.ndarray, bits: int = BITS, wanted: np.n
     """Distinct buckets (those that ``wanted`` marks) of all documents, one after another, and the ``n + 1`` offsets."""
     low = text.LOWER[buf]
     s, e, per_doc = text.spans(low, offsets, text.ALNUM)
-    h = text.hash_spans(low, s, e)
+    h = text.SpanHash(low)(s, e)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(per_doc))
     found, of = [text.mix(h ^ _SEEDS[0])], [doc]
     for gap in (1, 2):

@@ -56,13 +56,14 @@ BYTE_SCORE = round(BYTE_COST * 1024) * UNIT - 1
 class Vocabulary:
     """Piece scores by hash, for lookups of many spans at once."""
 
-    def __init__(self, scores: dict[str, int], powers: text.Powers):
+    def __init__(self, scores: dict[str, int], seed: int):
         raw = [p.encode() for p in scores]
         lengths = np.array([len(r) for r in raw], np.int64)
         buf = np.frombuffer(b"".join(raw), np.uint8)
         ends = np.cumsum(lengths)
-        h = text.span_hash(text.prefix_hash(buf, powers), ends - lengths, ends, powers) if len(raw) else np.zeros(0, np.uint64)
+        h = text.SpanHash(buf, seed)(ends - lengths, ends)
         order = np.argsort(h)
+        self.seed = seed
         self.hashes, self.scores = h[order], np.array(list(scores.values()), np.int64)[order]
         self.longest = int(lengths.max()) if len(raw) else 0
         self.sizes = sorted(set(lengths.tolist()))
@@ -78,10 +79,10 @@ class Vocabulary:
 _LOW = np.iinfo(np.int64).min // 2
 
 
-def trie_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary, powers: text.Powers) -> np.ndarray:
+def trie_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
     """Tokens of each word (bytes ``buf[start:end]``, the mark included) from a trie of all of them."""
     size = ends - starts
-    prefix = text.prefix_hash(buf, powers)
+    hashes = text.SpanHash(buf, vocabulary.seed)
     counts = np.zeros(len(starts), np.int64)
     boundary = np.append((buf & 0xC0) != 0x80, True)
     live = np.flatnonzero(size <= LEVELS)
@@ -110,7 +111,7 @@ def trie_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabular
                 continue
             k = np.flatnonzero(open_at)
             if length in vocabulary.sizes:
-                known, value = vocabulary.find(text.span_hash(prefix, begin[k], end[k], powers))
+                known, value = vocabulary.find(hashes(begin[k], end[k]))
             else:
                 known, value = np.zeros(len(k), bool), np.zeros(len(k), np.int64)
             one = ~known & _one_character(boundary, begin[k], end[k], length)
@@ -125,7 +126,7 @@ def trie_counts(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, vocabular
         full = size[live] == depth
         counts[live[full]] = many[node[full]]
     for w in np.flatnonzero(size > LEVELS).tolist():
-        counts[w] = _one_word(buf, prefix, boundary, int(starts[w]), int(ends[w]), vocabulary, powers)
+        counts[w] = _one_word(hashes, boundary, int(starts[w]), int(ends[w]), vocabulary)
     return counts
 
 
@@ -136,7 +137,7 @@ def _one_character(boundary: np.ndarray, begin: np.ndarray, end: np.ndarray, len
     return out
 
 
-def _one_word(buf: np.ndarray, prefix: np.ndarray, boundary: np.ndarray, a: int, b: int, vocabulary: Vocabulary, powers: text.Powers) -> int:
+def _one_word(hashes: text.SpanHash, boundary: np.ndarray, a: int, b: int, vocabulary: Vocabulary) -> int:
     """The same forward scores for one long word, with all its possible pieces looked up at once."""
     n = b - a
     best, many = [0] + [_LOW] * n, [0] * (n + 1)
@@ -147,7 +148,7 @@ def _one_word(buf: np.ndarray, prefix: np.ndarray, boundary: np.ndarray, a: int,
         for length in sizes.tolist():
             e = ends[(ends >= length)]
             e = e[boundary[a + e - length] & (boundary[a + e] | (e == n))]
-            known, value = vocabulary.find(text.span_hash(prefix, a + e - length, a + e, powers))
+            known, value = vocabulary.find(hashes(a + e - length, a + e))
             for x, v in zip(e[known].tolist(), value[known].tolist()):
                 found.setdefault(x, []).append((length, v, 1))
         for x in ends.tolist():
@@ -183,8 +184,8 @@ class Counter:
     """Token counts of words by hash, learned as words turn up; starts over beyond ``REMEMBERED`` words."""
 
     def __init__(self, scores: dict[str, int]):
-        self.powers = text.Powers()
-        self.vocabulary = Vocabulary(scores, self.powers)
+        self.seed = text.fresh_seed()
+        self.vocabulary = Vocabulary(scores, self.seed)
         self.reset()
 
     def reset(self) -> None:
@@ -193,7 +194,7 @@ class Counter:
     def documents(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words and tokens of each document."""
         s, e, w = text.spans(buf, offsets, text.NOT_SPACE)
-        codes, words = pd.factorize(text.span_hash(text.prefix_hash(buf, self.powers), s, e, self.powers))
+        codes, words = pd.factorize(text.SpanHash(buf, self.seed)(s, e))
         if len(self.words) > REMEMBERED:
             self.reset()
         at = np.searchsorted(self.words, words)
@@ -204,7 +205,7 @@ class Counter:
             first = np.zeros(len(words), np.int64)
             first[codes[::-1]] = np.arange(len(codes))[::-1]
             raw, a, b = marked(buf, s[first[new]], e[first[new]])
-            counts = trie_counts(raw, a, b, self.vocabulary, self.powers)
+            counts = trie_counts(raw, a, b, self.vocabulary)
             every = np.concatenate([self.words, words[new]])
             order = np.argsort(every, kind="stable")
             self.words, self.counts = every[order], np.concatenate([self.counts, counts])[order]

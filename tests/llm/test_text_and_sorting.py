@@ -73,7 +73,6 @@ def test_pieces_encode_like_whole_texts(name, leading):
     parts = [" ", "  ", "\n", "\r\n", "a", "B", "Ab", "'s", "'", "é", "É", "×", "÷", "ß", "\xa0", "　", "1", "23", "!", "?!", "<|", "<|endoftext|>", "日", "\t", "́", "̌", "\x85", "\x1f", "…", "é", "J̌"]
     texts = [*SAMPLES, *("".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(800))]
     t = Tokenizer.from_file(encode.tokenizer_path(name))
-    t.encode_special_tokens = True
     want = [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     e = encode.PieceEncoder(encode.tokenizer_path(name), leading)
     got = [ids[ends[k]:ends[k + 1]].tolist() for i, j, ids, ends in e.documents(pa.array(texts)) for k in range(j - i)]
@@ -118,11 +117,10 @@ def test_long_words_and_the_trie_agree(monkeypatch):
     data = np.frombuffer("".join(raw).encode(), np.uint8)
     ends = np.cumsum([len(r.encode()) for r in raw])
     starts = ends - [len(r.encode()) for r in raw]
-    powers = text.Powers()
-    v = unigram.Vocabulary(scores, powers)
-    together = unigram.trie_counts(data, starts, ends, v, powers).tolist()
+    v = unigram.Vocabulary(scores, 7)
+    together = unigram.trie_counts(data, starts, ends, v).tolist()
     monkeypatch.setattr(unigram, "LEVELS", 0)
-    assert unigram.trie_counts(data, starts, ends, v, powers).tolist() == together
+    assert unigram.trie_counts(data, starts, ends, v).tolist() == together
 
 
 def test_shift_tables_find_every_occurrence():
