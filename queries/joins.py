@@ -65,7 +65,7 @@ SELECT s.l_orderkey, s.l_linenumber, s.l_partkey, i.event_id, i.event_type, {r('
 FROM shipments s JOIN incidents i ON s.segment_id = i.segment_id AND s.timestamp >= i.start_ts AND s.timestamp < i.end_ts""")
 def incident_rows(spark, folder):
     s, i = views.shipments(spark, folder), views.incidents(spark, folder)
-    out = jn.interval_join(s, i, ["segment_id"], "timestamp", "start_ts", "end_ts", bucket=7 * 86400)
+    out = jn.interval_join(s, i, ["segment_id"], "timestamp", "start_ts", "end_ts", unit=86400)
     return out.select(*views.SHIPMENT_ORDER, "event_id", "event_type", r6("intensity").alias("intensity"))
 
 
@@ -107,7 +107,7 @@ LEFT JOIN kinds USING (l_orderkey, l_linenumber, l_partkey, segment_id)""")
 def incident_labels(spark, folder):
     s, i = views.shipments(spark, folder), views.incidents(spark, folder)
     out = jn.label_with_incidents(s, i, [*views.SHIPMENT_ORDER, "segment_id"], ["segment_id"], "timestamp", "start_ts", "end_ts",
-                                  bucket=7 * 86400, leak_types=["micro_leak", "slow_leak"])
+                                  unit=86400, leak_types=["micro_leak", "slow_leak"])
     return out.select(*views.SHIPMENT_ORDER, "segment_id", r6("leak_severity").alias("leak_severity"), "target",
                       "scenario_context", "event_type", "alarm_triggered", "active_event_id")
 

@@ -55,6 +55,30 @@ def explode_segments(events: DataFrame, ids: str = "segment_ids", out: str = "se
     return events.withColumn(out, F.explode(parts))
 
 
+def _ticks(df: DataFrame, c: str, unit: int) -> Column:
+    """A time (microseconds are kept) or number as a whole number of ``unit``, rounded down."""
+    if df.schema[c].dataType.simpleString().startswith("timestamp"):
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(unit * 1_000_000)).cast("long")
+    return F.floor(F.col(c) / unit).cast("long")
+
+
+def dyadic_nodes(lo: Column, hi: Column) -> Column:
+    """The dyadic nodes ``(level, node)`` that make up the ticks from ``lo`` to before ``hi``: two a level at most.
+
+    Node ``n`` of level ``l`` covers the ticks from ``n * 2**l`` to before ``(n + 1) * 2**l``. An interval of ``m`` ticks
+    consists of fewer than ``2 * log2(m) + 2`` of them; an empty one, or one with an unknown end, of none.
+    """
+    def at(level: Column) -> Column:
+        # what is left of the interval on this level; an odd end is a node that no node above covers
+        first = -F.call_function("shiftright", -lo, level)
+        last = F.call_function("shiftright", hi, level)
+        left = F.when((first < last) & (first.bitwiseAND(1) == 1), F.struct(level.alias("level"), first.alias("node")))
+        right = F.when((first < last) & (last.bitwiseAND(1) == 1), F.struct(level.alias("level"), (last - 1).alias("node")))
+        return F.array(left, right)
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(62)), at)))
+
+
 def interval_join(
     rows: DataFrame,
     events: DataFrame,
@@ -62,30 +86,30 @@ def interval_join(
     at: str,
     start: str,
     end: str,
-    bucket: int,
-    how: str = "inner",
+    unit: int = 1,
 ) -> DataFrame:
     """Rows with the events whose half-open ``[start, end)`` contains them.
 
-    Both sides carry the time bucket as a join key, so one busy segment spreads over its buckets and
-    a row only meets events of its own bucket. ``bucket`` is in units of ``at`` (seconds for timestamps).
+    Events are looked up through a dyadic index: an interval is stored under the few nodes that make it up, and a row
+    looks at the node above it on each level that some event uses, so neither a long interval nor a busy key is copied
+    per stretch of time. ``unit`` is the width of a tick (seconds for timestamps, else as ``at``); coarser ticks give
+    fewer levels, and the ends are compared exactly in any case. NULL is a key like any other; intervals that are empty
+    or lack an end, and rows without a time, meet nothing.
     """
-
-    def number(df: DataFrame, c: str) -> Column:
-        is_time = df.schema[c].dataType.simpleString().startswith("timestamp")
-        return F.unix_timestamp(c) if is_time else F.col(c)
-
-    lo, hi = F.floor(number(events, start) / bucket), F.floor(number(events, end) / bucket)
-    right = events.where(F.col(start) < F.col(end)).withColumn("_bucket", F.explode(F.sequence(lo, hi)))
-    right = right.select(*[F.col(c).alias(f"_e_{c}") if c in rows.columns and c not in keys else F.col(c)
-                           for c in right.columns])
-    left = rows.withColumn("_bucket", F.floor(number(rows, at) / bucket))
-    inside = [left[k] == right[k] for k in [*keys, "_bucket"]]
-    inside += [left[at] >= right[start], left[at] < right[end]]
-    joined = left.join(right, inside, how)
-    for k in [*keys, "_bucket"]:
-        joined = joined.drop(right[k])
-    return joined.drop("_bucket")
+    hi = _ticks(events, end, unit)
+    # the tick in which the interval ends counts unless the end is its first moment; the exact test drops what is too much
+    nodes = dyadic_nodes(_ticks(events, start, unit), hi + 1)
+    stored = events.where(F.col(start) < F.col(end)).withColumn("_node", F.explode(nodes))
+    levels = sorted(r[0] for r in stored.select("_node.level").distinct().collect())  # 63 numbers at most
+    stored = stored.select(*[F.col(c).alias(f"_e_{c}") if c in rows.columns else F.col(c) for c in events.columns], "_node")
+    tick = _ticks(rows, at, unit)
+    above = [F.struct(F.lit(v).alias("level"), F.shiftright(tick, v).alias("node")) for v in levels]
+    kind = "array<struct<level:int,node:bigint>>"
+    asked = rows.withColumn("_at", F.explode(F.array(*above).cast(kind)))
+    named = {c: (f"_e_{c}" if c in rows.columns else c) for c in [*keys, start, end]}
+    on = [asked["_at"] == stored["_node"], *[asked[k].eqNullSafe(stored[named[k]]) for k in keys]]
+    on += [asked[at] >= stored[named[start]], asked[at] < stored[named[end]]]
+    return asked.join(stored, on).drop("_at", "_node", *[named[k] for k in keys])
 
 
 # Severity from which a leak event of this kind labels a row positive.
@@ -101,7 +125,7 @@ def label_with_incidents(
     at: str,
     start: str,
     end: str,
-    bucket: int,
+    unit: int,
     leak_types: Sequence[str],
 ) -> DataFrame:
     """Roll the incidents covering a row up onto it.
@@ -112,7 +136,7 @@ def label_with_incidents(
     hits = interval_join(
         rows.select(*dict.fromkeys([*row_key, *keys, at])),
         events.select(*keys, start, end, "event_id", F.col("event_type").alias("incident_type"), "intensity"),
-        keys, at, start, end, bucket,
+        keys, at, start, end, unit,
     )
     leak = F.col("incident_type").isin(list(leak_types))
     rank = F.struct(F.col(start), "incident_type", "event_id")
