@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ..operators.alerts import AlertPolicy, transitions, walk
+from ..operators.alerts import AlertPolicy, Machine, transitions
 from .ordered import process_in_order
 
 
@@ -19,11 +19,11 @@ def stream_alerts(
 
     Adds ``model_alert`` and ``pinned``, which stays true for ``sticky`` rows from an alert on.
     """
-    table = transitions(policy)
+    machine = Machine(transitions(policy))
 
     def step(rows: pd.DataFrame, carry: tuple) -> tuple[pd.DataFrame, tuple]:
         state, since = carry
-        fired, state = walk(table, state, (rows["leak_score"] >= policy.threshold).tolist())
+        fired, state = machine.walk((rows["leak_score"] >= policy.threshold).to_numpy(), state)
         pinned = []
         for hit in fired:
             since = 0 if hit else since + 1
