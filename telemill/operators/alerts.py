@@ -105,7 +105,7 @@ class Machine:
         self.fires = rows[:, [1, 3]].T.astype(bool)
         self.powers = [[rows[:, 0]], [rows[:, 2]]]  # by flag: the mapping of 2**k equal flags
         # orbits: where a state is after 0, 1, ... equal flags, up to a round of the cycle that every orbit ends in
-        self.orbit = np.empty((2, n, 2 * n), np.int64)
+        self.orbit = np.empty((2, n, 2 * n), np.int16 if n < 1 << 15 else np.int64)
         self.period = np.ones((2, n), np.int64)
         for flag in (0, 1):
             now = np.arange(n)

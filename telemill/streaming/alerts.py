@@ -14,16 +14,19 @@ from .ordered import process_in_order
 
 def stream_alerts(
     scores: DataFrame, keys: Sequence[str] = ("model_name", "segment_id"), policy: AlertPolicy = AlertPolicy(), sticky: int = 30,
+    idle: float | None = None,
 ) -> DataFrame:
-    """Alerts over a watermarked score stream.
+    """Alerts over a watermarked score stream; a key without rows for ``idle`` seconds starts afresh.
 
     Adds ``model_alert`` and ``pinned``, which stays true for ``sticky`` rows from an alert on.
     """
-    machine = Machine(transitions(policy))
+    table, made = transitions(policy), []
 
     def step(rows: pd.DataFrame, carry: tuple) -> tuple[pd.DataFrame, tuple]:
         state, since = carry
-        fired, state = machine.walk((rows["leak_score"] >= policy.threshold).to_numpy(), state)
+        if not made:  # the arrays are made once per worker; the job itself carries the small table only
+            made.append(Machine(table))
+        fired, state = made[0].walk((rows["leak_score"] >= policy.threshold).to_numpy(), state)
         pinned = []
         for hit in fired:
             since = 0 if hit else since + 1
@@ -33,4 +36,4 @@ def stream_alerts(
     return process_in_order(
         scores, keys, ["leak_score"], step, lambda: (0, sticky),
         [T.StructField("state", T.IntegerType()), T.StructField("since", T.IntegerType())],
-        [T.StructField("model_alert", T.BooleanType()), T.StructField("pinned", T.BooleanType())])
+        [T.StructField("model_alert", T.BooleanType()), T.StructField("pinned", T.BooleanType())], idle=idle)

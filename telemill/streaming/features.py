@@ -81,11 +81,12 @@ def window_features(p: np.ndarray, f: np.ndarray, n: int) -> dict[str, np.ndarra
     return out
 
 
-def stream_features(rows: DataFrame, keys: Sequence[str] = ("segment_id",), wanted: Sequence[str] = tuple(STREAMED)) -> DataFrame:
+def stream_features(rows: DataFrame, keys: Sequence[str] = ("segment_id",), wanted: Sequence[str] = tuple(STREAMED),
+                    idle: float | None = None) -> DataFrame:
     """Features over a watermarked telemetry stream.
 
     State per key: the last readings, running sums for the expanding means, and numerator and
-    denominator of the exponential means.
+    denominator of the exponential means. A key without rows for ``idle`` seconds starts afresh.
     """
     names = list(wanted)
     q = 1.0 - 2.0 / (EWM_SPAN + 1.0)
@@ -114,7 +115,7 @@ def stream_features(rows: DataFrame, keys: Sequence[str] = ("segment_id",), want
     doubles = T.ArrayType(T.DoubleType())
     return process_in_order(
         rows, keys, ["pressure", "flow_rate"], step, lambda: ([], [], [0.0] * 8),
-        [T.StructField(c, doubles) for c in ("ring_p", "ring_f", "sums")], [T.StructField(c, T.DoubleType()) for c in names])
+        [T.StructField(c, doubles) for c in ("ring_p", "ring_f", "sums")], [T.StructField(c, T.DoubleType()) for c in names], idle=idle)
 
 
 def stream_segment_deviation(rows: DataFrame, tick: str = "1 hour", time: str = "timestamp") -> DataFrame:

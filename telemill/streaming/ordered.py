@@ -3,6 +3,11 @@
 Rows of a key may arrive in any order within the watermark, while alert and feature state depends on
 the order. Rows therefore wait in state until the watermark has passed them and are then handed on in
 ``(time, seq)`` order, so a stream yields what a batch over the same rows yields.
+
+A key holds three pieces of state in the state store: the rows that wait (a list of chunks, so a batch adds
+one entry), what ``step`` carries on, and a clock. One event-time timer per key is set, for the first row that
+waits or else for the end of the key's idle time. When that passes without new rows the key's state is removed,
+and rows that come later start afresh.
 """
 
 from __future__ import annotations
@@ -13,9 +18,84 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
+
+from ..session import configure
 
 Step = Callable[[pd.DataFrame, tuple], tuple[pd.DataFrame, tuple]]
+_NONE = -1
+
+
+class InOrder(StatefulProcessor):
+    """Hands the rows of a key to ``step`` in order once the watermark has passed them."""
+
+    def __init__(self, keys: list[str], values: list[str], step: Step, fresh: Callable[[], tuple], state_fields: list[T.StructField],
+                 out_fields: list[T.StructField], time: str, seq: str, idle_ms: int | None):
+        self.keys, self.values, self.step, self.fresh = keys, values, step, fresh
+        self.state_fields, self.out_fields, self.time, self.seq, self.idle_ms = state_fields, out_fields, time, seq, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        longs, doubles = T.ArrayType(T.LongType()), T.ArrayType(T.DoubleType())
+        chunk = [T.StructField("time", longs), T.StructField("seq", longs), *[T.StructField(f"v{i}", doubles) for i in range(len(self.values))]]
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", T.StructType(chunk))
+        self.carry = handle.getValueState("carry", T.StructType(self.state_fields))
+        self.clock = handle.getValueState("clock", T.StructType([T.StructField("last", T.LongType()), T.StructField("timer", T.LongType())]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        new = [[pdf[self.time].to_numpy(dtype="datetime64[us]").astype("int64"), pdf[self.seq].to_numpy(dtype="int64"),
+                *[pdf[c].to_numpy(dtype=float) for c in self.values]] for pdf in rows]
+        yield from self.advance(key, new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self.advance(key, [], timerValues.getCurrentWatermarkInMs())
+
+    def advance(self, key: tuple, new: list[list[np.ndarray]], mark: int) -> Iterator[pd.DataFrame]:
+        kinds = ["int64", "int64", *["float64"] * len(self.values)]
+        held = [[np.asarray(c, k) for c, k in zip(chunk, kinds)] for chunk in self.waiting.get()]
+        columns = [np.concatenate([np.empty(0, k), *c]) for k, c in zip(kinds, zip(*held, *new) if held or new else [()] * len(kinds))]
+        order = np.lexsort((columns[1], columns[0]))
+        columns = [c[order] for c in columns]
+        due = int(np.searchsorted(columns[0], mark * 1000, side="right"))
+        if due:
+            carry = self.carry.get() if self.carry.exists() else self.fresh()
+            rows = pd.DataFrame({"_seq": columns[1][:due], **{n: c[:due] for n, c in zip(self.values, columns[2:])}})
+            extra, carry = self.step(rows, tuple(carry))
+            self.carry.update(tuple(carry))
+            made = {k: [v] * due for k, v in zip(self.keys, key)}
+            made[self.time] = columns[0][:due].astype("datetime64[us]")
+            made[self.seq] = columns[1][:due]
+            made |= {n: rows[n].to_numpy() for n in self.values} | {f.name: extra[f.name].to_numpy() for f in self.out_fields}
+            yield pd.DataFrame(made)
+        rest = [c[due:] for c in columns]
+        if due and not len(rest[0]):
+            self.waiting.clear()
+        elif due:
+            self.waiting.put([tuple(c.tolist() for c in rest)])
+        else:
+            for chunk in new:
+                self.waiting.appendValue(tuple(c.tolist() for c in chunk))
+        self.set_clock(int(columns[0][-1]) // 1000 if len(columns[0]) else None, int(rest[0][0]) // 1000 if len(rest[0]) else None, mark)
+
+    def set_clock(self, newest: int | None, first_waiting: int | None, mark: int) -> None:
+        last, timer = self.clock.get() if self.clock.exists() else (_NONE, _NONE)
+        last = last if newest is None else max(last, newest)
+        if first_waiting is not None:
+            wanted = max(first_waiting, mark) + 1
+        elif self.idle_ms is not None and mark >= last + self.idle_ms:
+            for state in (self.waiting, self.carry, self.clock):
+                state.clear()
+            if timer > mark:
+                self.handle.deleteTimer(timer)
+            return
+        else:
+            wanted = _NONE if self.idle_ms is None else max(last + self.idle_ms, mark) + 1
+        if wanted != timer:
+            if timer > mark:
+                self.handle.deleteTimer(timer)
+            if wanted != _NONE:
+                self.handle.registerTimer(wanted)
+        self.clock.update((last, wanted))
 
 
 def process_in_order(
@@ -28,47 +108,17 @@ def process_in_order(
     out_fields: Sequence[T.StructField],
     time: str = "timestamp",
     seq: str = "seq",
+    idle: float | None = None,
 ) -> DataFrame:
     """Apply ``step(rows, state) -> (extra columns, state)`` to each key's rows in order.
 
-    ``values`` are numeric columns carried along; ``out_fields`` the columns ``step`` adds.
+    ``values`` are numeric columns carried along, ``_seq`` is the sequence number; ``out_fields`` are the columns that ``step`` adds. Of a key without rows for
+    ``idle`` seconds of event time nothing is kept; ``None`` keeps every key.
     """
+    configure(rows.sparkSession)  # several pieces of state per key need the state store that can hold them
     names = list(values)
-    buffered = [T.StructField("_time", T.ArrayType(T.LongType())), T.StructField("_seq", T.ArrayType(T.LongType()))]
-    buffered += [T.StructField(f"_{c}", T.ArrayType(T.DoubleType())) for c in names]
-    state_schema = T.StructType([*state_fields, *buffered])
-    n_state = len(state_fields)
-    carried = [rows.schema[k] for k in keys]
     out_schema = T.StructType([
-        *carried, T.StructField(time, T.TimestampType()), T.StructField(seq, T.LongType()),
+        *[rows.schema[k] for k in keys], T.StructField(time, T.TimestampType()), T.StructField(seq, T.LongType()),
         *[T.StructField(c, T.DoubleType()) for c in names], *out_fields])
-
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        carry = tuple(held[:n_state]) if held else fresh()
-        empty = [np.empty(0, dtype="int64")] * 2 + [np.empty(0)] * len(names)
-        parts = [[np.asarray(c, dtype=e.dtype) for c, e in zip(held[n_state:], empty)] if held else empty]
-        if not state.hasTimedOut:
-            for pdf in batches:
-                parts.append([pdf[time].to_numpy(dtype="datetime64[us]").astype("int64"), pdf[seq].to_numpy(dtype="int64"),
-                              *[pdf[c].to_numpy(dtype=float) for c in names]])
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        order = np.lexsort((columns[1], columns[0]))
-        columns = [c[order] for c in columns]
-        mark = state.getCurrentWatermarkMs()
-        n_due = int(np.searchsorted(columns[0], mark * 1000, side="right"))
-        if n_due:
-            due = pd.DataFrame({n: c[:n_due] for n, c in zip(names, columns[2:])})
-            extra, carry = step(due, carry)
-            made = {k: [v] * n_due for k, v in zip(keys, key)}
-            made[time] = columns[0][:n_due].astype("datetime64[us]")
-            made[seq] = columns[1][:n_due]
-            made |= {n: due[n].to_numpy() for n in names} | {f.name: extra[f.name].to_numpy() for f in out_fields}
-            yield pd.DataFrame(made)
-        waiting = [c[n_due:].tolist() for c in columns]
-        state.update((*carry, *waiting))
-        if waiting[0]:
-            state.setTimeoutTimestamp(int(max(waiting[0][0] // 1000, mark) + 1))
-
-    return rows.groupBy(*keys).applyInPandasWithState(
-        run, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
+    processor = InOrder(list(keys), names, step, fresh, list(state_fields), list(out_fields), time, seq, None if idle is None else int(idle * 1000))
+    return rows.groupBy(*keys).transformWithStateInPandas(processor, out_schema, "append", "EventTime")

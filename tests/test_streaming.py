@@ -103,3 +103,53 @@ def test_scoring_sink_is_repeatable(spark):
 def test_retention(spark, telemetry):
     kept = sw.retain(telemetry, 7).groupBy("segment_id").count()
     assert {r["count"] for r in kept.collect()} == {7}
+
+
+def stepwise(spark, df, folder, batches, result):
+    """Run a stream over one file a batch; yields the state rows after each."""
+    out, state = temp() + "/o", temp()
+    for b in batches:
+        small(spark, folder, b)
+        q = write_stream(df, out, state)
+        q.awaitTermination()
+        result.append([int(op["numRowsTotal"]) for p in q.recentProgress for op in p["stateOperators"]][-1])
+    return spark.read.schema(df.schema).parquet(out)
+
+
+def test_an_idle_key_leaves_the_state_and_comes_back_fresh(spark):
+    folder, held = temp() + "/in", []
+    high = 0.9
+    batches = [[(1, 0, 1, high), (1, 1, 2, high), (2, 1, 3, high)], [(2, 30, 4, high)], [(2, 200, 5, high)], [(2, 260, 6, high)],
+               [(1, 270, 7, high), (2, 271, 8, high)], [(2, 600, 9, high)]]
+    schema = small(spark, folder, batches[0][:0] or [(3, 0, 0, 0.0)])
+    rows_ = stream_files(spark, folder, schema, delay="10 minutes")
+    alerts = stream_alerts(rows_, keys=["segment_id"], policy=AlertPolicy(threshold=0.5, persistence=3), idle=3600)
+    got = stepwise(spark, alerts, folder, batches, held)
+    fired = {r["seq"]: r["model_alert"] for r in got.collect()}
+    # two of three high readings were forgotten with the key, so the third does not fire; key 2 was never idle for an hour of its own
+    assert fired[7] is False and 8 in fired
+    assert min(held[3:]) < max(held[:3])  # keys 1 and 3 have left the store
+    plain = stream_alerts(stream_files(spark, folder, schema, delay="10 minutes"), keys=["segment_id"], policy=AlertPolicy(threshold=0.5, persistence=3))
+    kept = {r["seq"]: r["model_alert"] for r in drain(plain, temp() + "/o", temp()).collect()}
+    assert kept[7] is True  # without an idle time the earlier readings count
+
+
+def test_retention_on_a_stream_names_the_row_that_leaves(spark):
+    folder = temp() + "/in"
+    first = [(s, m, 10 * s + m, float(m)) for s in (1, 2) for m in range(3)]
+    later = [(1, m, 10 + m, float(m)) for m in range(3, 7)] + [(2, 400, 90, 0.0), (1, 500, 91, 0.0), (2, 500, 92, 0.0)]
+    schema = small(spark, folder, first, later)
+    rows_ = stream_files(spark, folder, schema, delay="1 minute")
+    out = drain(sw.retain_stream(rows_, keep=3, values=["leak_score"]), temp() + "/o", temp()).where("seq < 91")
+    gone = {r["seq"]: r["gone_seq"] for r in out.collect()}
+    assert gone == {10: None, 11: None, 12: None, 13: 10, 14: 11, 15: 12, 16: 13, 20: None, 21: None, 22: None, 90: 20}
+    live = set(gone) - set(gone.values())
+    want = {r["seq"] for r in sw.retain(out.withColumn("x", F.lit(1)), 3).collect()}
+    assert live == want
+
+
+def test_a_null_key_streams_like_any_other(spark):
+    folder = temp() + "/in"
+    schema = small(spark, folder, [(None, 0, 1, 0.9), (None, 1, 2, 0.9), (4, 1, 3, 0.9)], [(None, 300, 4, 0.1), (4, 300, 5, 0.1)], [(4, 900, 6, 0.1)])
+    out = drain(stream_alerts(stream_files(spark, folder, schema, delay="1 minute"), keys=["segment_id"], policy=AlertPolicy(persistence=2)), temp() + "/o", temp())
+    assert {r["seq"]: r["model_alert"] for r in out.collect() if r["seq"] < 4} == {1: False, 2: True, 3: False}
