@@ -6,7 +6,6 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from queries.streams import replay
 from telemill.operators import features as ft
 from telemill.operators.alerts import AlertPolicy, apply_policy
 from telemill.operators.series import time_series
@@ -14,7 +13,7 @@ from telemill.sources import views
 from telemill.streaming import windows as sw
 from telemill.streaming.alerts import stream_alerts
 from telemill.streaming.features import STREAMED, stream_features
-from telemill.streaming.source import drain, late_rows, stream_files, write_stream
+from telemill.streaming.source import StepReader, drain, finish, late_rows, stream_files, stream_table, write_stream
 
 from .conftest import close, rows
 
@@ -30,7 +29,7 @@ def telemetry(spark, data):
 
 
 def test_features_equal_batch(spark, telemetry):
-    stream = stream_files(spark, replay(spark, telemetry, ["segment_id"]), telemetry.schema, delay="1 hour")
+    stream = stream_table(telemetry, delay="1 hour")
     got = drain(stream_features(stream), temp() + "/o", temp()).where("seq >= 0")
     got = got.select("segment_id", "seq", *[F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in STREAMED])
     want = ft.build_features(telemetry, time_series(telemetry, ["segment_id"]), STREAMED).select("segment_id", "seq", *STREAMED)
@@ -41,7 +40,7 @@ def test_features_equal_batch(spark, telemetry):
 def test_alerts_equal_batch(spark, telemetry, mode):
     scores = telemetry.select(F.lit("m").alias("model_name"), "segment_id", "timestamp", "seq", (F.col("flow_rate") / 100).alias("leak_score"))
     policy = AlertPolicy(threshold=0.4, mode=mode)
-    stream = stream_files(spark, replay(spark, scores, ["model_name", "segment_id"]), scores.schema, delay="1 hour")
+    stream = stream_table(scores, delay="1 hour")
     got = drain(stream_alerts(stream, policy=policy), temp() + "/o", temp()).where("seq >= 0")
     want = apply_policy(scores, time_series(scores, ["model_name", "segment_id"]), policy)
     assert rows(got.select("seq", "model_alert")) == rows(want.select("seq", "model_alert"))
@@ -73,7 +72,7 @@ def test_late_rows_are_dropped_and_counted(spark):
     stream = stream_files(spark, folder, schema, delay="10 minutes").withColumn("pressure", F.col("leak_score"))
     out = temp() + "/o"
     q = write_stream(sw.tumbling(stream, "1 minute"), out, temp())
-    q.awaitTermination()
+    finish(q)
     assert late_rows(q) == 1
     assert spark.read.parquet(out).agg(F.sum("n")).first()[0] == 4  # the last window stays open
 
@@ -111,7 +110,7 @@ def stepwise(spark, df, folder, batches, result):
     for b in batches:
         small(spark, folder, b)
         q = write_stream(df, out, state)
-        q.awaitTermination()
+        finish(q)
         result.append([int(op["numRowsTotal"]) for p in q.recentProgress for op in p["stateOperators"]][-1])
     return spark.read.schema(df.schema).parquet(out)
 
@@ -153,3 +152,28 @@ def test_a_null_key_streams_like_any_other(spark):
     schema = small(spark, folder, [(None, 0, 1, 0.9), (None, 1, 2, 0.9), (4, 1, 3, 0.9)], [(None, 300, 4, 0.1), (4, 300, 5, 0.1)], [(4, 900, 6, 0.1)])
     out = drain(stream_alerts(stream_files(spark, folder, schema, delay="1 minute"), keys=["segment_id"], policy=AlertPolicy(persistence=2)), temp() + "/o", temp())
     assert {r["seq"]: r["model_alert"] for r in out.collect() if r["seq"] < 4} == {1: False, 2: True, 3: False}
+
+
+def test_steps_are_read_by_offset_and_again(spark):
+    reader = StepReader(0, 6, 3)
+    seen, at = [], reader.initialOffset()
+    for _ in range(4):
+        rows_, end = reader.read(at)
+        got = list(rows_)
+        assert got == list(reader.readBetweenOffsets(at, end))
+        seen, at = seen + got, end
+    assert seen == [(k,) for k in range(7)]
+
+
+def test_a_stored_table_streams_step_by_step_and_goes_on_where_it_stopped(spark, telemetry):
+    out, state = temp() + "/o", temp()
+    stream = stream_table(telemetry, steps=4, close=False)
+    q = finish(write_stream(stream, out, state))
+    counts = [p["numInputRows"] for p in q.recentProgress if p["numInputRows"]]
+    assert len(counts) >= 4
+    got = spark.read.schema(stream.schema).parquet(out)
+    assert rows(got.select("seq")) == rows(telemetry.select("seq"))
+    finish(write_stream(stream_table(telemetry, steps=4, close=False), out, state))
+    assert spark.read.schema(stream.schema).parquet(out).count() == telemetry.count()
+    closed = drain(stream_table(telemetry.limit(0), steps=2), temp() + "/o", temp())
+    assert [r["seq"] for r in closed.collect()] == [-1]
