@@ -102,13 +102,26 @@ def audited(metrics, keys):
     return metrics.select(*keys, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"), (F.col("fn") + F.col("tp")).alias("positives"), bounded(*BUNDLE).alias("bounded"))
 
 
+_FITTED: dict[tuple, object] = {}
+
+
+def once(spark, *key, make):
+    """What ``make`` gives for these tables, fitted once in a session: queries that look at one fit share it."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _FITTED:
+        _FITTED[key] = make()
+    return _FITTED[key]
+
+
 def cross_validated(spark, folder, k: int):
     """Metric bundle per model and fold."""
-    df = group_folds(tr.positive_weights(featured(spark, folder)), "segment_id", k).persist()
+    return once(spark, "folds", folder, k, make=lambda: fit_folds(spark, folder, k))
+
+
+def fit_folds(spark, folder, k: int):
+    df = group_folds(tr.positive_weights(featured(spark, folder)), "segment_id", k)
     builders = {"logistic": tr.logistic(), "forest": tr.random_forest(), "boosted": tr.boosted()}
-    out = tr.cross_validate(df, builders, FEATURES, weight="weight", k=k)
-    df.unpersist()
-    return out
+    return tr.cross_validate(df, builders, FEATURES, weight="weight", k=k)
 
 
 @query("cross_validated_metrics", "M1 M2 M3 M9")
@@ -258,3 +271,65 @@ def validation_report_row(spark, folder):
     out = validated(spark, folder, 3)
     return out.select("rows", "segment_count", r6("max_history_hours").alias("max_history_hours"), r6("median_history_hours").alias("median_history_hours"),
                       bounded("raw_sensor_auc", "dynamics_auc", "stale_sensor_rate", "missing_value_rate", "leak_disturbance_overlap").alias("bounded"))
+
+
+RULE = "pressure > 0.5 * flow_rate + 20"
+
+
+def ruled(df):
+    """Readings labelled by a rule that a model can learn from two signals, in five folds of whole segments."""
+    df = df.where("pressure IS NOT NULL AND flow_rate IS NOT NULL")
+    return group_folds(df.withColumn("target", F.expr(f"CAST({RULE} AS INT)")), "segment_id", 5)
+
+
+def ruled_tables(spark, folder):
+    t = views.telemetry(spark, folder).select("seq", "segment_id", "pressure", "flow_rate")
+    s = views.shipments(spark, folder).select(F.xxhash64(*views.SHIPMENT_ORDER).alias("seq"), "segment_id",
+                                              (5 * F.col("pressure")).alias("pressure"), "flow_rate")
+    return ruled(t), ruled(s)
+
+
+SIGNALS = ["pressure", "flow_rate"]
+
+
+def auc_floor(metrics, stage: str, floors: dict[str, float]):
+    """Per model the rows and positives behind its metrics, and whether it ranks better than its floor and a constant would."""
+    floor = F.element_at(F.create_map(*[F.lit(v) for pair in floors.items() for v in pair]), F.col("model_name"))
+    size = F.sum(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))
+    return metrics.groupBy("model_name").agg(
+        size.alias("n"), F.sum(F.col("fn") + F.col("tp")).alias("positives"),
+        (F.min("roc_auc") > F.first(floor)).alias("learned")).select(F.lit(stage).alias("stage"), "*")
+
+
+@query("rule_learned", "M1 M2 M3 M9 M10 M13 M14 M15", f"""
+WITH {TELEMETRY}, {SHIPMENTS},
+t AS (SELECT CAST({RULE} AS INTEGER) AS y FROM telemetry WHERE pressure IS NOT NULL AND flow_rate IS NOT NULL),
+s AS (SELECT CAST({RULE.replace('pressure', '5 * pressure')} AS INTEGER) AS y FROM shipments WHERE pressure IS NOT NULL AND flow_rate IS NOT NULL),
+h AS (SELECT y, CAST(ceil(count(*) * 0.2) AS BIGINT) AS n FROM t GROUP BY y)
+SELECT 'cross validation' AS stage, m AS model_name, count(*) AS n, CAST(sum(y) AS BIGINT) AS positives, true AS learned
+FROM t, (VALUES ('logistic'), ('forest'), ('boosted')) v(m) GROUP BY m
+UNION ALL SELECT 'transfer', m, count(*), CAST(sum(y) AS BIGINT), true FROM s, (VALUES ('logistic'), ('svm')) v(m) GROUP BY m
+UNION ALL SELECT 'batch', m, count(*), CAST(sum(y) AS BIGINT), true FROM t, (VALUES ('logistic'), ('svm')) v(m) GROUP BY m
+UNION ALL SELECT 'benchmark', m, CAST(sum(n) AS BIGINT), CAST(sum(n) FILTER (y = 1) AS BIGINT), m <> 'majority'
+FROM h, (VALUES ('majority'), ('logistic_regression'), ('random_forest')) v(m) GROUP BY m
+UNION ALL SELECT 'job', m, NULL, NULL, true FROM (VALUES ('logistic'), ('forest')) v(m)""")
+def rule_learned(spark, folder):
+    """Every way of training on a label that follows from the signals: a constant or inverted model is not ``learned``."""
+    telemetry, shipments = ruled_tables(spark, folder)
+    telemetry = telemetry.persist()
+    builders = {"logistic": tr.logistic(), "forest": tr.random_forest(10, 4), "boosted": tr.boosted(5, 3)}
+    floors = dict.fromkeys(("logistic", "forest", "boosted", "svm", "logistic_regression", "random_forest"), 0.9) | {"majority": 0.5}
+    folds = auc_floor(tr.cross_validate(telemetry, builders, SIGNALS), "cross validation", floors)
+    models = {"logistic": tr.fit(tr.logistic(), telemetry, SIGNALS, None), "svm": tr.fit(tr.linear_svm(), telemetry, SIGNALS, None)}
+    batch = tr.measured(tr.score_all(models, telemetry, ["target"], SIGNALS), ["model_name"])
+    moved = tr.transfer(models, shipments, SIGNALS).where("fold >= 0")
+    parts = stratified_split(telemetry.drop("fold"), ["seq"], "target", {"test": 0.2, "train": 0.0})
+    compared = tr.benchmark(parts.where("part = 'train'"), parts.where("part = 'test'"), SIGNALS, trees=10)
+    job = tr.train_all(telemetry.drop("fold"), {"logistic": tr.logistic(), "forest": tr.random_forest(5, 3)}, SIGNALS, "segment_id", k=3)
+    weighs = job["weights"].select("model_name", ((F.col("weight") > 0.4) & (F.col("weight") < 0.6)).alias("w"))
+    whole = job["summary"].join(weighs, "model_name").select(
+        F.lit("job").alias("stage"), "model_name", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("positives"),
+        ((F.col("roc_auc_cv_mean") > 0.9) & F.col("w")).alias("learned"))
+    telemetry.unpersist()
+    out = folds.union(auc_floor(batch, "batch", floors)).union(auc_floor(moved, "transfer", floors))
+    return out.union(auc_floor(compared, "benchmark", floors)).union(whole)

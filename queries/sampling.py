@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from telemill.functions import severity_weight
 from telemill.operators import sampling as sp
-from telemill.plans.corpus import build_corpus, corpus_summary
+from telemill.plans.corpus import build_corpus, corpus_from_files, corpus_summary, summary_with_reasons
 from telemill.sources import views
 
 from .registry import SHIPMENTS, TELEMETRY, query
@@ -112,3 +112,25 @@ WITH {TELEMETRY}, {SHIPMENTS}, {_CORPUS}
 SELECT source_dataset, count(*) AS row_count, count(*) FILTER (WHERE target = 1) AS positive_count, count(*) FILTER (WHERE target = 0) AS negative_count FROM corpus GROUP BY 1""")
 def corpus_summary_rows(spark, folder):
     return corpus_summary(corpus(spark, folder)).drop("skipped")
+
+
+@query("corpus_sources", "U4 A18", f"""
+WITH {TELEMETRY}, {SHIPMENTS}, {_CORPUS}
+SELECT source_dataset, count(*) AS row_count, count(*) FILTER (WHERE target = 1) AS positive_count, count(*) FILTER (WHERE target = 0) AS negative_count,
+       CAST(NULL AS VARCHAR) AS skipped FROM corpus GROUP BY 1
+UNION ALL SELECT 'orders', count(*), 0, 0, 'no_usable_rows' FROM orders WHERE o_totalprice < 0
+UNION ALL SELECT 'absent', 0, 0, 0, 'missing_file'""")
+def corpus_sources(spark, folder):
+    """The corpus from files, one of which does not exist and one of which has no usable rows."""
+    cols = ["row_key", "segment_id", "timestamp", "pressure", "target"]
+    names = {"events": "events", "shipments": "lineitem", "orders": "orders", "absent": "readings_of_no_one"}
+    prepare = {
+        "events": lambda _: views.telemetry(spark, folder).withColumn("row_key", F.col("seq").cast("string")).select(*cols),
+        "shipments": lambda _: views.shipments(spark, folder).withColumn("row_key", F.concat_ws("-", *views.SHIPMENT_ORDER, "segment_id")).select(*cols),
+        "orders": lambda df: df.where("o_totalprice < 0").select(
+            F.col("o_orderkey").cast("string").alias("row_key"), F.col("o_custkey").alias("segment_id"), F.col("o_orderdate").cast("timestamp").alias("timestamp"),
+            F.col("o_totalprice").alias("pressure"), F.lit(1).alias("target")),
+    }
+    paths = {n: f"{folder.rstrip('/')}/{t}.parquet" for n, t in names.items()}
+    rows, absent = corpus_from_files(spark, paths, prepare, ["row_key"], max_negative_ratio=1.5, max_rows_per_source=4000)
+    return summary_with_reasons(rows, list(paths), absent)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clip, sigmoid
+from ..operators.keys import join_keys
 
 
 def from_decision(value: Column) -> Column:
@@ -26,10 +27,7 @@ def from_decisions(values: Column, index: int = 1) -> Column:
 def from_samples(df: DataFrame, raw: str, out: str, keys: Sequence[str] = ()) -> DataFrame:
     """Anomaly score from sample scores (lower means odder), scaled to [0, 1] over the whole table per key."""
     bounds = F.struct(F.min(-F.col(raw)).alias("lo"), F.max(-F.col(raw)).alias("hi")).alias("_b")
-    if keys:
-        df = df.join(df.groupBy(*keys).agg(bounds), list(keys))
-    else:
-        df = df.withColumn("_b", df.agg(bounds).scalar())
+    df = join_keys(df, df.groupBy(*keys).agg(bounds), keys)
     lo, hi = F.col("_b.lo"), F.col("_b.hi")
     return df.withColumn(out, F.when(hi > lo, (-F.col(raw) - lo) / (hi - lo)).otherwise(0.0)).drop("_b")
 

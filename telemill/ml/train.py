@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark import inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.metrics import CV_KEYS, binary_metrics, fold_sizes, fold_summary
@@ -141,14 +143,50 @@ def fit(builder, train: DataFrame, features: Sequence[str], weight: str | None):
 def cross_validate(
     df: DataFrame, builders: Mapping[str, object], features: Sequence[str], fold: str = "fold", weight: str | None = None, k: int = 5,
 ) -> DataFrame:
-    """Metrics per model and fold. Folds are looped over on the driver; every fit and score is distributed."""
-    scored = []
-    for i in range(k):
-        train, test = df.where(F.col(fold) != i), df.where(F.col(fold) == i)
-        for name, builder in builders.items():
-            model = fit(builder, train, features, weight)
-            scored.append(score(model, test, features).select(F.lit(name).alias("model_name"), fold, "target", "leak_score"))
-    return measured(reduce(DataFrame.unionByName, scored), ["model_name", fold])
+    """Metrics per model and fold.
+
+    The columns that fits read are kept once, in as many partitions as there are rows for, and fits of all models and
+    folds run side by side: each is a chain of small jobs, whose gaps the others fill. Every job is distributed.
+    """
+    data = kept_for_fits(df.select(fold, "target", *([weight] if weight else []), *features))
+
+    def run(task: tuple[int, str]) -> DataFrame:
+        i, name = task
+        model = fit(builders[name], data.where(F.col(fold) != i), features, weight)
+        return score(model, data.where(F.col(fold) == i), features).select(F.lit(name).alias("model_name"), fold, "target", "leak_score")
+
+    try:
+        # the slowest family first, so that no long fit is left to the end
+        order = [(i, name) for name in reversed(list(builders)) for i in range(k)]
+        return measured(reduce(DataFrame.unionByName, side_by_side(df.sparkSession, run, order)), ["model_name", fold])
+    finally:
+        data.unpersist()
+
+
+#: Fits that run at the same time, and rows that make a partition worth a task in the many small jobs of a fit.
+SIDE_BY_SIDE, ROWS_PER_TASK = 8, 20_000
+
+
+def kept_for_fits(df: DataFrame) -> DataFrame:
+    """The frame persisted for many passes, in no more partitions than its rows are worth."""
+    data = df.persist()
+    parts = max(1, -(-data.count() // ROWS_PER_TASK))
+    if parts >= data.rdd.getNumPartitions():
+        return data
+    fewer = df.coalesce(parts).persist()
+    fewer.count()
+    data.unpersist()
+    return fewer
+
+
+def side_by_side(spark: SparkSession, run: Callable, tasks: Iterable) -> list:
+    """Results of ``run`` for all tasks in order, a few at a time, each in a scheduler pool of its own."""
+    def pooled(task):
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"telemill-{abs(hash(task)) % SIDE_BY_SIDE}")
+        return run(task)
+
+    with ThreadPoolExecutor(SIDE_BY_SIDE) as pool:
+        return list(pool.map(inheritable_thread_target(spark)(pooled), tasks))
 
 
 def measured(scored: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .keys import join_keys
 from .series import Series, scan
 
 
@@ -93,7 +94,7 @@ def trailing_run(df: DataFrame, keys: Sequence[str], order: Sequence[str], holds
     ok = F.coalesce(holds, F.lit(False))
     broken = df.groupBy(*keys).agg(F.max(F.when(~ok, rank)).alias("_broken"))
     after = F.col("_broken").isNull() | (rank > F.col("_broken"))
-    return df.join(broken, list(keys)).groupBy(*keys).agg(F.sum(F.when(after, 1).otherwise(0)).alias(out))
+    return join_keys(df, broken, keys).groupBy(*keys).agg(F.sum(F.when(after, 1).otherwise(0)).alias(out))
 
 
 def latest_snapshot(df: DataFrame, time: str = "timestamp") -> DataFrame:
@@ -104,7 +105,7 @@ def latest_snapshot(df: DataFrame, time: str = "timestamp") -> DataFrame:
 def spikes_and_stale(df: DataFrame, series: Series, signal: str, sigmas: float = 3.5) -> DataFrame:
     """Flag spikes beyond ``sigmas`` deviations of the key's mean, and number blocks of repeated values."""
     stats = df.groupBy(*series.keys).agg(F.avg(signal).alias("_mean"), F.stddev_samp(signal).alias("_std"))
-    df = equal_runs(df, series, [signal], "block").join(stats, list(series.keys))
+    df = join_keys(equal_runs(df, series, [signal], "block"), stats, series.keys)
     spike = F.abs(F.col(signal) - F.col("_mean")) > sigmas * F.col("_std")
     return df.withColumn("spike", F.coalesce(spike, F.lit(False))).drop("_mean", "_std")
 
@@ -143,5 +144,5 @@ def resample_linear(df: DataFrame, series: Series, value: str, points: int) -> D
     keys = list(series.keys)
     lo = at.select(*keys, F.col("_n").alias("_lo"), F.col("_v").alias("_vlo"))
     hi = at.select(*keys, F.col("_n").alias("_hi"), F.col("_v").alias("_vhi"))
-    both = grid.join(lo, [*keys, "_lo"]).join(hi, [*keys, "_hi"])
+    both = join_keys(join_keys(grid, lo, [*keys, "_lo"]), hi, [*keys, "_hi"])
     return both.select(*keys, "point", (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * (F.col("_at") - F.col("_lo"))).alias(value))

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import as_number, stable_ratio
 from .features import flat_to_zero, rows
+from .keys import join_keys
 from .series import Series, frames
 
 SENSORS = ["P_inlet", "P_mid", "P_outlet", "Q_inlet", "Q_outlet", "T_inlet", "T_mid", "T_outlet"]
@@ -38,6 +39,7 @@ def wide_features(df: DataFrame, series: Series, window: int = 5, ratio_mode: st
     def div(n: Column, d: Column, limit: float) -> Column:
         return stable_ratio(n, d, limit=limit) if ratio_mode == "safe" else n / F.nullif(d + 1e-6, F.lit(0.0))
 
+    own = df.columns
     df = df.withColumns({c: raw(c) for c in SENSORS})
     c = F.col
     df = df.withColumns({
@@ -53,21 +55,21 @@ def wide_features(df: DataFrame, series: Series, window: int = 5, ratio_mode: st
     })
     if series.slot is None:
         whole = Window.partitionBy(*series.keys)
-        df = df.withColumn("_size", F.count(F.lit(1)).over(series.window().rowsBetween(
+        df = df.withColumn("_wide_size", F.count(F.lit(1)).over(series.window().rowsBetween(
             Window.unboundedPreceding, Window.unboundedFollowing)) if series.keys else F.count(F.lit(1)).over(whole))
     else:
-        sizes = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_size"))
-        df = df.join(sizes, list(series.keys))
+        sizes = df.groupBy(*series.keys).agg(F.count(F.lit(1)).alias("_wide_size"))
+        df = join_keys(df, sizes, series.keys)
     df, local, keep = frames(df, series, window)
     w = local.window()
-    enough = F.col("_size") >= window
+    enough = F.col("_wide_size") >= window
     rolled = {}
     for s in ROLLED:
         rolled[f"{s}_rolling_mean_{window}"] = F.avg(s).over(rows(w, window))
         rolled[f"{s}_rolling_std_{window}"] = F.stddev_samp(s).over(rows(w, window))
     df = df.withColumns(rolled).where(keep)
     df = df.withColumns({c: F.when(enough, flat_to_zero(c) if "_std_" in c else F.col(c)).otherwise(0.0) for c in rolled})
-    return df.drop(*[x for x in df.columns if x.startswith("_")])
+    return df.select(*own, *[n for n in wide_feature_names(window) if n not in own])
 
 
 # What a sensor's prefix measures.

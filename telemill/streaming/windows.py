@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.joins import latest_per_key, missing
+from ..plans.corpus import exists
 from .ordered import process_in_order
 
 
@@ -37,23 +38,26 @@ def score_batches(
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` sink scoring only rows not scored before, safe to repeat.
 
-    Each batch writes its own partition, so a batch run again replaces what it wrote the first time. Earlier
-    scores are looked up over the batch's own stretch of time only (``time`` is part of the key).
+    Scores are laid out by day and batch, so a batch run again replaces what it wrote the first time, and the look-up
+    of earlier scores lists and opens the folders of the batch's own days only, however long the history is (``time``
+    is part of the key).
     """
     if time not in key:
         raise ValueError("the key must contain the time column")
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        day = F.coalesce(F.date_format(time, "yyyy-MM-dd"), F.lit("none"))
         scored = score(latest_per_key(batch, key, ["seq"]))
-        if batch_id > 0:
-            span = batch.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).first()
+        schema = T.StructType([*scored.schema.fields, T.StructField("batch", T.IntegerType())])
+        days = [r[0] for r in batch.select(day).distinct().collect()] if batch_id > 0 else []  # as many as the batch has days
+        known = [f"{path}/day={d}" for d in days if exists(spark, f"{path}/day={d}")]
+        if known:
             # earlier batches only, so that a repeated batch does not meet its own rows
-            schema = T.StructType([*scored.schema.fields, T.StructField("batch", T.IntegerType())])
-            done = spark.read.schema(schema).parquet(path).where((F.col("batch") < batch_id) & F.col(time).between(span["lo"], span["hi"]))
+            done = spark.read.schema(schema).option("basePath", path).parquet(*known).where(F.col("batch") < batch_id)
             scored = missing(scored, done, key)
-        out = scored.withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        out = scored.withColumns({"day": day, "batch": F.lit(batch_id)})
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
     return run
 
