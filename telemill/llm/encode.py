@@ -45,10 +45,10 @@ class PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.joined, self.single = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.special = [t.content.encode() for t in self.joined.get_added_tokens_decoder().values()]
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.separator = "<|endoftext|>"
-        self.separator_id = self.joined.token_to_id(self.separator)
+        self.separator_id = self.tokenizer.token_to_id(self.separator)
         self.leading_space = leading_space
         self.seed = text.fresh_seed()
         self.reset()
@@ -110,7 +110,7 @@ class PieceEncoder:
 
     def _words(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
         """Ids of pieces of ASCII letters and their numbers: one pre-token each, so the model alone splits them."""
-        tokenize = self.joined.model.tokenize
+        tokenize = self.tokenizer.model.tokenize
         if self.leading_space:
             pieces = ["\u0120" + p[1:] if p[0] == " " else p for p in pieces]
         ids = [[t.id for t in tokenize(p)] for p in pieces]
@@ -119,9 +119,9 @@ class PieceEncoder:
     def _joined(self, pieces: list[str]) -> tuple[np.ndarray, list[int]]:
         """Ids of any pieces and their numbers, with a special token between them."""
         if any("<|" in p for p in pieces):
-            got = [x.ids for x in self.single.encode_batch_fast(pieces, add_special_tokens=False)]
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
             return np.array([i for x in got for i in x], np.uint32), [len(x) for x in got]
-        x = np.array(self.joined.encode_batch_fast([self.separator.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
+        x = np.array(self.tokenizer.encode_batch_fast([self.separator.join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
         at = np.flatnonzero(x == self.separator_id)
         return x[x != self.separator_id], (np.diff(np.concatenate(([-1], at, [len(x)]))) - 1).tolist()
 
@@ -136,7 +136,7 @@ class PieceEncoder:
         size = np.diff(offsets)
         ends = np.concatenate(([0], np.cumsum(size[~whole])))
         ids, at = self.encode_pieces(buf[np.repeat(~whole, size)], ends)
-        got = iter(self.single.encode_batch_fast([values[k].decode() for k in np.flatnonzero(whole)], add_special_tokens=False))
+        got = iter(self.tokenizer.encode_batch_fast([values[k].decode() for k in np.flatnonzero(whole)], add_special_tokens=False))
         rest = iter(np.split(ids, at[1:-1]) if len(at) > 1 else [])
         every = [np.array(next(got).ids, np.uint32) if w else next(rest) for w in whole.tolist()]
         return np.concatenate(every), np.concatenate(([0], np.cumsum([len(x) for x in every])))
