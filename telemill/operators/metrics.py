@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ratio
+from .keys import join_keys
 from .series import scan, value_series
 
 
@@ -78,11 +79,7 @@ def roc_curve(df: DataFrame, score: str, label: str, keys: Sequence[str] = ()) -
     """False and true positive rate at each distinct score taken as the threshold."""
     counts = score_counts(df, score, label, keys)
     totals = counts.groupBy(*keys).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
-    if keys:
-        counts = counts.join(totals, list(keys))
-    else:
-        counts = counts.withColumn("_t", totals.select(F.struct("_p", "_n")).scalar()).withColumns(
-            {"_p": F.col("_t._p"), "_n": F.col("_t._n")})
+    counts = join_keys(counts, totals, keys)
     tp, fp = F.col("_p") - F.col("pos_upto") + F.col("pos"), F.col("_n") - F.col("neg_upto") + F.col("neg")
     return counts.select(*keys, F.col(score).alias("threshold"), (fp / F.nullif("_n", F.lit(0))).alias("fpr"),
                          (tp / F.nullif("_p", F.lit(0))).alias("tpr"))

@@ -28,7 +28,7 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: Mapping[s
         placed = placed.withColumn("_total", F.sum("_n").over(whole))
     else:
         totals = counts.groupBy(*keys).agg(F.sum("_n").alias("_total"))
-        placed = join_keys(placed, totals, keys) if keys else placed.withColumn("_total", totals.scalar())
+        placed = join_keys(placed, totals, keys)
     picks = []
     for name, p in probs.items():
         at = (F.col("_total") - 1) * p

@@ -13,30 +13,34 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from ..session import setting
+from ..session import checkpoint_dir, setting
 from .keys import join_keys
 
 SLOT = "_slot"
 MAX_ROWS_PER_TASK = 5_000_000
-CUTS = 1024  # most slots of a key are counted in
+PER_SLOT = 32  # sampled rows that a slot is cut from
+FAN = 1024  # marks in one node of the tree that finds a row's slot
 
 
 @dataclass(frozen=True)
 class Series:
     """Keys, total order within a key, and the slot cutting long keys (``None``: whole keys).
 
-    ``cuts`` has one row per long key with columns that ``slot`` refers to.
+    ``cuts`` holds, from the root down, the levels of a tree over the marks at which long keys are cut: per key and node
+    up to ``fan`` marks. Without it ``slot`` is an expression over the rows.
     """
 
     keys: tuple[str, ...]
     order: tuple[str, ...]
     slot: Column | None = None
-    cuts: DataFrame | None = None
+    cuts: tuple[DataFrame, ...] = ()
+    fan: int = FAN
 
     @property
     def parts(self) -> list[str]:
@@ -45,10 +49,15 @@ class Series:
     def slotted(self, df: DataFrame) -> DataFrame:
         if self.slot is None:
             return df
-        if self.cuts is None:
+        if not self.cuts:
             return df.withColumn(SLOT, self.slot)
-        extra = [c for c in self.cuts.columns if c not in self.keys]
-        return join_keys(df, self.cuts, self.keys, "left").withColumn(SLOT, self.slot).drop(*extra)
+        names, below = df.columns, marks_upto(F.col("_marks"), self.rank(), self.fan)
+        root, *rest = self.cuts
+        out = join_keys(df, root, self.keys, "left").select(*names, below.alias(SLOT))
+        for level in rest:
+            inner = join_keys(out, level, [*self.keys, SLOT], "left")
+            out = inner.select(*names, (F.col(SLOT) * self.fan + below).alias(SLOT))
+        return out
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.parts).orderBy(*self.order)
@@ -61,6 +70,13 @@ class Series:
         return F.struct(*self.order)
 
 
+def marks_upto(marks: Column, rank: Column, most: int) -> Column:
+    """How many of at most ``most`` sorted marks lie at or below ``rank``, by halving; 0 where there are none."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(marks, at + step - 1) <= rank, at + step).otherwise(at))
+    return found.cast("long")
+
+
 def time_series(
     df: DataFrame,
     keys: list[str],
@@ -68,61 +84,69 @@ def time_series(
     tiebreak: list[str] = ("seq",),
     max_rows: int | None = None,
 ) -> Series:
-    """A series ordered by ``(time, *tiebreak)``, cut by time where a key is too long for one task.
+    """A series ordered by ``(time, *tiebreak)``, cut where a key is too long for one task.
 
-    A table small enough as a whole needs no closer look (its row count comes from file footers where
-    nothing is filtered). Otherwise one pruned, pre-aggregated pass counts rows per key, and each key beyond
-    the limit is cut at approximate quantiles of its own times, so that a dense key and a sparse one both fall into
-    slots of about equal size. Only rows of one and the same time stay together.
+    One pruned, pre-aggregated pass counts rows per key; each key beyond the limit is cut at marks of its own order, see
+    ``cut_series``. A burst of rows at one time is cut by the tiebreak.
     """
-    limit = max_rows or setting(df.sparkSession, "series.maxRowsPerTask", MAX_ROWS_PER_TASK)
-    plain = Series(tuple(keys), (time, *tiebreak))
-    if df.count() <= limit:
-        return plain
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
-    if sizes.isEmpty():
-        return plain
-    seconds = F.unix_timestamp(time)
-    marks = F.percentile_approx(seconds, [i / CUTS for i in range(1, CUTS)], 10 * CUTS).alias("_marks")
-    step = F.greatest(F.lit(1), F.floor(F.lit(CUTS * limit) / (2 * F.col("_n"))).cast("int"))
-    spread = F.filter("_marks", lambda m, i: (i + 1) % F.col("_step") == 0)
-    long_rows = join_keys(df.select(*keys, time), sizes, keys)
-    cuts = join_keys(long_rows.groupBy(*keys).agg(marks), sizes, keys).withColumn("_step", step)
-    cuts = cuts.select(*keys, F.array_distinct(spread).alias("_marks"))
-    before = F.size(F.filter("_marks", lambda m: m <= seconds))
-    return replace(plain, slot=F.greatest(F.coalesce(before, F.lit(0)), F.lit(0)), cuts=cuts)
+    return cut_series(df, Series(tuple(keys), (time, *tiebreak)), df, max_rows)
 
 
 def value_series(
     df: DataFrame, keys: list[str], value: str, source: DataFrame | None = None, max_rows: int | None = None,
 ) -> Series:
-    """A series ordered by a numeric value, cut at approximate quantiles where the table is large.
+    """A series ordered by a numeric value, cut as ``time_series`` is.
 
-    Expects one row per ``(keys, value)``; ``source`` is a table with at least as many rows that is cheaper
-    to count. The cut points are at most a thousand numbers.
+    Expects one row per ``(keys, value)``; ``source`` is a table with at least as many rows of each key that is cheaper
+    to count.
     """
-    limit = max_rows or setting(df.sparkSession, "series.maxRowsPerTask", MAX_ROWS_PER_TASK)
-    plain = Series(tuple(keys), (value,))
-    if source is not None and source.count() <= limit:
-        return plain
-    n = df.count()
-    if n <= limit:
-        return plain
-    pieces = min(1000, max(2, 2 * n // limit))
-    cuts = df.approxQuantile(value, [i / pieces for i in range(1, pieces)], 1.0 / (4 * pieces))
-    return replace(plain, slot=cut_index(F.col(value), sorted(set(cuts))))
-
+    return cut_series(df, Series(tuple(keys), (value,)), df if source is None else source, max_rows)
 
-def cut_index(value: Column, cuts: list[float]) -> Column:
-    """How many cut points lie at or below ``value``, by halving the sorted list."""
 
-    def search(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), search(lo, mid)).otherwise(search(mid + 1, hi))
+def cut_series(df: DataFrame, plain: Series, counted: DataFrame, max_rows: int | None = None, fan: int = FAN) -> Series:
+    """The series with the keys of more than ``max_rows`` rows in ``counted`` cut into slots of about half that.
 
-    return search(0, len(cuts))
+    Rows of long keys are sampled by a hash, one in some 80,000 at the default limit, and every ``PER_SLOT``-th of a
+    key's sample in its order ``(time, tiebreak)`` is a mark. The number of slots grows with the key and has no limit. A
+    row finds its slot by halving inside a tree of marks of as many levels as the longest key needs, so it never carries
+    more than ``fan`` of them. The tree is written to the shared folder: slots stay the same in every pass, and its
+    size is known to the planner when it chooses how to join.
+    """
+    spark, keys, order = df.sparkSession, plain.keys, plain.order
+    limit = max_rows or setting(spark, "series.maxRowsPerTask", MAX_ROWS_PER_TASK)
+    sizes = counted.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    if sizes.isEmpty():
+        return plain
+    every = max(1, limit // (2 * PER_SLOT))
+    per = max(1, limit // (2 * every))
+    rows = join_keys(df.select(*dict.fromkeys([*keys, *order])), sizes, keys)
+    if every > 1:
+        rows = rows.where(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0)
+    placed = rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    at = (F.col("_k") / per).cast("long") - 1
+    folder = f"{checkpoint_dir(spark)}/series-{uuid4().hex}"
+    marks = stored(placed.where(F.col("_k") % per == 0).select(*keys, plain.rank().alias("_mark"), at.alias("_k")), f"{folder}/marks")
+    last = marks.agg(F.max("_k")).first()[0]
+    if last is None:
+        return plain
+    levels = 1
+    while fan**levels <= last:
+        levels += 1
+    cuts = []
+    for level in reversed(range(levels)):
+        step = fan**level
+        # above the leaves a node's first mark goes without saying
+        held = (F.col("_k") % step == 0) & (F.lit(level == 0) | (F.col("_k") % (step * fan) != 0))
+        node = (F.col("_k") / (step * fan)).cast("long").alias(SLOT)
+        table = marks.where(held).groupBy(*keys, node).agg(F.sort_array(F.collect_list("_mark")).alias("_marks"))
+        table = stored(table, f"{folder}/level{level}")
+        cuts.append(table if cuts else table.drop(SLOT))
+    return replace(plain, slot=F.col(SLOT), cuts=tuple(cuts), fan=fan)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scan(

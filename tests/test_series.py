@@ -11,7 +11,7 @@ from telemill.operators.cleaning import bound_sensors, every_nth, fill_along
 from telemill.operators.joins import gap_conflicts
 from telemill.operators.metrics import roc_auc
 from telemill.operators.quantiles import exact_quantiles
-from telemill.operators.series import Series, cut_index, frames, scan, time_series, value_series
+from telemill.operators.series import Series, cut_series, frames, scan, time_series, value_series
 from telemill.sources import views
 
 from .conftest import close, rows
@@ -140,11 +140,44 @@ def test_quantiles_and_auc_same_with_slots(spark, data):
     close([a[0][0]], [("a", *got)])
 
 
-def test_cut_index(spark):
-    df = spark.createDataFrame([(x / 2.0,) for x in range(-2, 12)], "v double")
-    cuts = [0.0, 1.0, 3.5]
-    assert [r[1] for r in rows(df.select("v", cut_index(F.col("v"), cuts).alias("c")))] == [
-        sum(c <= x / 2.0 for c in cuts) for x in range(-2, 12)]
+def ordered_rows(spark):
+    """Keys of 700, 350 and 5 rows, one of them NULL; half of the first lies at one time, and some times are NULL."""
+    made = [("a", 50 if i % 2 else i, i) for i in range(700)]
+    made += [(None, None if i % 10 == 0 else i % 7, i) for i in range(350)] + [("few", i, i) for i in range(5)]
+    return spark.createDataFrame(made, "k string, t int, seq long").withColumn("timestamp", F.timestamp_seconds("t"))
+
+
+@pytest.mark.parametrize("fan", [3, 1024])
+def test_slots_follow_the_order_and_split_bursts(spark, fan):
+    df = ordered_rows(spark)
+    series = cut_series(df, Series(("k",), ("timestamp", "seq")), df, 20, fan)
+    assert len(series.cuts) == (4 if fan == 3 else 1)
+    found = series.slotted(df)
+    assert found.columns == [*df.columns, "_slot"]
+    by_key = {}
+    for r in found.collect():
+        by_key.setdefault(r["k"], []).append(((r["t"] is not None, r["t"] or 0, r["seq"]), r["_slot"]))
+    for k, n in (("a", 700), (None, 350), ("few", 5)):
+        slots = [s for _, s in sorted(by_key[k])]
+        assert len(slots) == n and slots == sorted(slots)
+        # every tenth row in order is a mark; it opens the next slot
+        assert slots == [(i + 1) // 10 if n > 20 else 0 for i in range(n)]
+
+
+def test_scans_same_with_a_deep_tree_of_marks(spark):
+    df = ordered_rows(spark)
+    plain = Series(("k",), ("timestamp", "seq"))
+    args = dict(position="n", sums={"s": F.col("t")}, previous={"p": F.col("seq")}, last_valid={"l": F.col("t")})
+    found = [sorted(map(tuple, scan(df, s, **args).select("k", "seq", "n", "s", "p", "l").collect()), key=repr)
+             for s in (plain, cut_series(df, plain, df, 20, 3))]
+    assert found[0] == found[1] and len(found[0]) == 1055
+
+
+def test_sampled_marks_give_even_slots_without_keys(spark):
+    df = spark.range(60_000).select((F.col("id") % 11).alias("t"), F.col("id").alias("seq"))
+    series = cut_series(df, Series((), ("t", "seq")), df, 4000)
+    sizes = [r["count"] for r in series.slotted(df).groupBy("_slot").count().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) > 20 and max(sizes) <= 4000
 
 
 def test_halo_must_fit(telemetry):
