@@ -372,10 +372,23 @@ def operational_snapshot(spark, folder):
 WITH {TELEMETRY}, k AS (SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY timestamp DESC, seq DESC) <= 720)
 SELECT segment_id, array_to_string(list(CAST(CAST(flow_rate AS INTEGER) AS VARCHAR) ORDER BY timestamp, seq), ',') AS flow_rate FROM k GROUP BY segment_id""")
 def recent_series(spark, folder):
-    out = pf.recent_series(views.telemetry(spark, folder), ["segment_id"], ["timestamp", "seq"], {"flow_rate": 3})
+    out = pf.recent_series(views.telemetry(spark, folder), ["segment_id"], ["timestamp", "seq"], {"flow_rate": 3}, keep=720)
     return out.select("segment_id", F.array_join(F.transform("flow_rate", lambda v: v.cast("int").cast("string")), ",").alias("flow_rate"))
 
 
+@query("recent_series_short", "A20", f"""
+WITH {TELEMETRY}, k AS (SELECT * FROM telemetry QUALIFY row_number() OVER (PARTITION BY segment_id ORDER BY timestamp DESC, seq DESC) <= 12)
+SELECT segment_id, count(*) AS kept, (SELECT max(n) > 12 FROM (SELECT count(*) AS n FROM telemetry GROUP BY segment_id)) AS exceeded,
+  array_to_string(list(CAST(CAST(flow_rate AS INTEGER) AS VARCHAR) ORDER BY timestamp, seq), ',') AS flow_rate FROM k GROUP BY segment_id""")
+def recent_series_short(spark, folder):
+    """A retention that keys of the table exceed."""
+    t = views.telemetry(spark, folder)
+    out = pf.recent_series(t, ["segment_id"], ["timestamp", "seq"], {"flow_rate": 3}, keep=12)
+    longest = t.groupBy("segment_id").count().agg(F.max("count") > 12).scalar()
+    text = F.array_join(F.transform("flow_rate", lambda v: v.cast("int").cast("string")), ",")
+    return out.select("segment_id", F.size("flow_rate").cast("long").alias("kept"), longest.alias("exceeded"), text.alias("flow_rate"))
+
+
 @query("minute_means", "A21", f"""
 WITH {TELEMETRY}, m AS (SELECT CAST(floor(epoch(timestamp - TIMESTAMP '2024-01-01') / 60) AS BIGINT) AS minute, avg(pressure) AS p, avg(flow_rate) AS f FROM telemetry GROUP BY 1)
 SELECT minute, {r('p / (SELECT greatest(max(abs(p)), 1e-6) FROM m)', 'pressure')}, {r('f / (SELECT greatest(max(abs(f)), 1e-6) FROM m)', 'flow_rate')} FROM m""")

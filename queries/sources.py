@@ -55,12 +55,17 @@ def glob_scan(spark, folder):
     return df.select(F.col("id").cast("bigint").alias("id"), "name", F.col("region").cast("int").alias("region"), F.col("balance").cast("bigint").alias("balance"), kind.alias("kind"))
 
 
-def well_files(spark, folder, name: str = "wells", one_file: bool = False) -> str:
-    """One directory per event class, as the field data is laid out; ``one_file`` gives each class a single file."""
+WELLS = 16
+
+
+def well_files(spark, folder, name: str = "wells", by_well: bool = False) -> str:
+    """One directory per event class, as the field data is laid out; ``by_well`` gives each class a file per well, in order."""
     path = f"{scratch(spark)}/{name}"
     w = label_events(views.wide(spark, folder))
     w = w.select(F.col("P_inlet").alias("P-PDG"), F.col("Q_inlet").alias("QGL"), "class", "timestamp", "event_class", F.col("l_partkey").alias("seq"))
-    (w.repartition("event_class") if one_file else w).write.partitionBy("event_class").parquet(path)
+    if by_well:  # files are named by their partition
+        w = w.repartitionById(WELLS, (F.col("seq") % WELLS).cast("int"))
+    w.write.option("maxRecordsPerFile", 0).partitionBy("event_class").parquet(path)
     return path
 
 
@@ -74,15 +79,18 @@ def well_scan(spark, folder):
 
 
 @query("sample_files_per_label", "S5", f"""
-WITH {WIDE}, c AS (SELECT *, CASE WHEN class IS NULL THEN 0 WHEN class >= 100 THEN class % 100 ELSE class END AS k FROM wide)
-SELECT 'event_class=' || CAST(k AS VARCHAR) AS event_dir, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts, true AS named FROM c GROUP BY k""")
+WITH {WIDE}, c AS (SELECT *, l_partkey % 16 AS well, CASE WHEN class IS NULL THEN 0 WHEN class >= 100 THEN class % 100 ELSE class END AS k FROM wide),
+f AS (SELECT k, well, row_number() OVER (PARTITION BY k ORDER BY well) AS place FROM (SELECT DISTINCT k, well FROM c))
+SELECT 'event_class=' || CAST(k AS VARCHAR) AS event_dir, count(*) AS n, count(DISTINCT well) AS wells, CAST(sum(l_partkey) AS BIGINT) AS parts, true AS named
+FROM c JOIN f USING (k, well) WHERE place <= 3 GROUP BY k""")
 def sample_files_per_label(spark, folder):
-    """The rows of one file of each label; only those files are opened."""
-    path = well_files(spark, folder, "wells of the field", one_file=True)
+    """The rows of the first three files of each label; only those files are opened."""
+    path = well_files(spark, folder, "wells of the field", by_well=True)
     files = readers.list_files(spark, path)
-    df = readers.read_wells(spark, path, readers.sample_files(files, 1))
+    labels = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1)).distinct().count()
+    df = readers.read_wells(spark, path, readers.sample_files(files, 3 * labels))
     named = F.col("scenario_id") == F.concat_ws("_", "event_dir", "well_id")
-    return df.groupBy("event_dir").agg(F.count(F.lit(1)).alias("n"), F.sum("seq").alias("parts"), F.bool_and(named).alias("named"))
+    return df.groupBy("event_dir").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("well_id").alias("wells"), F.sum("seq").alias("parts"), F.bool_and(named).alias("named"))
 
 
 @query("export_scan", "S6 D4", f"""

@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.window import Window
 
 from ..functions import sigmoid
+from ..operators.quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -52,6 +53,27 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth_limit: int) -> list[tupl
     return nodes
 
 
+#: Rows that walk all trees together: a matrix of rows by trees stays in the processor's cache.
+ROWS_AT_A_TIME = 256
+
+
+def flattened(trees: list) -> tuple:
+    """All trees in one set of arrays: roots, feature, cut, next node (not below and below the cut), length, depth.
+
+    A leaf leads to itself, so that every row takes the same number of steps in every tree.
+    """
+    roots = np.cumsum([0] + [len(t) for t in trees[:-1]]).astype(np.int32)
+    feature, cut, left, right, length = (np.concatenate([np.asarray([n[i] for n in t], dtype=float) for t in trees]) for i in range(5))
+    base = np.repeat(roots, [len(t) for t in trees])
+    own, leaf = np.arange(len(feature)), feature < 0
+    after = np.stack([np.where(leaf, own, right + base), np.where(leaf, own, left + base)], axis=1).ravel().astype(np.int32)
+    depth, reached = 0, roots
+    while not leaf[reached].all():
+        reached = np.unique(after.reshape(-1, 2)[reached])
+        depth += 1
+    return roots, np.where(leaf, 0, feature).astype(np.int32), cut, after, length, depth
+
+
 class Forest:
     """Fitted forest with the scaling and the centre of normal scores."""
 
@@ -62,25 +84,23 @@ class Forest:
 
     def with_samples(self, df: DataFrame, out: str = "sample_score") -> DataFrame:
         """Add the sample score; lower means more anomalous."""
-        shared = df.sparkSession.sparkContext.broadcast([
-            tuple(np.asarray(c) for c in zip(*tree)) for tree in self.trees])  # at most trees x 2 x sample nodes
-        norm = mean_path(self.sample)
+        shared = df.sparkSession.sparkContext.broadcast(flattened(self.trees))  # at most trees x 2 x sample nodes
+        norm = mean_path(self.sample) * len(self.trees)
 
         @pandas_udf("double")
         def path_score(*cols: pd.Series) -> pd.Series:
+            roots, feature, cut, after, length, depth = shared.value
             x = np.column_stack([c.to_numpy(dtype=float) for c in cols])
-            total = np.zeros(len(x))
-            for feature, cut, left, right, length in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                while True:
-                    f = feature[at]
-                    inner = np.flatnonzero(f >= 0)
-                    if not len(inner):
-                        break
-                    here = at[inner]
-                    at[inner] = np.where(x[inner, feature[here]] < cut[here], left[here], right[here])
-                total += length[at]
-            return pd.Series(-np.power(2.0, -total / (len(shared.value) * norm)))
+            total = np.empty(len(x))
+            for i in range(0, len(x), ROWS_AT_A_TIME):
+                flat = x[i:i + ROWS_AT_A_TIME].ravel()
+                row = np.arange(0, len(flat), x.shape[1], dtype=np.int32)[:, None]
+                at = np.broadcast_to(roots, (len(row), len(roots)))
+                for _ in range(depth):
+                    low = flat[row + feature[at]] < cut[at]
+                    at = after[2 * at + low]
+                total[i:i + len(row)] = length[at].sum(axis=1)
+            return pd.Series(-np.power(2.0, -total / norm))
 
         scaled = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - self.centre[c]) / self.spread[c] for c in self.features]
         return df.withColumn(out, path_score(*scaled))
@@ -139,8 +159,11 @@ def fit(
     built = sample.groupBy("_tree").applyInPandas(build, "tree int, nodes array<array<double>>").orderBy("tree").collect()
     trees = [[(int(f), cut, int(lo), int(hi), length) for f, cut, lo, hi, length in row["nodes"]] for row in built]
     forest = Forest(trees, names, centre, spread, settings.sample)
-    scored = forest.with_samples(normal, "_sample")
-    stats = scored.agg(F.percentile_approx("_sample", 0.5, 100_000).alias("m"), F.stddev_pop("_sample").alias("s")).first()
-    forest.score_centre = float(stats["m"])
-    forest.score_scale = float(stats["s"]) if stats["s"] and stats["s"] > 1e-6 else 1.0
+    scored = forest.with_samples(normal, "_sample").select("_sample").persist()
+    try:
+        forest.score_centre = float(exact_quantiles(scored, [], "_sample", {"m": 0.5}).first()["m"] or 0.0)
+        deviation = scored.agg(F.stddev_pop("_sample")).first()[0]
+    finally:
+        scored.unpersist()
+    forest.score_scale = float(deviation) if deviation and deviation > 1e-6 else 1.0
     return forest

@@ -6,23 +6,33 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .series import Series, scan
 
 SCORE_KEY = ["segment_id", "timestamp"]
 
 
+def tie_hash(df: DataFrame, columns: Sequence[str]) -> Column:
+    """A hash that tells rows of equal order apart; maps, which have no hash, go in as their sorted entries."""
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, MapType)}
+    return F.xxhash64(*[F.array_sort(F.map_entries(c)) if c in maps else F.col(c) for c in columns]).alias("_tie")
+
+
 def latest_per_key(df: DataFrame, keys: Sequence[str], arrival: Sequence[str]) -> DataFrame:
-    """Keep the row that arrived last for each key; copies of a key are reduced before the shuffle."""
+    """Keep the row that arrived last for each key; copies of a key are reduced before the shuffle.
+
+    Of rows that arrived together the one with the largest hash of its other columns stays, whatever the partitions.
+    """
     rest = [c for c in df.columns if c not in keys]
-    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*arrival)).alias("_row"))
+    newest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*arrival, tie_hash(df, rest))).alias("_row"))
     return newest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Keep the first row of each key."""
+    """Keep the first row of each key; of equals the one with the smallest hash of its other columns."""
     rest = [c for c in df.columns if c not in keys]
-    oldest = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    oldest = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order, tie_hash(df, rest))).alias("_row"))
     return oldest.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
 
 

@@ -142,8 +142,8 @@ def operational_snapshot(latest: DataFrame, scored: DataFrame) -> DataFrame:
     ).withColumn("false_detections", false_hits)
 
 
-def recent_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], signals: dict[str, int], keep: int = 720) -> DataFrame:
-    """Ordered arrays of rounded signals over the last ``keep`` rows of each key (the chart's retention)."""
+def recent_series(df: DataFrame, keys: Sequence[str], order: Sequence[str], signals: dict[str, int], keep: int) -> DataFrame:
+    """Ordered arrays of rounded signals over the last ``keep`` rows of each key; older rows are left out by the caller's choice."""
     recent = last_rows(df, keys, order, keep)
     rows = F.sort_array(F.collect_list(F.struct(*order, *[F.coalesce(F.col(c), F.lit(0.0)).alias(f"v_{c}") for c in signals])))
     out = recent.groupBy(*keys).agg(rows.alias("_rows"))
