@@ -212,7 +212,7 @@ def tr_weight():
 def batch_leak_scores(spark, folder):
     df = featured(spark, folder).persist()
     models = {"logistic": tr.fit(tr.logistic(), df, FEATURES, None), "svm": tr.fit(tr.linear_svm(), df, FEATURES, None),
-              "majority": tr.Majority.fit(df), "unsupported": object(), "broken": Broken()}
+              "majority": tr.Majority.fit(df), "unsupported": object(), "broken": broken_on(lambda rows: True)}
     out = tr.score_all(models, df, ["seq", "segment_id", "target"], FEATURES)
     df.unpersist()
     return out
@@ -227,11 +227,28 @@ def batch_scores(spark, folder):
     return out.select("model_name", "seq", "segment_id", "target", bounded("leak_score").alias("bounded"), constant.alias("constant"))
 
 
-class Broken:
-    """A model that cannot score: batch scoring leaves it out."""
+def broken_on(rule):
+    """A model on pandas batches that fails where the rule says so: batch scoring gives a reason there."""
+    class Broken:
+        def predict(self, rows):
+            if rule(rows):
+                raise ValueError("no model behind this")
+            return 1 / (1 + (rows["pressure"] / 100.0) ** 2)
 
-    def score(self, df):
-        return df.withColumn("leak_score", F.raise_error(F.lit("no model behind this")).cast("double"))
+    return Broken()
+
+
+@query("scoring_reasons", "M10", f"""
+WITH {TELEMETRY} SELECT 'steady' AS model_name, seq, {r('1.0 / (1.0 + (pressure / 100.0) * (pressure / 100.0))', 'leak_score')}, NULL AS reason FROM telemetry
+UNION ALL SELECT 'broken', seq, NULL, 'no model behind this' FROM telemetry
+UNION ALL SELECT 'unsupported', seq, NULL, 'no way to score' FROM telemetry
+UNION ALL SELECT 'majority', seq, CAST((SELECT mode(target) FROM telemetry) AS DOUBLE), NULL FROM telemetry""")
+def scoring_reasons(spark, folder):
+    """Every model on every row in one pass, with a score or the reason why there is none."""
+    t = views.telemetry(spark, folder)
+    models = {"steady": broken_on(lambda rows: False), "broken": broken_on(lambda rows: True), "unsupported": object(), "majority": tr.Majority.fit(t)}
+    out = tr.scores_or_reasons(models, t, ["seq"], ["pressure", "flow_rate"])
+    return out.select("model_name", "seq", r6("leak_score").alias("leak_score"), "reason")
 
 
 @query("transfer_fold_metrics", "M13")

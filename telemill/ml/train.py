@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import warnings
-from collections.abc import Callable, Iterable, Mapping, Sequence
+import pickle
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark import inheritable_thread_target
+from pyspark import cloudpickle, inheritable_thread_target
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from ..operators.metrics import CV_KEYS, binary_metrics, fold_sizes, fold_summary
 from ..operators.sampling import group_folds
 from . import iforest
-from .ensemble import from_decision, from_labels, member_weights
+from .ensemble import from_decision, from_decisions, from_labels, from_samples, member_weights
 
 Builder = Callable[[Sequence[str], str | None], Pipeline]
 
@@ -91,7 +93,8 @@ def leak_score(df: DataFrame) -> Column:
 
 
 def score(model, df: DataFrame, features: Sequence[str] | None = None) -> DataFrame:
-    """Add ``leak_score`` from what the model offers: a probability, else a decision value, else a hard label.
+    """Add ``leak_score`` from what the model offers, in this order: a probability, decision values (softmax over more than
+    two), a hard label, a way to score a frame, sample scores of which the lowest are the oddest.
 
     Feature columns the frame lacks count as 0, as in training on a subset.
     """
@@ -103,32 +106,85 @@ def score(model, df: DataFrame, features: Sequence[str] | None = None) -> DataFr
         if "probability" in out.columns:
             value = leak_score(df)
         elif "rawPrediction" in out.columns:
-            value = from_decision(vector_to_array("rawPrediction")[1])
+            raw = vector_to_array("rawPrediction")
+            value = F.when(F.size(raw) > 2, from_decisions(raw)).otherwise(from_decision(raw[1]))
         else:
             value = from_labels(F.col("prediction"))
         return out.select(*names, value.alias("leak_score"))
-    return model.score(df)
+    if hasattr(model, "score"):
+        return model.score(df)
+    return from_samples(model.with_samples(df, "_raw"), "_raw", "leak_score").drop("_raw")
 
 
-def score_all(models: Mapping[str, object], df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
-    """Long score table of every model.
+NO_WAY = "no way to score"
+
 
-    A model without a way to score, or one that fails on a trial row, is left out with a warning.
+def scores_or_reasons(models: Mapping[str, object], df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """All models over one scan: ``ids, model_name, leak_score, reason``, one row per input row and model.
+
+    Models that work on frames add a column each to the same plan. Models with ``predict`` (a pandas frame of the
+    features gives scores) share one broadcast registry and one pass over Arrow batches; where one of them fails on a
+    batch, the rows of that batch have no score from it but a reason. A model that cannot be planned on this frame, or
+    offers nothing to score by, has a reason on every row. No job runs before the result is asked for.
     """
-    parts = []
-    trial = df.limit(1)
-    for name, model in models.items():
-        if not (isinstance(model, PipelineModel) or hasattr(model, "score")):
-            continue
-        try:
-            score(model, trial, features).select("leak_score").collect()
-        except Exception as error:
-            warnings.warn(f"model {name} is left out: {str(error).splitlines()[0]}", stacklevel=2)
-            continue
-        parts.append(score(model, df, features).select(*ids, F.lit(name).alias("model_name"), "leak_score"))
-    if not parts:
+    values: dict[str, Column] = {}
+    batch = {n: m for n, m in models.items() if not _frames(m) and hasattr(m, "predict")}
+    frame = df.withColumns({c: F.lit(0.0) for c in features if c not in df.columns})
+    if "leak_score" not in ids:
+        frame = frame.drop("leak_score")
+    for i, (name, model) in enumerate(models.items()):
+        why = NO_WAY
+        if _frames(model):
+            try:
+                frame = score(model, frame).withColumnRenamed("leak_score", f"_score{i}")
+                values[name] = F.struct(F.col(f"_score{i}").cast("double").alias("leak_score"), F.lit(None).cast("string").alias("reason"))
+                continue
+            except Exception as error:
+                why = str(error).splitlines()[0]
+        if name not in batch:
+            values[name] = F.struct(F.lit(None).cast("double").alias("leak_score"), F.lit(why).alias("reason"))
+    if batch:
+        frame = frame.withColumn("_batch", _predictions(frame.sparkSession, batch, list(features))(F.struct(*[F.col(c).cast("double") for c in features])))
+        values |= {n: F.struct(F.col(f"_batch.s{i}").alias("leak_score"), F.col(f"_batch.r{i}").alias("reason")) for i, n in enumerate(batch)}
+    long = F.explode(F.array(*[F.struct(F.lit(n).alias("model_name"), values[n].alias("v")) for n in models]))
+    out = frame.select(*ids, long.alias("_m"))
+    return out.select(*ids, "_m.model_name", "_m.v.leak_score", "_m.v.reason")
+
+
+def _frames(model) -> bool:
+    return isinstance(model, PipelineModel) or hasattr(model, "score") or hasattr(model, "with_samples")
+
+
+def _predictions(spark: SparkSession, models: Mapping[str, object], features: list[str]):
+    """A pandas UDF from a struct of features to a score and a reason per model."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(list(models.values())))
+    kind = ", ".join(f"s{i} double, r{i} string" for i in range(len(models)))
+
+    @F.pandas_udf(kind)
+    def predicted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        registry = pickle.loads(shared.value)
+        for rows in batches:
+            rows.columns = features
+            out = {}
+            for i, model in enumerate(registry):
+                try:
+                    scores, reason = np.asarray(model.predict(rows.copy()), dtype=float), None
+                    if scores.shape != (len(rows),):
+                        raise ValueError(f"{len(rows)} rows but scores of shape {scores.shape}")
+                except Exception as error:
+                    scores, reason = np.full(len(rows), np.nan), str(error) or type(error).__name__
+                out[f"s{i}"] = pd.Series(scores, dtype="Float64").mask(np.isnan(scores))
+                out[f"r{i}"] = pd.Series([reason] * len(rows), dtype=object)
+            yield pd.DataFrame(out)
+
+    return predicted
+
+
+def score_all(models: Mapping[str, object], df: DataFrame, ids: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Long score table of every model, as ``scores_or_reasons`` gives it; what has a reason instead of a score is left out."""
+    if not any(_frames(m) or hasattr(m, "predict") for m in models.values()):
         raise ValueError("no model supports scoring")
-    return reduce(DataFrame.unionByName, parts)
+    return scores_or_reasons(models, df, ids, features).where(F.col("reason").isNull()).drop("reason")
 
 
 def fit(builder, train: DataFrame, features: Sequence[str], weight: str | None):
@@ -261,4 +317,4 @@ def transfer(models: Mapping[str, object], domain: DataFrame, features: Sequence
 
 
 __all__ = ["benchmark", "boosted", "cross_validate", "cv_summary", "fit", "linear_svm", "logistic", "random_forest", "score",
-           "score_all", "train_all", "transfer"]
+           "score_all", "scores_or_reasons", "train_all", "transfer"]

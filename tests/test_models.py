@@ -82,3 +82,63 @@ def test_transfer(points):
     model = tr.fit(tr.logistic(20), points, FEATURES, None)
     out = tr.transfer({"logistic": model}, group_folds(points, "g", 3), FEATURES)
     assert sorted(r.fold for r in out.collect()) == [-1, 0, 1, 2]
+
+
+class Odd:
+    """Offers sample scores alone."""
+
+    def with_samples(self, df, out):
+        return df.withColumn(out, -F.abs("x"))
+
+
+class Unplannable:
+    def score(self, df):
+        return df.withColumn("leak_score", F.col("no_such_column"))
+
+
+def steady(limit):
+    class Steady:
+        def predict(self, rows):
+            if rows["x"].max() > limit:
+                raise ValueError("out of range")
+            return rows["x"] * 0 + len(rows.columns)
+
+    return Steady()
+
+
+def test_all_models_over_one_scan_with_reasons(spark, points):
+    three = points.withColumn("target", F.pmod("id", F.lit(3)).cast("int"))
+    models = {"logistic": tr.fit(tr.logistic(20), points, FEATURES, None), "classes": tr.fit(tr.logistic(20), three, FEATURES, None),
+              "odd": Odd(), "plan": Unplannable(), "none": object(), "fine": steady(1e9), "partly": steady(2.0)}
+    df = points.drop("y").repartition(40)
+    out = tr.scores_or_reasons(models, df, ["id"], FEATURES).cache()
+    assert out.count() == 1200 * len(models)
+    by = {r["model_name"]: r for r in out.groupBy("model_name").agg(F.count("leak_score").alias("n"), F.count("reason").alias("w"), F.first("reason", True).alias("why"),
+                                                                    F.min("leak_score").alias("lo"), F.max("leak_score").alias("hi")).collect()}
+    for name in ("logistic", "classes", "odd", "fine"):
+        assert (by[name]["n"], by[name]["w"]) == (1200, 0)
+    assert (by["odd"]["lo"], by["odd"]["hi"]) == (0.0, 1.0) and by["fine"]["hi"] == 2.0
+    assert by["none"]["why"] == tr.NO_WAY and by["none"]["w"] == by["plan"]["w"] == 1200 and "no_such_column" in by["plan"]["why"]
+    assert by["partly"]["n"] + by["partly"]["w"] == 1200 and by["partly"]["w"] > 0 and by["partly"]["why"] == "out of range"
+    assert out.where("leak_score IS NULL AND reason IS NULL OR leak_score IS NOT NULL AND reason IS NOT NULL").isEmpty()
+    kept = tr.score_all(models, df, ["id"], FEATURES)
+    assert {r[0] for r in kept.select("model_name").distinct().collect()} >= {"logistic", "classes", "odd", "fine"}
+    with pytest.raises(ValueError):
+        tr.score_all({"none": object()}, df, ["id"], FEATURES)
+
+
+def test_forest_walks_as_tree_by_tree(points):
+    forest = iforest.fit(points, FEATURES, iforest.Settings(trees=20, sample=64))
+    got = {r["id"]: r["s"] for r in forest.with_samples(points, "s").select("id", "s").collect()}
+    norm = iforest.mean_path(64) * 20
+    for r in points.limit(100).collect():
+        x = [(r[c] - forest.centre[c]) / forest.spread[c] for c in FEATURES]
+        total = 0.0
+        for tree in forest.trees:
+            node = tree[0]
+            while node[0] >= 0:
+                node = tree[node[2] if x[node[0]] < node[1] else node[3]]
+            total += node[4]
+        assert abs(got[r["id"]] + 2.0 ** (-total / norm)) < 1e-12
+    normal = forest.with_samples(points.where("target = 0"), "s").toPandas()["s"]
+    assert abs(forest.score_centre - normal.median()) < 1e-12
