@@ -1,20 +1,25 @@
 """Exact de-duplication by a tree-merge of sorted digest runs, in DataFrame operations only.
 
-Every input partition forms a run of ``(digest, length, check)`` keys with the identifier kept so far and a count. In
-each round the runs of ``fan_in`` neighbours are exchanged into one: equal keys are merged, the kept identifier and the
-count are carried on. The exchange is by ``(run, key)``, so one run is spread over many tasks, a frequent key is merged
-before it is sent, and the last run is never in one place. A key is a SHA-256 digest verified by the byte length and an
-independent 64-bit hash of the same text, so texts are merged only when all three agree.
+Keys ``(digest, length, check)`` are worked out once and written out. Every input partition forms a run of distinct keys
+with the identifier kept so far and a count. In each binomial round, runs ``2 i`` and ``2 i + 1`` are exchanged into one:
+tasks sort their share of the two runs by key, walk it in order, and of equal neighbours retain the kept identifier and
+the sum of the counts. The exchange is by ``(run, key)``, so one run is spread over many tasks, a frequent key is merged
+inside its own partition before it is sent and meets one row per run in a round, and the last run is never in one place.
+A key is a SHA-256 digest verified by the byte length and an independent 64-bit hash of the same text, so texts are
+merged only when all three agree.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from . import staging
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 KEY = ("_digest", "_length", "_check")
-FAN_IN = 8
+FAN_IN = 2
 RUNS = 64
 
 
@@ -30,17 +35,23 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def merged_runs(rows: DataFrame, keep: str = "max", runs: int = RUNS, fan_in: int = FAN_IN) -> DataFrame:
-    """One row per key: ``_keep`` (largest or smallest identifier) and ``_copies``, merged in rounds of ``fan_in`` runs."""
+    """One row per key: ``_keep`` (largest or smallest identifier) and ``_copies``, merged in rounds of ``fan_in`` runs.
+
+    A sorted share of the runs that meet holds at most ``fan_in`` rows of a key, next to each other, best identifier first.
+    """
     if fan_in < 2 or runs < 1 or keep not in ("max", "min"):
         raise ValueError("fan_in must be 2 or more, runs 1 or more, keep 'max' or 'min'")
     best = F.max if keep == "max" else F.min
+    order = F.col("_keep").desc_nulls_last() if keep == "max" else F.col("_keep").asc_nulls_last()
+    in_order = Window.partitionBy("_run", *KEY).orderBy(order)
+    equals = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     level = (rows.withColumn("_run", F.spark_partition_id() % runs)
              .groupBy("_run", *KEY).agg(best("_id").alias("_keep"), F.count(F.lit(1)).alias("_copies")))
     while runs > 1:
         runs = -(-runs // fan_in)
-        level = (level.sortWithinPartitions("_run", *KEY)
-                 .withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-                 .groupBy("_run", *KEY).agg(best("_keep").alias("_keep"), F.sum("_copies").alias("_copies")))
+        met = level.withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
+        met = met.withColumns({"_place": F.row_number().over(in_order), "_copies": F.sum("_copies").over(equals)})
+        level = met.where("_place = 1").drop("_place")
     return level.drop("_run")
 
 
@@ -53,7 +64,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     that repeat an identifier and its text are all marked alike, and each counts in ``group_size``. An empty table gives
     an empty result; other columns, whatever their names, are not read.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = staging.stage(docs.sparkSession, keyed(docs, id_col, text_col))
     groups = merged_runs(rows, keep, runs, fan_in)
     return rows.join(groups, list(KEY)).select(
         F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_copies").alias("group_size"),

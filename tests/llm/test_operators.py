@@ -70,14 +70,19 @@ def test_exact_dedup(docs, clashing, empty):
         want.append((i, keep, len(own), i == keep, hashlib.sha256((t or "").translate(LOWER).encode()).hexdigest()))
     for frame in (docs, clashing, docs.repartition(7)):
         assert by_row(exact_dedup.exact_groups(frame)) == sorted(want, key=repr)
+    assert by_row(exact_dedup.exact_groups(docs.repartition(7), runs=7, fan_in=3)) == sorted(want, key=repr)
+    merge = exact_dedup.merged_runs(exact_dedup.keyed(docs, "doc_id", "text"), runs=8)._jdf.queryExecution().executedPlan().toString()
+    # three binomial rounds, each an exchange, a sort by run and key, and a walk in that order
+    assert merge.count("Window ") == merge.count("Sort [_run") == 3
     assert by_row(exact_dedup.exact_groups(docs, runs=5, fan_in=2)) == sorted(want, key=repr)
     least = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_groups(docs.where("doc_id IS NOT NULL"), keep="min").collect()}
     assert least[205] == 204 and least[202] == 200
     stay = exact_dedup.drop_copies(clashing)
     assert stay.columns == clashing.columns and stay.count() == sum(w[3] for w in want)
     assert exact_dedup.exact_groups(empty).count() == 0 and exact_dedup.drop_copies(empty).count() == 0
-    plan = exact_dedup.exact_groups(docs)._jdf.queryExecution().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    for frame in (exact_dedup.keyed(docs, "doc_id", "text"), exact_dedup.exact_groups(docs)):
+        plan = frame._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_chat_format(spark):
