@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..session import checkpoint_dir
 from .keys import join_keys
-from .series import Series, scan
+from .series import Series, scan, stored
 
 BUCKET_DIGITS = (3, 6, 9)  # hash digits counted in each round: 4096 buckets, then as many inside the one that matters
 
@@ -25,9 +26,12 @@ def cutoffs(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: Dat
 
     Counts per hash bucket show which bucket holds the last row wanted; that bucket alone is counted again by a longer
     prefix, and the bucket left after ``BUCKET_DIGITS`` rounds, less than a 10^10th of the group, is ranked. NULL is a
-    group like any other. The result has one row per group and is written to the checkpoint folder, so that the rows
-    themselves are afterwards picked by a filter alone.
+    group like any other. The table is read twice, to count and for the rows of the first round's bucket, a 4096th of it.
+    All tables of a row per group are written to the checkpoint folder: their size is known to the planner, so that few
+    groups are joined without dealing all rows out by group, and the rows are afterwards picked by a filter alone.
     """
+    folder = f"{checkpoint_dir(df.sparkSession)}/cutoffs-{uuid4().hex}"
+    quotas = stored(quotas.select(*group, "quota"), f"{folder}/quotas")
     rows = df.select(*dict.fromkeys([*group, *key])).withColumn("_hash", hash_rank(seed, key))
     edge = quotas.select(*group, F.col("quota").alias("_room"))
     within = list(group)
@@ -39,15 +43,16 @@ def cutoffs(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: Dat
         places = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         within = [*within, f"_b{digits}"]
         edge = places.where((F.col("_before") < F.col("_room")) & (F.col("_room") <= F.col("_before") + F.col("_n")))
-        edge = edge.select(*within, (F.col("_room") - F.col("_before")).alias("_room"))
+        edge = stored(edge.select(*within, (F.col("_room") - F.col("_before")).alias("_room")), f"{folder}/edge{digits}")
+        if digits == BUCKET_DIGITS[0]:
+            rows = stored(join_keys(rows, edge, within).drop("_room"), f"{folder}/rows")
     ranked = Window.partitionBy(*within).orderBy("_hash", *key)
     last = join_keys(rows, edge, within).withColumn("_rank", F.row_number().over(ranked))
     last = last.where(F.col("_rank") == F.col("_room"))
     found = last.groupBy(*group).agg(F.max(F.struct("_hash", *key)).alias("cutoff"))
-    checkpoint_dir(df.sparkSession)
     if group:
-        return join_keys(quotas.select(*group, "quota"), found, list(group), "left").checkpoint()
-    return quotas.select("quota").withColumn("cutoff", found.select("cutoff").scalar()).checkpoint()
+        return stored(join_keys(quotas, found, list(group), "left"), f"{folder}/ends")
+    return stored(quotas.withColumn("cutoff", found.select("cutoff").scalar()), f"{folder}/ends")
 
 
 def take(df: DataFrame, group: Sequence[str], key: Sequence[str], quotas: DataFrame, seed: int = 42) -> DataFrame:
