@@ -21,7 +21,8 @@ def with_threshold(scores: DataFrame, thresholds: DataFrame | float) -> DataFram
     """Attach the threshold of each model; models without one use the default."""
     if isinstance(thresholds, float):
         return scores.withColumn("threshold", F.lit(thresholds))
-    joined = scores.join(thresholds.select(MODEL, F.col("threshold").alias("_thr")), MODEL, "left")
+    # one row per model
+    joined = scores.join(F.broadcast(thresholds.select(MODEL, F.col("threshold").alias("_thr"))), MODEL, "left")
     return joined.withColumn("threshold", F.coalesce("_thr", F.lit(DEFAULT_THRESHOLD))).drop("_thr")
 
 
