@@ -6,19 +6,23 @@ by segment; the cross-segment means add a pre-aggregated table keyed by timestam
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from ..functions import finite, ratio
+from ..session import checkpoint_dir
 from .labels import category_codes
-from .series import Series, frames, scan
+from .series import Series, frames, scan, stored
 
 FLAT_STD = 1e-9      # a deviation this small is a constant window
 EWM_SPAN = 20
 EWM_BLOCK = 4096     # q**-4096 stays well inside double range
 EWM_REACH = 512      # q**512 is below double resolution
 REACH = 90           # longest bounded frame
+MOST_TICKS = 200_000  # ticks whose means are small enough to be broadcast
 
 DELTAS = ["pressure_delta", "flow_rate_delta"]
 RELATIVE = ["pressure_pct_delta", "flow_pct_delta", "pressure_flow_ratio"]
@@ -137,9 +141,17 @@ def smooth(df: DataFrame, series: Series, cols: dict[str, str], dt: float, tau:
 
 
 def cross_segment_means(df: DataFrame, tick: str, cols: dict[str, str]) -> DataFrame:
-    """Mean over all segments at the same tick, joined back to the rows (pre-aggregated first)."""
+    """Mean over all segments at the same tick, one row per tick, kept in the shared folder."""
     means = df.groupBy(tick).agg(*[F.avg(src).alias(out) for out, src in cols.items()])
-    return df.join(means, tick, "left")
+    return stored(means, f"{checkpoint_dir(df.sparkSession)}/means-{uuid4().hex}")
+
+
+def segment_deviations(df: DataFrame, means: DataFrame, tick: str) -> DataFrame:
+    """Deviation of the rows from the means of their tick."""
+    return df.join(means, tick, "left").withColumns({
+        "pressure_segment_deviation": F.col("pressure") - F.col("_tp"),
+        "flow_segment_deviation": F.col("flow_rate") - F.col("_tf"),
+    }).drop("_tp", "_tf")
 
 
 def build_features(
@@ -160,6 +172,14 @@ def build_features(
     df = df.withColumns({"pressure": finite("pressure"), "flow_rate": finite("flow_rate")})
     p, f = F.col("pressure"), F.col("flow_rate")
 
+    across = tick is not None and needs(*CROSS_SEGMENT)
+    means, many = None, False
+    if across:
+        means = cross_segment_means(df, tick, {"_tp": "pressure", "_tf": "flow_rate"})
+        many = means.count() > MOST_TICKS
+    if many:  # rows are dealt out by tick while they are narrow
+        df = segment_deviations(df, means, tick)
+
     expanding = needs(*EXPANDING)
     long_keys = series.slot is not None
     if expanding and long_keys:
@@ -250,12 +270,10 @@ def build_features(
     df = df.withColumns({name: make() for name, make in third.items() if name in want})
     scratch = [c for c in df.columns if c.startswith("_")]
     df = df.where(keep).drop(*scratch)
-
-    if tick is not None and needs(*CROSS_SEGMENT):
-        df = cross_segment_means(df, tick, {"_tp": "pressure", "_tf": "flow_rate"}).withColumns({
-            "pressure_segment_deviation": p - F.col("_tp"),
-            "flow_segment_deviation": f - F.col("_tf"),
-        }).drop("_tp", "_tf")
+    if many:
+        df = df.select(*[c for c in df.columns if c not in CROSS_SEGMENT], *CROSS_SEGMENT)
+    elif across:  # wide rows stay where they are
+        df = segment_deviations(df, F.broadcast(means), tick)
     if encode_events and "event_type" in df.columns:
         df = category_codes(df, "event_type", "event_type_encoded")
     hidden = [name for name in DELTAS if name not in want]
