@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,22 +24,21 @@ DYNAMIC = ["pressure_delta", "flow_rate_delta", "pressure_pct_delta", "flow_pct_
 
 
 def out_of_fold(df: DataFrame, features: Sequence[str], k: int) -> DataFrame:
-    """Every row scored by a logistic model that has not seen its group."""
-    parts = None
-    for i in range(k):
+    """Every row of a frame kept for fits scored by a logistic model that has not seen its group."""
+    def run(i: int) -> DataFrame:
         model = tr.fit(tr.logistic(), df.where(F.col("fold") != i), features, None)
-        part = tr.score(model, df.where(F.col("fold") == i), features)
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.select("target", "scenario_context", "leak_score")
+        return tr.score(model, df.where(F.col("fold") == i), features).select("target", "scenario_context", "leak_score")
+
+    return reduce(DataFrame.unionByName, tr.side_by_side(df, run, range(k)))
 
 
 def validation_report(df: DataFrame, series: Series, history: str = "history_id", k: int = 5) -> DataFrame:
     """One row of measures with the warnings that follow from them."""
     featured = build_features(df, series, DYNAMIC)
-    folded = group_folds(featured, history, k).persist()
+    raw = [c for c in RAW if c in df.columns]
+    folded = tr.kept_for_fits(group_folds(featured, history, k).select("fold", "target", "scenario_context", *raw, *DYNAMIC))
     sensors = [c for c in ("pressure", "flow_rate", "temperature", "pump_speed") if c in df.columns]
     try:
-        raw = [c for c in RAW if c in df.columns]
         aucs, false_rate = {}, None
         for name, columns in (("raw_sensor_auc", raw), ("dynamics_auc", DYNAMIC)):
             scored = out_of_fold(folded, columns, k).persist()
