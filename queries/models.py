@@ -163,7 +163,7 @@ def isolation_forest_scores(spark, folder):
 
 @query("benchmark_metrics", "M14 M4")
 def benchmark_metrics(spark, folder):
-    parts = stratified_split(featured(spark, folder), ["seq"], "target", {"test": 0.2, "train": 0.0}).persist()
+    parts = tr.kept_for_fits(stratified_split(featured(spark, folder), ["seq"], "target", {"test": 0.2, "train": 0.0}).select("part", "target", *FEATURES))
     out = tr.benchmark(parts.where(F.col("part") == "train"), parts.where(F.col("part") == "test"), FEATURES)
     parts.unpersist()
     return out
@@ -210,9 +210,10 @@ def tr_weight():
 
 @query("batch_leak_scores", "M10")
 def batch_leak_scores(spark, folder):
-    df = featured(spark, folder).persist()
-    models = {"logistic": tr.fit(tr.logistic(), df, FEATURES, None), "svm": tr.fit(tr.linear_svm(), df, FEATURES, None),
-              "majority": tr.Majority.fit(df), "unsupported": object(), "broken": broken_on(lambda rows: True)}
+    df = tr.kept_for_fits(featured(spark, folder).select("seq", "segment_id", "target", *FEATURES))
+    builders = {"logistic": tr.logistic(), "svm": tr.linear_svm()}
+    fitted = tr.side_by_side(df, lambda name: tr.fit(builders[name], df, FEATURES, None), list(builders))
+    models = {**dict(zip(builders, fitted)), "majority": tr.Majority.fit(df), "unsupported": object(), "broken": broken_on(lambda rows: True)}
     out = tr.score_all(models, df, ["seq", "segment_id", "target"], FEATURES)
     df.unpersist()
     return out
@@ -254,12 +255,14 @@ def scoring_reasons(spark, folder):
 @query("transfer_fold_metrics", "M13")
 def transfer_fold_metrics(spark, folder):
     """Metric bundle per fold of the new domain; fold -1 is all of it."""
-    source = featured(spark, folder).persist()
+    source = tr.kept_for_fits(featured(spark, folder).select("target", *FEATURES))
     models = {"logistic": tr.fit(tr.logistic(), source, FEATURES, None)}
     source.unpersist()
     s = views.shipments(spark, folder)
+    # folds follow from segments and labels, so they are dealt before the features are there
+    s = group_folds(s, "segment_id", 5)
     target = ft.build_features(s, time_series(s, ["segment_id"], tiebreak=views.SHIPMENT_ORDER), ft.FEATURES)
-    return tr.transfer(models, group_folds(target, "segment_id", 5), FEATURES)
+    return tr.transfer(models, target, FEATURES)
 
 
 @query("transfer_metrics", "M13", f"""
@@ -355,7 +358,7 @@ FROM h, (VALUES ('majority'), ('logistic_regression'), ('random_forest')) v(m) G
 def rule_compared(spark, folder):
     """The baseline comparison on that label: models rank above the majority baseline."""
     telemetry = ruled_tables(spark, folder)[0].drop("fold")
-    parts = stratified_split(telemetry, ["seq"], "target", {"test": 0.2, "train": 0.0}).coalesce(4).persist()
+    parts = tr.kept_for_fits(stratified_split(telemetry, ["seq"], "target", {"test": 0.2, "train": 0.0}).select("part", "target", *SIGNALS))
     out = tr.benchmark(parts.where("part = 'train'"), parts.where("part = 'test'"), SIGNALS, trees=10)
     parts.unpersist()
     return auc_floor(out, "benchmark", FLOORS)
