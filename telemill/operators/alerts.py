@@ -165,7 +165,24 @@ class Machine:
 
     def walk(self, above: np.ndarray, state: int, fresh: np.ndarray | None = None, enter: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """Alerts along flags from ``state``, and the state afterwards. At ``fresh`` rows another series begins in ``enter`` (0)."""
-        fired = np.zeros(len(above), bool)
+        fired, last = np.zeros(len(above), bool), state
+        for rows, flag, entry, offset in self._runs(above, state, fresh, enter):
+            fired[rows] = self.fires[flag, self.after(flag, entry, offset)]
+            last = int(self.after(flag[-1:], entry[-1:], offset[-1:] + 1)[0])
+        return fired, last
+
+    def walk_each(self, above: np.ndarray, starts: np.ndarray, enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Alerts along many series that follow one another, and the state each is left in; series ``i`` enters in ``enter[i]``."""
+        fired, left = np.zeros(len(above), bool), np.zeros(len(above), np.int64)
+        fresh, entering = np.zeros(len(above), bool), np.zeros(len(above), np.int64)
+        fresh[starts[:-1]], entering[starts[:-1]] = True, enter
+        for rows, flag, entry, offset in self._runs(above, 0, fresh, entering):
+            fired[rows] = self.fires[flag, self.after(flag, entry, offset)]
+            left[rows] = self.after(flag, entry, offset + 1)
+        return fired, left[starts[1:] - 1]
+
+    def _runs(self, above: np.ndarray, state: int, fresh: np.ndarray | None, enter: np.ndarray | None) -> Iterator[tuple]:
+        """Rows piece by piece, with each row's flag, the state its run is entered in, and its place in the run."""
         fresh = np.zeros(len(above), bool) if fresh is None else fresh
         start, length, flag = runs_of(above, fresh)
         many = max(1, _ENTRIES // self.states)
@@ -179,10 +196,7 @@ class Machine:
             entry = np.where(new, first, np.concatenate(([state], maps[:-1, state])))
             state = int(maps[-1, state])
             rows = slice(s[0], s[-1] + n[-1])
-            offset = np.arange(rows.start, rows.stop) - np.repeat(s, n)
-            flag_of = np.repeat(f, n)
-            fired[rows] = self.fires[flag_of, self.after(flag_of, np.repeat(entry, n), offset)]
-        return fired, state
+            yield rows, np.repeat(f, n), np.repeat(entry, n), np.arange(rows.start, rows.stop) - np.repeat(s, n)
 
 
 def runs_of(above: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

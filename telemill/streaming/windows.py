@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.joins import latest_per_key, missing
 from ..plans.corpus import exists
-from .ordered import process_in_order
+from .ordered import BUCKETS, process_in_order
 
 
 def tumbling(rows: DataFrame, width: str = "1 minute", slide: str | None = None, time: str = "timestamp") -> DataFrame:
@@ -63,21 +64,24 @@ def score_batches(
 
 
 def retain_stream(rows: DataFrame, keys: Sequence[str] = ("segment_id",), keep: int = 720, values: Sequence[str] = ("pressure",),
-                  idle: float | None = None) -> DataFrame:
+                  idle: float | None = None, buckets: int = BUCKETS) -> DataFrame:
     """Retention on a stream: every row once it is in order, with the row that leaves the newest ``keep`` for it.
 
     ``gone_seq`` is NULL while a key has no more than ``keep`` rows, so the rows that no other row has sent away are the
     ones a live view holds. State per key is the sequence numbers of those rows; of a key without rows for ``idle``
     seconds none are kept, and it begins anew when it returns.
     """
-    def step(new: pd.DataFrame, carry: tuple) -> tuple[pd.DataFrame, tuple]:
-        held = [*carry[0], *new["_seq"].tolist()]
-        over = len(held) - len(new) - keep
-        gone = [held[i] if i >= 0 else None for i in range(over, over + len(new))]
-        return pd.DataFrame({"gone_seq": pd.array(gone, "Int64")}), (held[-keep:],)
+    def step(new: Mapping[str, np.ndarray], starts: np.ndarray, carries: list[tuple]) -> tuple[dict[str, object], list[tuple]]:
+        gone, after = [], []
+        for (before,), a, b in zip(carries, starts[:-1], starts[1:]):
+            held = [*before, *new["_seq"][a:b].tolist()]
+            over = len(before) - keep
+            gone += [held[i] if i >= 0 else None for i in range(over, over + b - a)]
+            after.append((held[-keep:],))
+        return {"gone_seq": pd.array(gone, "Int64")}, after
 
     return process_in_order(rows, keys, values, step, lambda: ([],), [T.StructField("held", T.ArrayType(T.LongType()))],
-                            [T.StructField("gone_seq", T.LongType())], idle=idle)
+                            [T.StructField("gone_seq", T.LongType())], idle=idle, buckets=buckets)
 
 
 def retain(history: DataFrame, per_segment: int = 720, order: Sequence[str] = ("timestamp", "seq")) -> DataFrame:
