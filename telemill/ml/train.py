@@ -47,8 +47,10 @@ def linear_svm(max_iter: int = 100) -> Builder:
 
 
 def random_forest(trees: int = 100, depth: int = 10, seed: int = 42) -> Builder:
+    """A forest that keeps each row's node in every tree, so that a pass does not walk all trees from their roots again."""
     return lambda features, weight: _stages(
-        features, _weighted(RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, seed=seed), weight), False)
+        features, _weighted(RandomForestClassifier(labelCol="target", numTrees=trees, maxDepth=depth, seed=seed,
+                                                   cacheNodeIds=True, checkpointInterval=-1), weight), False)
 
 
 def boosted(rounds: int = 50, depth: int = 5, step: float = 0.1, sample: float = 0.8, seed: int = 42) -> Builder:
@@ -229,14 +231,19 @@ def folds_and_models(
     return measured(scored, ["model_name", fold]), {name: model for (i, name), model in done.items() if i is None}
 
 
-#: Fits that run at the same time at most, and rows that make a partition worth a task in the many small jobs of a fit.
-SIDE_BY_SIDE, ROWS_PER_TASK = 16, 100_000
+#: Fits that run at the same time at most, rows that make a partition worth a task in the many small jobs of a fit, and
+#: how many times as many a task takes where there are more partitions than cores.
+SIDE_BY_SIDE, ROWS_PER_TASK, BEYOND_CORES = 16, 100_000, 5
 
 
 def kept_for_fits(df: DataFrame) -> DataFrame:
-    """The frame persisted for many passes, in no more partitions than its rows are worth."""
+    """The frame persisted for many passes, in no more partitions than its rows are worth.
+
+    Every task of a forest's pass sends on the counts of all nodes, and every task of an iteration costs its start, so
+    once each core has a partition, further rows make partitions larger before they make more of them.
+    """
     data = df.persist()
-    parts = max(1, -(-data.count() // ROWS_PER_TASK))
+    parts = fit_partitions(data.count(), df.sparkSession.sparkContext.defaultParallelism)
     if parts >= data.rdd.getNumPartitions():
         return data
     fewer = data.coalesce(parts).persist()
@@ -245,6 +252,10 @@ def kept_for_fits(df: DataFrame) -> DataFrame:
     return fewer
 
 
+def fit_partitions(rows: int, cores: int) -> int:
+    return max(1, min(cores, -(-rows // ROWS_PER_TASK)), -(-rows // (BEYOND_CORES * ROWS_PER_TASK)))
+
+
 def side_by_side(data: DataFrame, run: Callable, tasks: Iterable) -> list:
     """Results of ``run`` for all tasks in order, each in a scheduler pool of its own.
 

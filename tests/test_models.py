@@ -142,3 +142,16 @@ def test_forest_walks_as_tree_by_tree(points):
         assert abs(got[r["id"]] + 2.0 ** (-total / norm)) < 1e-12
     normal = forest.with_samples(points.where("target = 0"), "s").toPandas()["s"]
     assert abs(forest.score_centre - normal.median()) < 1e-12
+
+
+def test_a_forest_keeps_the_nodes_of_rows_and_grows_the_same_trees(points):
+    pipeline = tr.random_forest(4, 5)(FEATURES, None)
+    forest = pipeline.getStages()[-1]
+    assert forest.getCacheNodeIds() and forest.getCheckpointInterval() == -1
+    trees = [m.stages[-1].toDebugString.split("\n", 1)[1] for m in (pipeline.fit(points), pipeline.copy({forest.cacheNodeIds: False}).fit(points))]
+    assert trees[0] == trees[1]
+
+
+def test_partitions_of_fits_follow_cores_first():
+    rows = [0, 50_000, 100_001, 1_000_000, 4_000_000, 36_000_000]
+    assert [tr.fit_partitions(n, 12) for n in rows] == [1, 1, 2, 10, 12, 72]  # a partition per 100,000 rows before: 360
