@@ -45,12 +45,15 @@ def combinations(full: int, depth: int = DEPTH) -> list[tuple[int, ...]]:
 
 
 def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
-    """The non-negative ``x`` that minimises ``|a x - b|``, by an active set of columns."""
-    gram, target = a.T @ a, a.T @ b
+    """The non-negative ``x`` that minimises ``|a x - b|``, by an active set of columns.
+
+    Products of columns are formed for the active ones only, so memory is that of ``a``.
+    """
     x = np.zeros(a.shape[1])
     active = np.zeros(len(x), bool)
     for _ in range(3 * len(b) + 10):
-        gain = target - gram @ x
+        used = np.flatnonzero(x)
+        gain = a.T @ (b - a[:, used] @ x[used])
         gain[active] = -np.inf
         j = int(np.argmax(gain))
         if gain[j] <= tolerance:
@@ -58,7 +61,8 @@ def nnls(a: np.ndarray, b: np.ndarray, tolerance: float = 1e-9) -> np.ndarray:
         active[j] = True
         while True:
             at = np.flatnonzero(active)
-            z = np.linalg.lstsq(gram[np.ix_(at, at)], target[at], rcond=None)[0]
+            some = a[:, at]
+            z = np.linalg.lstsq(some.T @ some, some.T @ b, rcond=None)[0]
             if (z > tolerance).all():
                 x[:] = 0
                 x[at] = z

@@ -435,3 +435,20 @@ def test_gradient_matches_differences():
 def test_staging_keeps_columns_and_empty_tables(spark, docs):
     out = staging.stage(spark, docs.withColumn("kind", F.lit(1)).select("kind", "doc_id", "text").where("false"), partition_by=("kind",))
     assert out.columns == ["kind", "doc_id", "text"] and out.count() == 0
+
+
+def test_a_packing_plan_over_all_bins_stays_small_in_the_driver():
+    import tracemalloc
+
+    counts = np.random.default_rng(3).integers(1, 4000, packing.WINDOW // packing.GRAIN + 1)
+    counts[0] = 0
+    tracemalloc.start()
+    made = packing.plan(counts, packing.WINDOW // packing.GRAIN)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    used = np.zeros_like(counts)
+    for bins, times in made:
+        assert sum(bins) <= packing.WINDOW // packing.GRAIN
+        np.add.at(used, list(bins), times)
+    assert (used == counts).all()
+    assert peak < 100 << 20  # the matrix of products of all combinations alone had 242 MB
