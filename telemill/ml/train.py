@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import CV_KEYS, binary_metrics, fold_sizes, fold_summary
 from ..operators.sampling import group_folds
-from . import iforest
+from . import forest, iforest
 from .ensemble import from_decision, from_decisions, from_labels, from_samples, member_weights
 
 Builder = Callable[[Sequence[str], str | None], Pipeline]
@@ -190,12 +190,15 @@ def score_all(models: Mapping[str, object], df: DataFrame, ids: Sequence[str], f
 
 
 def fit(builder, train: DataFrame, features: Sequence[str], weight: str | None):
-    """Fit a Spark ML builder, the isolation forest, or the majority baseline."""
+    """Fit a Spark ML builder, the isolation forest, or the majority baseline; forests are grown by ``ml.forest``."""
     if builder == "majority":
         return Majority.fit(train)
     if isinstance(builder, iforest.Settings):
         return iforest.fit(train, features, builder)
-    return builder(features, weight).fit(train)
+    pipeline = builder(features, weight)
+    if settings := forest.settings_of(pipeline.getStages()[-1]):
+        return forest.fit(train, features, weight, settings)
+    return pipeline.fit(train)
 
 
 def cross_validate(
